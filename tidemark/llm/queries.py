@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license_scan, mixing, packing, quality_rules, simhash
+from . import chat, exact_dedup, license_scan, mixing, ordinal_quality, packing, quality_rules, simhash, url_filter
 from .common import table
 
 #: Where the tokenizer's file is; a parameter of the operator.
@@ -34,6 +34,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_quality.score(docs, ordinal_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -54,6 +63,8 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
