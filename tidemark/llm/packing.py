@@ -17,11 +17,13 @@ are packed apart; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,52 +35,125 @@ END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+#: White space as the pattern knows it, for the matcher of Arrow.
+_SPACE = r"[\x09-\x0D \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()  # several times as fast as to_pylist
+
+
 class PieceTokenizer:
-    """Ids of whole texts, from ids of their space-separated pieces.
+    """Ids of whole texts, from ids of their distinct space-separated pieces.
 
     The vocabulary's pattern never joins a word with what precedes the single
-    space before it, so pieces can be encoded apart and remembered.  That holds
-    if every piece is plain: it starts and ends with a character that isn't white
-    space, and holds no white space but line feeds, no control or other unusual
-    character and no special token.  A text with any other piece is encoded as a
-    whole.
+    space before it, so pieces can be encoded apart, each once for many texts,
+    unless one is empty or has white space at an end: such a text is encoded as a
+    whole, and so is one that holds a special token's string.  Pieces are encoded
+    a line each: a line feed before a space is a token of its own and parts the
+    ids again.  If the file's merges are ranked by id, pieces are merged by rank;
+    else every text is encoded as a whole.
     """
 
-    MOST = 400_000
+    #: Pieces remembered from batch to batch; beyond that all are forgotten.
+    MOST = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.encode = self._by_rank(path, self.special)
+        self.line = self.encode("\n") if self.encode else []
         self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _plain(self, piece: str) -> bool:
-        bare = piece.replace("\n", "a")
-        return bool(piece) and piece[0] != "\n" and piece[-1] != "\n" and bare.isprintable() and " " not in bare and not any(s in piece for s in self.special)
-
-    def _pieces(self, table: dict[str, bytes], pieces: list[str], lead: str) -> bytes | None:
-        try:
-            return b"".join(map(table.__getitem__, pieces))
-        except KeyError:
-            new = list({p for p in pieces if p not in table})
-        if not all(map(self._plain, new)):
+
+    @staticmethod
+    def _by_rank(path: str, special: tuple[str, ...]):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, merges = spec["model"].get("vocab"), spec["model"].get("merges")
+        kind = spec.get("pre_tokenizer") or {}
+        plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space", True)
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges or []]
+        ranks = [vocab.get(a + b, -1) for a, b in pairs] if isinstance(vocab, dict) else []
+        if not plain or spec.get("normalizer") or not ranks or any(a >= b for a, b in zip(ranks, ranks[1:])):
             return None
-        if len(table) + len(new) > self.MOST:
-            table.clear()
-            new = list(set(pieces))
-        for piece, e in zip(new, self.whole.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            table[piece] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(table.__getitem__, pieces))
-
-    def ids(self, text: str) -> np.ndarray:
-        head, *rest = text.split(" ")
-        a = self._pieces(self.first, [head], "") if head else None
-        b = self._pieces(self.known, rest, " ") if a is not None else None
-        if b is None:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return np.frombuffer(a + b, dtype="<u4")
+        import tiktoken
+
+        # printable bytes stand for themselves, the others for characters from 256 on
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        known = {bytes(map(byte_of.get, token)): i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Encodes pieces, each after a space, and remembers their ids."""
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        # a line feed inside a piece is a token of its own as well unless white space is beside it
+        apart = pc.match_substring_regex(pieces, f"\n{_SPACE}|{_SPACE}\n")
+        lines = pieces.filter(pc.invert(apart))
+        if len(lines):
+            names = _strings(lines)
+            ids = np.array(self.encode(" " + "\n ".join(names)), dtype="<u4")
+            parts = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+            ends = parts[np.cumsum(pc.count_substring(lines, "\n").to_numpy() + 1) - 1] * 4
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(names, ends.tolist()):
+                self.known[piece] = raw[at:end]
+                at = end + 4
+        for piece in _strings(pieces.filter(apart)):
+            self.known[piece] = np.array(self.encode(" " + piece), dtype="<u4").tobytes()
+
+    def _pool(self, pieces: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all pieces that aren't odd, where each one's begin and how many they are."""
+        names = _strings(pieces)
+        found = list(map(self.known.get, names))
+        new = np.array([f is None for f in found], dtype=bool) & ~odd
+        if new.any():
+            self._learn(pieces.filter(pa.array(new)))
+            found = [self.known.get(n) if f is None else f for n, f in zip(names, found)]
+        found = [f or b"" for f in found]
+        count = np.array(list(map(len, found)), dtype=np.int64) // 4
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(count) - count, count
+
+    def ids_of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; none may be null."""
+        if not self.encode or len(self.line) != 1:
+            return [self._whole(t) for t in texts.to_pylist()]
+        lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        bounds = lists.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        coded = lists.flatten().dictionary_encode()
+        index, pieces = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        odd = pc.match_substring_regex(pieces, f"^$|^{_SPACE}|{_SPACE}$").to_numpy(zero_copy_only=False)
+        for special in self.special:
+            odd = odd | pc.match_substring(pieces, special).to_numpy(zero_copy_only=False)
+        pool, begin, count = self._pool(pieces, odd)
+        heads = bounds[:-1]
+        bad = odd[index]
+        bad[heads] &= pc.not_equal(pieces, "").to_numpy(zero_copy_only=False)[index[heads]]  # a space may come first
+        bad_before = np.concatenate([[0], np.cumsum(bad)])
+        size = count[index]
+        size[heads] = 0
+        ends = np.cumsum(size)
+        # the ids of all pieces after the first of each text, one after another
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[index] - (ends - size), size)
+        ids, ends = pool[where], np.append(0, ends)
+        out = []
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if bad_before[b] - bad_before[a]:
+                out.append(self._whole(texts[k].as_py()))
+            else:
+                out.append(np.concatenate([np.array(self.encode(pieces[int(index[a])].as_py()), dtype="<u4"), ids[ends[a] : ends[b]]]))
+        return out
 
 
 _TOKENIZERS: dict[str, PieceTokenizer] = {}
@@ -177,18 +252,29 @@ def pack_documents(docs: Iterator[tuple[int, np.ndarray]], window: int = WINDOW)
     yield from packer.drain()
 
 
+def portions(batch: pa.RecordBatch, size: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of (key, text), of about ``size`` bytes of text each."""
+    sums = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sums):
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece; see SCHEMA."""
 
     def run(batches):
-        encode = tokenizer(tokenizer_path).ids
+        encode = tokenizer(tokenizer_path).ids_of
         end = np.array([end_id], dtype="<u4")
         base = TaskContext.get().partitionId() << 33
 
         def rows():
             for batch in batches:
-                for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    yield key, np.concatenate([encode(text.as_py()), end])
+                for part in portions(batch):
+                    for key, ids in zip(part.column(0).to_pylist(), encode(part.column(1))):
+                        yield key, np.concatenate([ids, end])
 
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         out: list[tuple] = []
