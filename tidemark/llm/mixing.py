@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of, word_count
+from .common import cut_lineage, text_of, word_array, word_count
 
 #: Weights by position of the source, share of all sizes, most
 #: epochs, seed of the random keys.
@@ -35,7 +35,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
     Targets are ``least(cap, level * weight)`` with one common level: sources
     reach their cap in order of cap/weight, so the level follows from prefix sums
-    in that order.  One row per source, nothing per document.
+    in that order: it grows up to the first source that stays below its cap and
+    falls from there.  One row per source, nothing per document.
     """
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
@@ -50,7 +51,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
         .withColumn("all", share * F.sum("source_size").over(everything))
         .withColumn("level", (F.col("all") - F.col("before")) / F.col("still"))
     )
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
+    open_level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything)
     return weighed.withColumn("open_level", open_level).select(
         "source",
         "source_size",
@@ -70,13 +71,16 @@ def mix(
     most_epochs: int = MOST_EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, epochs, part.
+    """One row per document: doc_id, size, source_size, target, taken, epochs, part, sig (hash of its text).
 
     ``taken`` = ``epochs`` whole passes plus ``part`` leading words of one more.
     """
     sizes = cut_lineage(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_of(text_col)).alias("size")
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            word_count(text_of(text_col)).alias("size"),
+            F.xxhash64(text_of(text_col)).alias("sig"),
         )
     )
     targets = cut_lineage(source_targets(sizes, weights, share, most_epochs))
@@ -105,9 +109,32 @@ def mix(
         (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"),
         "epochs",
         "part",
+        "sig",
     )
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``.
+
+    The last document of a source's budget is cut to its first words, a space
+    between them; ``n_chars``, if there, is counted again.  Equal rows are
+    interchangeable and told apart by number.
+    """
+    key = lambda doc_id, sig: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), sig)
+    plan = mix(docs, id_col, text_col, **how).select(key(F.col("doc_id"), F.col("sig")).alias("__row"), "epochs", "part")
+    plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("epochs", "part")))
+    rows = docs.withColumn("__row", key(F.col(id_col), F.xxhash64(text_of(text_col))))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0))))
+    taken = rows.join(plan.filter("epochs + part > 0"), ["__row", "__nth"])
+    passes = F.sequence(F.lit(1).cast("long"), F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0))
+    taken = taken.withColumn("__pass", F.explode(passes))
+    some = F.array_join(F.slice(word_array(text_of(text_col)), 1, F.col("part").cast("int")), " ")
+    taken = taken.withColumn(text_col, F.when(F.col("__pass") > F.col("epochs"), some).otherwise(F.col(text_col)))
+    if "n_chars" in docs.columns:
+        taken = taken.withColumn("n_chars", F.when(F.col("__pass") > F.col("epochs"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: The same in DuckDB's SQL, for the defaults above.
 ORACLE = r"""
 WITH s AS (
@@ -119,7 +146,7 @@ w AS (SELECT *, CAST([5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS L
 f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS still,
   CAST(sum(source_size) OVER () AS DOUBLE) AS every FROM w),
-l AS (SELECT *, min(CASE WHEN (every - before) / still * weight <= cap THEN (every - before) / still END) OVER () AS level FROM f),
+l AS (SELECT *, max(CASE WHEN (every - before) / still * weight <= cap THEN (every - before) / still END) OVER () AS level FROM f),
 g AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS target FROM l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM g),
 k AS (SELECT s.*, b.source_size, b.target, b.epochs, CAST(round(b.target - b.epochs * b.source_size) AS BIGINT) AS rest,
