@@ -1,7 +1,8 @@
 """Registered queries: each a plan over the driver's tables with, where SQL can say it, the same in SQL.
 
-A query's output is a list of columns: ``~x`` is a double rounded to six places,
-``#x`` a whole number, others are taken as they are.
+A query's output is a list of columns: ``~x`` is a double rounded to six places
+(after a nudge, as the two engines round exact halves differently), ``#x`` a whole
+number, others are taken as they are.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ ORACLES: dict[str, str] = {}
 AS_OF = sql.AS_OF
 #: Draws of the resampling queries.
 DRAWS = 200
+NUDGE = 3e-8
 
 
 def _name(c: str) -> str:
@@ -30,12 +32,12 @@ def _name(c: str) -> str:
 
 
 def _shown(df: DataFrame, columns: list[str]) -> DataFrame:
-    show = {"~": lambda n: F.round(F.col(n).cast("double"), 6) + F.lit(0.0), "#": lambda n: F.col(n).cast("long")}
+    show = {"~": lambda n: F.round(F.col(n).cast("double") + NUDGE, 6) + F.lit(0.0), "#": lambda n: F.col(n).cast("long")}
     return df.select(*[show[c[0]](_name(c)).alias(_name(c)) if c[0] in show else F.col(c) for c in columns])
 
 
 def _shown_sql(columns: list[str]) -> str:
-    show = {"~": 'round(CAST("{0}" AS DOUBLE), 6) + 0.0::DOUBLE AS "{0}"', "#": 'CAST("{0}" AS BIGINT) AS "{0}"'}
+    show = {"~": 'round(CAST("{0}" AS DOUBLE) + 3e-8::DOUBLE, 6) + 0.0::DOUBLE AS "{0}"', "#": 'CAST("{0}" AS BIGINT) AS "{0}"'}
     return ", ".join(show.get(c[0], '"{0}"').format(_name(c)) for c in columns)
 
 

@@ -82,7 +82,7 @@ def states() -> str:
     cells = [f'max(CASE WHEN "role" = \'{r}\' THEN "{c}" END) AS {r}_{c}' for r in ROLES for c in WIDE]
     part = "PARTITION BY market ORDER BY report_date"
     apart = lambda a, b: f"coalesce(({a} - lag({a}, 4) OVER w) * ({b} - lag({b}, 4) OVER w) < 0, false)"
-    points = f"(SELECT market, report_date, availability_date + 7 * h AS at, h FROM avl CROSS JOIN (SELECT unnest([0, {', '.join(map(str, HORIZONS))}]) AS h))"
+    points = f"(SELECT market, report_date, availability_date + 7 * h AS due, h FROM avl CROSS JOIN (SELECT unnest([0, {', '.join(map(str, HORIZONS))}]) AS h))"
     sign = f"CASE WHEN market IN ({', '.join(repr(m) for m in INVERSE)}) THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
     returns = [f"{sign} * (max(close) FILTER (h = {h}) / nullif(max(close) FILTER (h = 0), 0) - 1) AS fwd_return_{h}w" for h in HORIZONS]
     return f"""{metrics()},
@@ -92,8 +92,8 @@ prc AS (SELECT a.*, p.close AS price_close FROM avl a ASOF LEFT JOIN pr p ON a.m
 pch AS (SELECT *, {", ".join(f"price_close / nullif(lag(price_close, {k}) OVER w, 0) - 1 AS price_chg_{k}w" for k in (4, 8, 12))}, {apart("slow_net", "spec_net")} AS div_slow, {apart("spec_net", "price_close")} AS div_price
   FROM prc WINDOW w AS ({part})),
 psz AS (SELECT *, {zscore("price_chg_8w", 52, "price_chg_8w_z", part)}, {regime()} AS regime FROM pch),
-pts AS (SELECT s.market, s.report_date, s.h, s.at, p.close FROM {points} s ASOF LEFT JOIN pr p ON s.market = p.market AND s.at <= p.date),
-fwd AS (SELECT market, report_date, {", ".join(returns)} FROM pts WHERE h = 0 OR at <= DATE '{AS_OF}' GROUP BY 1, 2),
+pts AS (SELECT s.market, s.report_date, s.h, s.due, p.close FROM {points} s ASOF LEFT JOIN pr p ON s.market = p.market AND s.due <= p.date),
+fwd AS (SELECT market, report_date, {", ".join(returns)} FROM pts WHERE h = 0 OR due <= DATE '{AS_OF}' GROUP BY 1, 2),
 st AS (SELECT psz.*, fwd.* EXCLUDE (market, report_date) FROM psz LEFT JOIN fwd ON psz.market = fwd.market AND psz.report_date = fwd.report_date)"""
 
 
