@@ -412,21 +412,22 @@ def cohens_d(spark, sf_dir):
     return statistics.cohens_d(all_states(spark, sf_dir), ("market",), "fwd_return_8w", _chosen())
 
 
-_ps = "SELECT o_orderkey AS id, ((o_orderkey * 7919) % 1000 + 1) / 1001.0::DOUBLE * CASE WHEN o_orderkey % 17 = 0 THEN 0.0001::DOUBLE ELSE 1.0::DOUBLE END AS p FROM orders"
+_ps = "SELECT o_custkey AS family, o_orderkey AS id, ((o_orderkey * 7919) % 1000 + 1) / 1001.0::DOUBLE * CASE WHEN o_orderkey % 17 = 0 THEN 0.0001::DOUBLE ELSE 1.0::DOUBLE END AS p FROM orders"
 
 
 @query(
-    "#id ~p #rank #m ~threshold rejected",
+    "#family #id ~p #rank #m ~threshold rejected",
     "",
-    f"""SELECT *, max(CASE WHEN "rank" = lst THEN p END) OVER () AS threshold, coalesce("rank" <= lst, false) AS rejected FROM (
-      SELECT *, max(CASE WHEN p <= 0.05::DOUBLE * "rank" / m THEN "rank" END) OVER () AS lst FROM (SELECT *, row_number() OVER (ORDER BY p, id) AS "rank", count(*) OVER () AS m FROM ({_ps} WHERE o_orderkey % 5 = 0)))""",
+    f"""SELECT *, max(CASE WHEN "rank" = lst THEN p END) OVER (PARTITION BY family) AS threshold, coalesce("rank" <= lst, false) AS rejected FROM (
+      SELECT *, max(CASE WHEN p <= 0.05::DOUBLE * "rank" / m THEN "rank" END) OVER (PARTITION BY family) AS lst FROM (
+        SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS "rank", count(*) OVER (PARTITION BY family) AS m FROM ({_ps})))""",
 )
 def benjamini_hochberg(spark, sf_dir):
     k = F.col("o_orderkey")
     p = (k * 7919 % 1000 + 1) / F.lit(1001.0) * F.when(k % 17 == 0, 0.0001).otherwise(1.0)
-    # one family of tests: every fifth order stands for a test
-    tests = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(k % 5 == 0).select(k.alias("id"), p.alias("p"))
-    return statistics.benjamini_hochberg(tests, "p")
+    # every order stands for a test, every customer for a family of tests
+    tests = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("family"), k.alias("id"), p.alias("p"))
+    return statistics.benjamini_hochberg(tests, "p", by=("family",))
 
 
 def _boot_sql(block: int) -> str:
@@ -671,13 +672,15 @@ def quality_jumps(spark, sf_dir):
 
 
 @query(
-    "market role report_date #gap_days",
-    sql.PANEL,
-    """SELECT * FROM (SELECT market, "role", report_date, report_date - lag(report_date) OVER (PARTITION BY market, "role" ORDER BY report_date) AS gap_days
-      FROM (SELECT DISTINCT market, "role", report_date FROM pos WHERE day(report_date) NOT BETWEEN 10 AND 12)) WHERE gap_days > 7 AND gap_days < 21""",
+    "#o_custkey report_date #gap_days",
+    "",
+    """SELECT * FROM (SELECT o_custkey, report_date, report_date - lag(report_date) OVER (PARTITION BY o_custkey ORDER BY report_date) AS gap_days
+      FROM (SELECT DISTINCT o_custkey, CAST(date_trunc('week', o_orderdate) AS DATE) + 1 AS report_date FROM orders)) WHERE gap_days > 7 AND gap_days < 21""",
 )
 def quality_missing_weeks(spark, sf_dir):
-    return quality.missing_weeks(positions(spark, sf_dir).filter("day(report_date) not between 10 and 12"))
+    # the panel has no gaps, the weeks in which a customer orders have
+    weeks = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", panel.tuesday(F.col("o_orderdate")).alias("report_date"))
+    return quality.missing_weeks(weeks, keys=("o_custkey",))
 
 
 @query(
