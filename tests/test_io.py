@@ -93,3 +93,18 @@ def test_stream_keeps_rows_once(spark, tmp_path):
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dossier_of_synthetic_markets(spark, tmp_path):
+    from tidemark.plans import dossier
+
+    s = store.Store(spark, str(tmp_path))
+    dossier.load_synthetic(s, ["EUR", "GOLD"])
+    rows = dossier.build(s, "2025-12-31").filter("report_date >= '2022-01-01'").cache()
+    got = dossier.dossier(rows, draws=20)
+    assert set(got) == {"EUR", "GOLD"} and len(got["EUR"]["contingency"]) == 54
+    assert set(got["GOLD"]["evidence"]["positions"]) == {1, 2, 4, 8, 12, 26} and len(got["GOLD"]["analogs"]["positions_and_price"]) == 5
+    assert got["EUR"]["text"].startswith("EUR: ")
+    results, code = dossier.validate(s, ["EUR"], lambda url: (_ for _ in ()).throw(OSError("down")))
+    assert results == {"EUR": "BLOCKED"} and code == 2
+    assert dossier.load_live(s, ["EUR"], lambda url: (_ for _ in ()).throw(OSError("down"))) == ["EUR"]
