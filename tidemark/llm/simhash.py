@@ -48,12 +48,23 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (``fp``, the 64 bits as a signed long)."""
+def word_set_fingerprint(text: str) -> int:
+    """Fingerprint over the distinct words: an edited word moves one of them, but several shingles."""
+    words = set(text.encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return 0
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(words)).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = SHINGLE) -> DataFrame:
+    """doc_id and fingerprint (``fp``, the 64 bits as a signed long); without a shingle size over word sets."""
+    of = word_set_fingerprint if shingle is None else lambda text: fingerprint(text, shingle)
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
+            found = np.array([of(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -101,7 +112,7 @@ def components(pairs: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint, component_id."""
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -114,7 +125,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, the one with the smallest doc_id.
 
     Of rows that share that doc_id one stays; a component of null ids keeps one row.
@@ -126,96 +137,3 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.withColumn("__row_key", key(id_col)).join(stay, "__row_key", "left_semi")
     first = F.row_number().over(Window.partitionBy("__row_key").orderBy(text_of(text_col)))
     return rows.withColumn("__first", first).filter("__first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-#: Seeds of the fingerprints over sets of words, and what makes two texts near copies:
-#: words of a shingle and least share of common shingles.
-SET_SEEDS = (42, 43, 44)
-NEAR_SHINGLE = 5
-NEAR_SHARE = 0.8
-
-
-def set_fingerprint(words: set[bytes], seed: int) -> int:
-    """Fingerprint over distinct words: edits move fewer bits than over shingles, each of which an edit changes several of."""
-    if not words:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype=np.uint64, count=len(words))
-    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(words)).tobytes(), "big")
-
-
-def shingles(text: str, size: int = NEAR_SHINGLE) -> set[tuple[bytes, ...]]:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def candidate_groups(docs: DataFrame, seeds=SET_SEEDS) -> DataFrame:
-    """(node, root) of rows (node, text) whose fingerprints link, for any seed, to another row's.
-
-    Fingerprints are nodes of the graph too, so rows that share one make a star
-    and never pairs.
-    """
-
-    def run(batches):
-        for batch in batches:
-            nodes, out = batch.column(0).to_pylist(), []
-            for node, text in zip(nodes, batch.column(1)):
-                words = set(text.as_py().encode("utf-8", "surrogatepass").lower().split())
-                out += [(node, k, set_fingerprint(words, seed)) for k, seed in enumerate(seeds)]
-            fps = np.array([o[2] for o in out], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array(fps)], ["node", "seed", "fp"])
-
-    prints = cut_lineage(docs.select("node", "text").mapInArrow(run, "node long, seed int, fp long"))
-    found = None
-    for k in range(len(seeds)):
-        own = prints.filter(F.col("seed") == k)
-        counted = cut_lineage(own.groupBy("fp").agg(F.count(F.lit(1)).alias("rows")))
-        linked = cut_lineage(links(counted.select("fp")))
-        name = lambda c: F.xxhash64(F.lit(f"fingerprint {k}"), F.col(c))  # noqa: E731, B023
-        wanted = counted.filter("rows > 1").select("fp").union(linked.select("a")).union(linked.select("b")).distinct()
-        edges = own.join(wanted, "fp", "left_semi").select(F.col("node").alias("a"), name("fp").alias("b"))
-        edges = edges.union(linked.select(name("a").alias("a"), name("b").alias("b")))
-        found = edges if found is None else found.union(edges)
-    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    return components(ordered).join(prints.select("node").distinct(), "node", "left_semi")
-
-
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = NEAR_SHARE, size: int = NEAR_SHINGLE, seeds=SET_SEEDS) -> DataFrame:
-    """The rows of ``docs`` but those whose text shares at least ``share`` of its shingles with one that stays.
-
-    Candidates are the groups that fingerprints link.  In each round the row with
-    the smallest doc_id of a group stays, what is similar to it goes, and the
-    rest of the group is judged anew; a round compares each row once.  Rows alike
-    in all keep one; texts without words are equal.
-    """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_of(text_col))
-    rows = docs.withColumn("__node", key)
-    plain = rows.select(F.col("__node").alias("node"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    groups = candidate_groups(plain, seeds)
-    left = cut_lineage(plain.join(groups, "node").select("root", "node", "doc_id", "text"))
-
-    def run(batches):
-        last, mine = None, set()
-        for batch in batches:
-            near = []
-            for node, text, one, rep in zip(*[batch.column(n).to_pylist() for n in ("node", "text", "one", "rep_text")]):
-                if one != last:
-                    last, mine = one, shingles(rep, size)
-                other = mine if node == one else shingles(text, size)
-                both = len(mine & other)
-                near.append(node == one or both >= share * max(1, len(mine) + len(other) - both) or not (mine or other))
-            yield batch.select(["root", "node", "doc_id", "text", "one"]).append_column("near", pa.array(near, pa.bool_()))
-
-    gone = None
-    while not left.isEmpty():
-        first = F.min_by(F.struct("node", "text"), F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-        reps = left.groupBy("root").agg(first.alias("r")).select("root", F.col("r.node").alias("one"), F.col("r.text").alias("rep_text"))
-        kind = left.schema["doc_id"].dataType.simpleString()
-        judged = left.join(reps, "root").mapInArrow(run, f"root long, node long, doc_id {kind}, text string, one long, near boolean")
-        judged = cut_lineage(judged)
-        drop = judged.filter("near and node <> one").select(F.col("node").alias("__node"))
-        gone = drop if gone is None else gone.union(drop)
-        left = judged.filter("not near").select("root", "node", "doc_id", "text")
-    stay = rows if gone is None else rows.join(gone.distinct(), "__node", "left_anti")
-    alike = F.row_number().over(Window.partitionBy("__node").orderBy(F.lit(0)))
-    return stay.withColumn("__nth", alike).filter("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
