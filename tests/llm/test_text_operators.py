@@ -357,3 +357,60 @@ def test_near_copies_by_word_sets(spark):
     kept = Counter(r.doc_id for r in simhash.drop_near_copies(docs, shingle=None).collect())
     assert all(kept[i] == 1 for i in (*range(8), 300, 301)) and kept[302] == 0
     assert sum(kept[100 + i] for i in range(8)) <= 2  # one word of 300 rarely moves four bits
+
+
+def test_similar_texts_go_and_no_others(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [[word() for _ in range(200)] for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):
+        edited = list(w)
+        edited[50] = edited[100] = "edited"  # 10 of 196 shingles differ
+        rows.append((100 + i, " ".join(edited)))
+    rows.append((200, " ".join(base[1][100:] + base[1][:100])))  # the same word set, 0.96 of the shingles
+    rows.append((201, " ".join(x for k in range(0, 200, 4) for x in reversed(base[2][k : k + 4]))))  # the same word set, no shingle
+    # a chain: each a near copy of the one before, the last not of the first
+    chain = [list(base[3]) for _ in range(3)]
+    chain[1][:12], chain[2][:24] = [word() for _ in range(12)], [word() for _ in range(24)]
+    chain[2][:12] = chain[1][:12]
+    rows += [(400 + i, " ".join(w)) for i, w in enumerate(chain)]
+    rows += [(300, " ".join(base[0][:100] + [word() for _ in range(100)])), (301, ""), (302, None), (303, " \n"), (5, rows[5][1]), (None, rows[0][1])]
+    docs = make(spark, [(i, t, "en", "s") for i, t in rows])
+    kept = sorted(r.doc_id for r in simhash.drop_similar(docs).collect())
+    # by hand: in order, a row goes if it shares 0.8 with one that stays
+    want, sets = [], {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        mine = simhash.shingles(t or "")
+        if not any(simhash.alike(mine, o) for o in sets.values()):
+            want.append(i)
+            sets[i] = mine
+    assert kept == want and {201, 300, 402} <= set(kept) and not {100, 200, 401} & set(kept)
+    assert simhash.drop_similar(docs.limit(0)).count() == 0
+
+
+def test_groups_without_one_centre_are_settled_in_order(spark):
+    # every two edits of one text are close to 0.8, so stars do not settle them
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(90)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in rng.sample(range(90), 1 + i % 2):
+            w[k] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    docs = make(spark, [(i, t, "en", "s") for i, t in rows])
+    want = []
+    for i, t in rows:
+        if not any(simhash.alike(simhash.shingles(t), simhash.shingles(rows[j][1])) for j in want):
+            want.append(i)
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == want and len(want) > 5
+
+
+def test_pipeline_near_stage_verifies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(120)]
+    shuffled = [words[k] for k in random.Random(1).sample(range(120), 120)]
+    docs = make(spark, [(1, " ".join(words), "en", "s"), (2, " ".join(shuffled), "en", "s")])
+    assert corpus_pipeline.near(spark, docs, "").count() == 2
