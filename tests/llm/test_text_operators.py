@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -414,3 +415,19 @@ def test_pipeline_near_stage_verifies(spark):
     shuffled = [words[k] for k in random.Random(1).sample(range(120), 120)]
     docs = make(spark, [(1, " ".join(words), "en", "s"), (2, " ".join(shuffled), "en", "s")])
     assert corpus_pipeline.near(spark, docs, "").count() == 2
+
+
+def test_rare_toxic_words_get_weight():
+    # 4,000 rows, each toxic word in 8 of them (0.2 %)
+    rng = random.Random(3)
+    rows, grades = [], []
+    for i in range(4000):
+        toxic = i < 160
+        words = [f"w{rng.randrange(300)}" for _ in range(30)] + [f"vile{i % 20}"] * toxic
+        rows.append(ordinal_quality.features(" ".join(words)))
+        grades.append(0 if i >= 3600 else 1 if toxic else 2)
+        if i >= 3600:
+            rows[-1] = ordinal_quality.features(" ".join(["junk", *words[:5]]))
+    model = ordinal_quality.fit(rows, np.array(grades), 3, steps=60)
+    marked = [model.weights[ordinal_quality.zlib.crc32(b"vile%d" % k) % ordinal_quality.BUCKETS] for k in range(20)]
+    assert all(w < 0 for w in marked)
