@@ -295,3 +295,15 @@ def test_residual_role(spark):
     rows = spark.createDataFrame([("M", "spec", START, 60.0, 30.0, 100.0), ("M", "slow", START, 50.0, 30.0, 100.0)], "market string, role string, report_date date, long double, short double, open_interest double")
     r = panel.with_residual(rows).filter("role = 'residual'").first()
     assert (r.long, r.short) == (0.0, 40.0)
+
+
+def test_registered_resampling_draws_as_often_as_the_settings_say():
+    import inspect
+
+    from tidemark.config import BOOTSTRAP_DRAWS
+    from tidemark.plans import dossier, queries
+
+    assert queries.DRAWS == BOOTSTRAP_DRAWS == 2000
+    assert inspect.signature(dossier.dossier).parameters["draws"].default == BOOTSTRAP_DRAWS
+    for name in ("bootstrap", "block_bootstrap", "permutation_test", "edge_evidence"):
+        assert f"generate_series(0, {BOOTSTRAP_DRAWS - 1})" in queries.ORACLES[name]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reports
-from ..config import ANALOG_FEATURES, ANALOG_FEATURES_WITH_PRICE, HORIZONS, MARKETS, ROLES
+from ..config import ANALOG_FEATURES, ANALOG_FEATURES_WITH_PRICE, BOOTSTRAP_DRAWS, HORIZONS, MARKETS, ROLES
 from ..functions import expressions as E
 from ..operators import analogs, events, quality, states, statistics
 from ..sources import feeds, synthetic
@@ -47,7 +47,7 @@ def build(store: Store, as_of) -> DataFrame:
     return store.spark.read.parquet(store.path("states"))
 
 
-def dossier(rows: DataFrame, draws: int = 500) -> dict:
+def dossier(rows: DataFrame, draws: int = BOOTSTRAP_DRAWS) -> dict:
     """Per market: latest state, labels, analogs by both feature sets, evidence, events, text.
 
     Only the last week and aggregates are collected: a few hundred rows a market.

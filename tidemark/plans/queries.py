@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ANALOG_FEATURES, CONDITIONS, EVENTS, HORIZONS, MARKETS, RANK_WINDOWS
+from ..config import ANALOG_FEATURES, BOOTSTRAP_DRAWS, CONDITIONS, EVENTS, HORIZONS, MARKETS, RANK_WINDOWS
 from ..functions import calendar, guard
 from ..functions import expressions as E
 from ..functions.conditions import condition
@@ -23,7 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AS_OF = sql.AS_OF
 #: Draws of the resampling queries.
-DRAWS = 200
+DRAWS = BOOTSTRAP_DRAWS
 NUDGE = 3e-8
 
 
