@@ -216,10 +216,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: float, size: int) -> Da
 
 
 def similar_rows(rows: DataFrame, share: float = NEAR_SHARE, size: int = NEAR_SHINGLE) -> DataFrame:
-    """The rows (``row``) that go: each shares at least ``share`` of its shingles with a smaller row that stays.
+    """The rows (``row``) that go: each shares at least ``share`` of its shingles with a row that stays.
 
-    Rows of a band are candidates.  A row that is the smallest of all its bands
-    stays, and only it is compared with the rest of them: that settles large
+    Rows of a band are candidates, in the order of how many others they meet and
+    then of ``row``.  A row that is the first in all its bands stays, and only it is compared with the rest of them: that settles large
     groups in linear work.  Rows left over are compared in pairs within their
     bands, and settled in order along the pairs that are alike.
     """
@@ -235,17 +235,22 @@ def similar_rows(rows: DataFrame, share: float = NEAR_SHARE, size: int = NEAR_SH
     kind = rows.schema["row"].dataType.simpleString()
     sketched = cut_lineage(rows.select("row", "text").mapInArrow(run, f"row {kind}, keys array<long>, planes array<long>"))
     keyed = sketched.select("row", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("row").alias("least"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
-    bands = cut_lineage(keyed.join(shared, "key"))
-    texts = cut_lineage(rows.select("row", "text").join(bands.select("row").distinct(), "row", "left_semi"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    meets = cut_lineage(keyed.join(shared, "key"))
+    # rows that meet many others come first: the text that a group was edited from settles the group
+    ranks = cut_lineage(meets.groupBy("row").agg(F.struct((-F.sum("rows")).alias("met"), F.col("row").alias("row")).alias("rank")))
+    named = lambda df: df.join(ranks, "row").drop("row").withColumnRenamed("rank", "row")
+    texts, sketched = cut_lineage(named(rows.select("row", "text"))), named(sketched.select("row", "planes"))
+    members = cut_lineage(named(meets.select("row", "key")))
+    bands = cut_lineage(members.join(members.groupBy("key").agg(F.min("row").alias("least")), "key"))
 
     later = bands.filter("row <> least").select("row").distinct()
     pairs = bands.filter("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b")).distinct()
     pairs = pairs.join(later.withColumnRenamed("row", "a"), "a", "left_anti")
     gone = _verified(pairs, texts, share, size).select(F.col("b").alias("row")).distinct()
 
-    # smallest rows of all their bands are done: they have met all others there
-    left = later.join(gone, "row", "left_anti").join(sketched.select("row", "planes"), "row")
+    # the first rows of all their bands are done: they have met all others there
+    left = later.join(gone, "row", "left_anti").join(sketched, "row")
     left = cut_lineage(bands.select("row", "key").join(left, "row"))
     a, b = (left.select("key", F.col("row").alias(n), F.col("planes").alias(f"{n}s")) for n in "ab")
     differs = lambda word: F.bit_count(F.expr(" | ".join(f"(as[{2 * k + word}] ^ bs[{2 * k + word}])" for k in range(PLANES))))
@@ -257,13 +262,14 @@ def similar_rows(rows: DataFrame, share: float = NEAR_SHARE, size: int = NEAR_SH
         now = cut_lineage(edges.join(waits, "a", "left_anti").select("b").distinct())
         gone = gone.union(now)
         edges = cut_lineage(edges.join(now, "b", "left_anti").join(now.withColumnRenamed("b", "a"), "a", "left_anti"))
-    return gone
+    return gone.select("row.row")
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = NEAR_SHARE, size: int = NEAR_SHINGLE) -> DataFrame:
     """The rows of ``docs`` but those whose text shares at least ``share`` of its shingles with one that stays.
 
-    The row with the smaller doc_id stays.  Rows alike in all keep one; texts
+    Of two rows alike the one that meets more others stays, then that with the
+    smaller doc_id.  Rows alike in all keep one; texts
     without words are equal.
     """
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_of(text_col))
