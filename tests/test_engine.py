@@ -307,3 +307,12 @@ def test_registered_resampling_draws_as_often_as_the_settings_say():
     assert inspect.signature(dossier.dossier).parameters["draws"].default == BOOTSTRAP_DRAWS
     for name in ("bootstrap", "block_bootstrap", "permutation_test", "edge_evidence"):
         assert f"generate_series(0, {BOOTSTRAP_DRAWS - 1})" in queries.ORACLES[name]
+
+
+def test_precursors_cover_every_event(spark):
+    from tidemark.config import EVENTS
+    from tidemark.plans.queries import QUERIES
+
+    for name in ("precursor_metrics", "precursor_conditions"):
+        got = QUERIES[name](spark, "/root/testdata/sf0.01")
+        assert {r.event for r in got.select("event").distinct().collect()} == {k for k, *_ in EVENTS}

@@ -102,36 +102,38 @@ def threshold_points(rows: DataFrame, pip: float, events=EVENTS) -> DataFrame:
 PRECURSOR_METRICS = ("spec_chg_1w", "spec_chg_4w", "spec_pct_52w", "slow_chg_4w", "spec_oi_chg_4w")
 
 
-def _largest(rows: DataFrame, event, top: int) -> DataFrame:
-    key, _, weeks, direction = event
-    ranked = Window.partitionBy("market").orderBy(F.desc("move"), "report_date")
-    moved = rows.withColumn("move", forward_move(F.col("price_close"), weeks, direction))
+def _largest(rows: DataFrame, events, top: int) -> DataFrame:
+    """The largest moves of each market and event."""
+    ranked = Window.partitionBy("market", "event").orderBy(F.desc("move"), "report_date")
+    moves = rows.withColumns({f"move_{k}": forward_move(F.col("price_close"), weeks, direction) for k, _, weeks, direction in events})
+    cells = [F.struct(F.lit(k).alias("event"), F.col(f"move_{k}").alias("move")) for k, *_ in events]
+    moved = moves.select("*", F.inline(F.array(*cells)))
     # a market without a threshold (fewer than 50 moves) has no precursors
-    enough = F.count("move").over(Window.partitionBy("market")) >= LEAST_VALUES
+    enough = F.count("move").over(Window.partitionBy("market", "event")) >= LEAST_VALUES
     found = moved.withColumn("enough", enough).filter("move is not null and enough")
     return found.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= top)
 
 
-def precursor_metrics(rows: DataFrame, event, weeks_before: int = LOOKBACK_WEEKS, top: int = TOP_MOVES) -> DataFrame:
-    """Mean of each metric in the weeks up to the largest moves against its mean always."""
+def precursor_metrics(rows: DataFrame, events=EVENTS, weeks_before: int = LOOKBACK_WEEKS, top: int = TOP_MOVES) -> DataFrame:
+    """For each event the mean of each metric in the weeks up to the largest moves against its mean always."""
     w = E.market_weeks("market").rowsBetween(-(weeks_before - 1), 0)
     before = rows.withColumns({f"b_{m}": F.avg(m).over(w) for m in PRECURSOR_METRICS})
     always = rows.groupBy("market").agg(*[F.avg(m).alias(f"a_{m}") for m in PRECURSOR_METRICS])
-    at = _largest(before, event, top).groupBy("market").agg(F.count(F.lit(1)).alias("n_moves"), *[F.avg(f"b_{m}").alias(f"b_{m}") for m in PRECURSOR_METRICS])
+    at = _largest(before, events, top).groupBy("market", "event").agg(F.count(F.lit(1)).alias("n_moves"), *[F.avg(f"b_{m}").alias(f"b_{m}") for m in PRECURSOR_METRICS])
     cells = [F.struct(F.lit(m).alias("metric"), F.col(f"b_{m}").alias("before"), F.col(f"a_{m}").alias("always")) for m in PRECURSOR_METRICS]
-    joined = at.filter("n_moves >= 5").join(always, "market").select("market", "n_moves", F.inline(F.array(*cells)))
+    joined = at.filter("n_moves >= 5").join(always, "market").select("market", "event", "n_moves", F.inline(F.array(*cells)))
     return joined.filter("before is not null and always is not null").withColumn("diff", F.col("before") - F.col("always"))
 
 
-def precursor_conditions(rows: DataFrame, event, weeks_before: int = LOOKBACK_WEEKS, top: int = TOP_MOVES, conditions=CONDITIONS) -> DataFrame:
-    """Share of the largest moves with a condition in the weeks before, against its weekly share."""
+def precursor_conditions(rows: DataFrame, events=EVENTS, weeks_before: int = LOOKBACK_WEEKS, top: int = TOP_MOVES, conditions=CONDITIONS) -> DataFrame:
+    """For each event the share of the largest moves with a condition in the weeks before, against its weekly share."""
     w = E.market_weeks("market").rowsBetween(-(weeks_before - 1), 0)
     flagged = with_conditions(rows)
     flagged = flagged.withColumns({f"h_{c}": F.coalesce(F.max(F.col(f"c_{c}").cast("int")).over(w), F.lit(0)) for c in conditions})
     always = flagged.groupBy("market").agg(*[F.avg(F.col(f"c_{c}").cast("double")).alias(f"a_{c}") for c in conditions])
-    at = _largest(flagged, event, top).groupBy("market").agg(F.count(F.lit(1)).alias("n_moves"), *[F.avg(F.col(f"h_{c}").cast("double")).alias(f"s_{c}") for c in conditions])
+    at = _largest(flagged, events, top).groupBy("market", "event").agg(F.count(F.lit(1)).alias("n_moves"), *[F.avg(F.col(f"h_{c}").cast("double")).alias(f"s_{c}") for c in conditions])
     cells = [F.struct(F.lit(c).alias("cond"), F.col(f"s_{c}").alias("share_before"), F.col(f"a_{c}").alias("base_share")) for c in conditions]
-    joined = at.filter("n_moves >= 5").join(always, "market").select("market", "n_moves", F.inline(F.array(*cells)))
+    joined = at.filter("n_moves >= 5").join(always, "market").select("market", "event", "n_moves", F.inline(F.array(*cells)))
     return joined.filter("base_share is not null").withColumn("diff_pp", (F.col("share_before") - F.col("base_share")) * 100)
 
 

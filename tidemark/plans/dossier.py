@@ -68,6 +68,9 @@ def dossier(rows: DataFrame, draws: int = BOOTSTRAP_DRAWS) -> dict:
                 out[r.market]["evidence"].setdefault(mode, {})[weeks] = r.asDict()
     for r in events.contingency(rows).collect():
         out[r.market].setdefault("contingency", []).append(r.asDict())
+    for name, f in (("metrics", events.precursor_metrics), ("conditions", events.precursor_conditions)):
+        for r in f(rows).collect():
+            out[r.market].setdefault("precursors", {}).setdefault(r.event, {}).setdefault(name, []).append(r.asDict())
     for code, d in out.items():
         found = d["evidence"].get("positions", {})
         d["text"] = reports.analysis(code, d["state"], found, found.get(8, {}).get("verdict"))

@@ -533,39 +533,43 @@ def contingency(spark, sf_dir):
     return events.contingency(all_states(spark, sf_dir))
 
 
-LARGEST = "lrg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY move_big_up_8w DESC, report_date) AS place, count(move_big_up_8w) OVER (PARTITION BY market) AS n_moves_all FROM {0} WHERE move_big_up_8w IS NOT NULL) WHERE place <= 25 AND n_moves_all >= 50)"
+LARGEST = (
+    "lrg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market, event ORDER BY move DESC, report_date) AS place, count(move) OVER (PARTITION BY market, event) AS n_moves_all FROM ("
+    + " UNION ALL ".join(f"SELECT *, '{k}' AS event, move_{k} AS move FROM {{0}}" for k in KEYS)
+    + ") WHERE move IS NOT NULL) WHERE place <= 25 AND n_moves_all >= 50)"
+)
 _m = events.PRECURSOR_METRICS
 
 
 @query(
-    "market metric #n_moves ~before ~always ~diff",
+    "market event metric #n_moves ~before ~always ~diff",
     sql.moves()
     + f", bef AS (SELECT *, {', '.join(f'avg({m}) OVER w AS b_{m}' for m in _m)} FROM mov WINDOW w AS (PARTITION BY market ORDER BY report_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), "
     + LARGEST.format("bef"),
     "SELECT *, before - always AS diff FROM ("
     + " UNION ALL ".join(
-        f"SELECT l.market, '{m}' AS metric, l.n_moves, before, always FROM (SELECT market, count(*) AS n_moves, avg(b_{m}) AS before FROM lrg GROUP BY 1) l JOIN (SELECT market, avg({m}) AS always FROM mov GROUP BY 1) a ON l.market = a.market" for m in _m
+        f"SELECT l.market, l.event, '{m}' AS metric, l.n_moves, before, always FROM (SELECT market, event, count(*) AS n_moves, avg(b_{m}) AS before FROM lrg GROUP BY 1, 2) l JOIN (SELECT market, avg({m}) AS always FROM mov GROUP BY 1) a ON l.market = a.market" for m in _m
     )
     + ") WHERE n_moves >= 5 AND before IS NOT NULL AND always IS NOT NULL",
 )
 def precursor_metrics(spark, sf_dir):
-    return events.precursor_metrics(all_states(spark, sf_dir), EVENTS[0])
+    return events.precursor_metrics(all_states(spark, sf_dir))
 
 
 @query(
-    "market cond #n_moves ~share_before ~base_share ~diff_pp",
+    "market event cond #n_moves ~share_before ~base_share ~diff_pp",
     sql.conditions()
     + f", bef AS (SELECT *, {', '.join(f'coalesce(max(c_{c}::INT) OVER w, 0) AS h_{c}' for c in CONDITIONS)} FROM cnd WINDOW w AS (PARTITION BY market ORDER BY report_date ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)), "
     + LARGEST.format("bef"),
     "SELECT *, (share_before - base_share) * 100 AS diff_pp FROM ("
     + " UNION ALL ".join(
-        f"SELECT l.market, '{c}' AS cond, l.n_moves, share_before, base_share FROM (SELECT market, count(*) AS n_moves, avg(h_{c}) AS share_before FROM lrg GROUP BY 1) l JOIN (SELECT market, avg(c_{c}::INT) AS base_share FROM cnd GROUP BY 1) a ON l.market = a.market"
+        f"SELECT l.market, l.event, '{c}' AS cond, l.n_moves, share_before, base_share FROM (SELECT market, event, count(*) AS n_moves, avg(h_{c}) AS share_before FROM lrg GROUP BY 1, 2) l JOIN (SELECT market, avg(c_{c}::INT) AS base_share FROM cnd GROUP BY 1) a ON l.market = a.market"
         for c in CONDITIONS
     )
     + ") WHERE n_moves >= 5 AND base_share IS NOT NULL",
 )
 def precursor_conditions(spark, sf_dir):
-    return events.precursor_conditions(all_states(spark, sf_dir), EVENTS[0])
+    return events.precursor_conditions(all_states(spark, sf_dir))
 
 
 FLAG = "coalesce(spec_pct_52w >= 75, false)"
