@@ -147,6 +147,23 @@ def test_run_length_index_on_small_alphabets():
         assert repeats.repeated_spans(texts, length) == plain_spans(texts, length)
 
 
+def test_runs_spell_the_transform():
+    texts = [b"abracadabra" * 5, b"cadabra" * 9, b""]
+    index = repeats.RunLengthIndex(texts)
+    # a terminator sorts below all bytes, earlier texts' before later ones'
+    rows = sorted((tuple([*(b + 1 for b in t[k:]), i - len(texts)]), t[k - 1] + 1 if k else 0) for i, t in enumerate(texts) for k in range(len(t) + 1))
+    assert np.repeat(index.run_symbols, index.run_lengths).tolist() == [x for _, x in rows]
+    assert len(index.run_lengths) < 40 < sum(map(len, texts))
+
+
+def test_ids_that_are_no_numbers(spark):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef ") for _ in range(900))
+    rows = spark.createDataFrame([("x-1", text), ("x-2", text[:500] + "!"), (None, "short")], "doc_id string, text string")
+    got = {r.doc_id: (r.n_bytes, len(r.kept)) for r in repeats.remove_repeats(rows).collect()}
+    assert got == {"x-1": (900, 400), "x-2": (501, 1), None: (5, 5)}
+
+
 def plain_targets(sizes):
     names = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
     weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(names)}

@@ -19,19 +19,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the cluster's shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is the one named by ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a folder of our own is used.
+    Only a local session (tests) may leave it unset and gets a folder of its own;
+    on a cluster other executors couldn't read such a one, so there it is an error.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        own = os.path.join(tempfile.gettempdir(), "tidemark-checkpoints")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", own))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def id_number(docs: DataFrame, id_col: str) -> Column:
+    """An id as a long: its value if it is a whole number, else a hash of it; null stays null."""
+    kind = docs.schema[id_col].dataType
+    whole = kind.typeName() in ("byte", "short", "integer", "long")
+    return F.col(id_col).cast("long") if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -3,43 +3,48 @@
 Sharding.  Every window of ``length`` bytes picks an anchor: the smallest of the
 hashes of its ``gram``-byte strings.  Equal windows pick equal anchors, so all
 occurrences of a window meet under one key, whatever documents they are in.
-Runs of window starts with one key are shipped as one region by hash alone;
-regions that occur twice as a whole are repeated all over, keys with one region
-have no match, and only for the rest the bytes are fetched.
+Runs of window starts with one key are shipped as one region by its digest
+(``DIGEST`` bits of BLAKE2b, so that equal digests are equal bytes) alone; regions
+that occur twice as a whole are repeated all over, keys with one region have no
+match, and only for the rest the bytes are fetched.
 
 Index.  The regions of some keys form one text.  Its suffixes are sorted, the
-Burrows-Wheeler transform is cut into runs, and suffixes are sampled at both ends
+Burrows-Wheeler transform is kept as its runs, and suffixes are sampled at both ends
 of each run, with the longest match to the neighbour across the end.  Streaming
 to the right from a sample, the matching statistic falls by one a byte: that is
 the whole of what the index has to tell, for between two samples nothing else can
 change it.  A sampled match of at least ``length`` marks its bytes.
 
-Hot keys.  A key with very many different regions is anchored again with longer
-strings, which splits it; with strings as long as the window all regions of a key
+Hot keys.  A key whose different regions have many bytes is anchored again with
+longer strings, which splits it; with strings as long as the window all regions of a key
 are alike.  Every level is exact, nothing is capped.
 
 Defined results: null text is empty; texts shorter than ``length`` are left as
 they are; equal rows repeat each other; a null doc_id is told apart from others
-by its text; an empty table gives no rows.
+by its text; ids that aren't whole numbers are told apart by hash; very long texts
+are hashed and cut in slices; columns of the input other than the two named ones
+are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_of
+from .common import cut_lineage, id_number, text_of
 
 LENGTH = 400
 #: Anchor lengths by level, as shares of the window; the last is the window.
 LEVELS = (0.4, 0.7, 0.85, 0.925, 0.97, 1.0)
-#: Regions of a key beyond which it goes to the next level.
-HOT = 4096
+#: Bytes of a key's regions beyond which it goes to the next level.
+HOT = 1 << 22
+#: Bits of a region's digest.
+DIGEST = 128
 #: Window starts that are hashed at once, and bytes that are indexed at once.
 SLICE = 1 << 20
 BATCH = 1 << 20
@@ -126,7 +131,7 @@ def _regions(batch: list[tuple[int, int, memoryview]], length: int, gram: int) -
 
 #: d, sig: the document's row; p: first start; n: starts; several: more than one
 #: anchor; copies: 1, or 2 if it is known to occur elsewhere as a whole.
-_REGION = "key long, hash long, d long, sig long, p long, n long, several boolean, copies int"
+_REGION = "key long, hash binary, d long, sig long, p long, n long, several boolean, copies int"
 _FIELDS = [f.split()[0] for f in _REGION.split(", ")]
 
 
@@ -134,7 +139,11 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-_TYPES = [pa.int64()] * 6 + [pa.bool_(), pa.int32()]
+_TYPES = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_(), pa.int32()]
+
+
+def _digest(part: bytes | memoryview) -> bytes:
+    return blake2b(part, digest_size=DIGEST // 8).digest()
 
 
 def _document_regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -145,7 +154,7 @@ def _document_regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
             views = [memoryview(t) for t in texts]
             rows = []
             for i, key, p, n, several in regions(texts, length, gram):
-                rows.append((key, xxhash.xxh3_64_intdigest(views[i][p : p + n + length - 1]) - (1 << 63), d[i], sig[i], p, n, several, 1))
+                rows.append((key, _digest(views[i][p : p + n + length - 1]), d[i], sig[i], p, n, several, 1))
                 if len(rows) >= 20_000:
                     yield _batch(rows, _FIELDS, _TYPES)
                     rows = []
@@ -224,7 +233,10 @@ class RunLengthIndex:
         self.left = self.ends[self.owner] - np.arange(len(self.symbols))  # symbols to the end, with the terminator
         self.words = self._words()
         order = self._suffixes()
-        self.samples, self.neighbours = self._run_ends(order)
+        self.run_symbols, self.run_lengths, edge = self._runs(order)
+        # suffixes at heads and tails of runs, each with its neighbour in the other run
+        self.samples = np.concatenate([order[edge], order[edge - 1]])
+        self.neighbours = np.concatenate([order[edge - 1], order[edge]])
 
     def _words(self) -> np.ndarray:
         """The eight symbols from each place on as a number, nothing beyond the terminator."""
@@ -265,11 +277,15 @@ class RunLengthIndex:
             width *= 2
         return order
 
-    def _run_ends(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes at run heads and tails, each with its neighbour in the other run."""
+    def _runs(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols and lengths of the transform's runs, and where all but the first begin.
+
+        Terminators are told apart, so each of them is a run of its own.
+        """
         transform = self.symbols[order - 1]  # a text's first suffix has a terminator there
         edge = np.flatnonzero((transform[1:] != transform[:-1]) | (transform[1:] == 0)) + 1
-        return np.concatenate([order[edge], order[edge - 1]]), np.concatenate([order[edge - 1], order[edge]])
+        bounds = np.concatenate([[0], edge, [len(transform)]])
+        return transform[bounds[:-1]], np.diff(bounds), edge
 
     def matches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Sampled places with a match of at least ``length`` elsewhere, and the matches' lengths."""
@@ -363,7 +379,7 @@ def _anchored_again(found: DataFrame, length: int, gram: int) -> DataFrame:
             for i, key, p, n, several in regions(texts, length, gram):
                 d, sig, at, copies, text = rows_in[i]
                 part = text[p : p + n + length - 1]
-                rows.append((key, xxhash.xxh3_64_intdigest(part) - (1 << 63), d, sig, at + p, n, several, copies, part))
+                rows.append((key, _digest(part), d, sig, at + p, n, several, copies, part))
             if rows:
                 yield _batch(rows, [*_FIELDS, "bytes"], [*_TYPES, pa.binary()])
 
@@ -378,7 +394,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = text_of(text_col)
     return docs.select(
         F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("d"),
+        F.coalesce(id_number(docs, id_col), F.lit(-1)).alias("d"),
         F.xxhash64(text, F.col(id_col).isNull()).alias("sig"),
         text.alias("text"),
     )
@@ -391,7 +407,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, levels=LEVELS, hot: int
     spans = _spans_of(met.filter("covered"), length)
     left = cut_lineage(_with_bytes(docs, met.filter("not covered").drop("covered"), length))
     for gram in grams[1:]:
-        crowded = cut_lineage(left.groupBy("key").agg(F.count(F.lit(1)).alias("regions")).filter(F.col("regions") > hot).select("key"))
+        crowded = cut_lineage(left.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).filter(F.col("size") > hot).select("key"))
         if crowded.isEmpty():
             break
         spans = spans.union(_indexed(left.join(crowded, "key", "left_anti"), length))
