@@ -9,10 +9,17 @@ Marks: ``<|im_start|>ROLE\\nTEXT<|im_end|>\\n`` per turn.  Escaping adds one
 backslash after each ``<`` that backslashes (none or more) and ``|`` follow, so
 no ``<|`` is left inside; in roles backslashes and line feeds are escaped too.
 
-Defined results: null roles and texts are empty; a record whose fingerprint no
-mapping has gives no turns and layout null; turns with the same number are
-ordered by role, then text; rows without a conversation id form one
-conversation with a null id; an empty table gives no rows.
+A record may have fields besides those of its layout: if the fingerprint of all its
+paths selects no mapping, the largest mapping whose paths are among them does, its
+fingerprint being that of the shared paths.  This is worked out once for each
+different set of paths.
+
+Defined results: null roles and texts are empty; a record whose paths no mapping
+has gives no turns and layout null; turns with the same number are ordered by
+their formatted strings, so repeated rows all stay; rows without a conversation id
+form one conversation with a null id; a text of any length is one value of its row
+and is read whole; further columns, whatever their names, are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,12 +67,28 @@ def fingerprint(paths) -> int:
     return xxhash.xxh64_intdigest("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"))
 
 
-def index_of(mappings) -> dict[int, dict]:
-    """Mappings by fingerprint; a list layout also stands for its empty list."""
-    index = {fingerprint(m["paths"]): m for m in mappings}
-    for m in mappings:
-        index |= {fingerprint([f"{t['list']}[]"]): m for t in m["turns"] if "list" in t}
-    return index
+class Layouts:
+    """Mappings by the fingerprint of their paths; a list layout also stands for its empty list."""
+
+    def __init__(self, mappings):
+        self.paths = [(frozenset(m["paths"]), m) for m in mappings]
+        self.paths += [(frozenset([f"{t['list']}[]"]), m) for m in mappings for t in m["turns"] if "list" in t]
+        self.index = {fingerprint(p): m for p, m in self.paths}
+        self.chosen: dict[frozenset[str], dict | None] = {}
+
+    def select(self, record) -> dict | None:
+        """The mapping for a record, None if there is none."""
+        if not isinstance(record, dict):
+            return None
+        paths = frozenset(field_paths(record))
+        if paths not in self.chosen:
+            if len(self.chosen) > 10_000:
+                self.chosen.clear()
+            # the whole set first, then what the record shares with each mapping, the largest first
+            shared = sorted((paths & wanted for wanted, _ in self.paths), key=len, reverse=True)
+            found = (self.index.get(fingerprint(p)) for p in (paths, *shared) if p)
+            self.chosen[paths] = next((m for m in found if m), None)
+        return self.chosen[paths]
 
 
 def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
@@ -74,6 +97,7 @@ def canonical_turns(record: dict, mapping: dict) -> list[tuple[str, str]]:
     for t in mapping["turns"]:
         if "list" in t:
             for item in record[t["list"]] or []:
+                item = item if isinstance(item, dict) else {}
                 role = plain(item.get(t["role"]))
                 turns.append((ROLE_NAMES.get(role, role), plain(item.get(t["text"]))))
         else:
@@ -119,32 +143,32 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def format_records(df: DataFrame, record_col: str = "record", mappings=MAPPINGS) -> DataFrame:
-    """``df`` plus layout, n_turns, formatted and loss_spans of the JSON records in ``record_col``.
+def formatted(text: str | None, layouts: Layouts) -> tuple[str | None, int, str, list[dict[str, int]]]:
+    """Layout, number of turns, string and loss spans of a record in JSON; text that isn't an object has no layout."""
+    try:
+        record = json.loads(text) if isinstance(text, str) else None
+    except ValueError:
+        record = None
+    mapping = layouts.select(record)
+    turns = canonical_turns(record, mapping) if mapping else []
+    out, spans, at = [], [], 0
+    for piece, span in (render(*t) for t in turns):
+        out.append(piece)
+        if span:
+            spans.append({"start": at + span[0], "stop": at + span[1]})
+        at += len(piece)
+    return mapping and mapping["layout"], len(turns), "".join(out), spans
 
-    Text that isn't a JSON object has the fingerprint of no layout.
-    """
+
+def format_records(df: DataFrame, record_col: str = "record", mappings=MAPPINGS) -> DataFrame:
+    """``df`` plus layout, n_turns, formatted and loss_spans of the JSON records in ``record_col``."""
     added = ["layout", "n_turns", "formatted", "loss_spans"]
     kept = [c for c in df.columns if c not in added]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = index_of(mappings)
+        layouts = Layouts(mappings)
         for frame in frames:
-            rows = []
-            for text in frame[record_col]:
-                try:
-                    record = json.loads(text) if isinstance(text, str) else None
-                except ValueError:
-                    record = None
-                mapping = index.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
-                turns = canonical_turns(record, mapping) if mapping else []
-                out, spans, at = [], [], 0
-                for piece, span in (render(*t) for t in turns):
-                    out.append(piece)
-                    if span:
-                        spans.append({"start": at + span[0], "stop": at + span[1]})
-                    at += len(piece)
-                rows.append((mapping and mapping["layout"], len(turns), "".join(out), spans))
+            rows = [formatted(text, layouts) for text in frame[record_col]]
             yield frame[kept].assign(**dict(zip(added, map(list, zip(*rows)))) if rows else {c: [] for c in added})
 
     schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema
@@ -154,33 +178,24 @@ def format_records(df: DataFrame, record_col: str = "record", mappings=MAPPINGS)
 
 
 def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", mappings=MAPPINGS) -> DataFrame:
-    """Formatted turns of conversations stored as one record per row.
+    """Formatted turns of conversations stored as rows in order.
 
-    The schema of ``rows`` without the two key columns is the record's layout: it
-    is fingerprinted once, and the mapping found makes one turn of every row.
-    Returns conv_id, turn, turn_text, loss_start, loss_stop (null: not under the
-    mask); a conversation is its turn_texts in order.
+    Each row without its two keys is a record: its fields are fingerprinted and
+    mapped like those of any other.  A row that is a single turn goes before other
+    layouts, as its number says that it is one.  Returns conv_id, turn, layout,
+    formatted, loss_spans; a conversation is its formatted strings in order.
+    ValueError if no mapping fits the table's columns.
     """
-    fields = [c for c in rows.columns if c not in (conv_col, turn_col)]
-    known = {p for m in mappings for p in m["paths"]}
-    mapping = index_of(mappings).get(fingerprint([c for c in fields if c in known]))
-    if mapping is None or "list" in mapping["turns"][0]:
-        raise ValueError(f"no mapping for the fields {fields}")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            records = frame[mapping["paths"]].astype(object).where(frame[mapping["paths"]].notna(), None).to_dict("records")
-            for record in records:
-                pieces = [render(*t) for t in canonical_turns(record, mapping)]
-                out.append((pieces[0][0], *(pieces[0][1] or (None, None))))
-            done = pd.DataFrame(out, columns=["turn_text", "loss_start", "loss_stop"]).astype({"loss_start": "Int64", "loss_stop": "Int64"})
-            yield pd.concat([frame[["conv_id", "turn"]].reset_index(drop=True), done], axis=1)
-
-    chosen = rows.select(
-        F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), *[F.col(p).cast("string") for p in mapping["paths"]]
-    )
-    return chosen.mapInPandas(run, "conv_id long, turn long, turn_text string, loss_start long, loss_stop long")
+    known = {p.split(".")[0].removesuffix("[]") for m in mappings for p in m["paths"]}
+    fields = [c for c in rows.columns if c in known and c not in (conv_col, turn_col)]
+    single = [m for m in mappings if "role_field" in m["turns"][0] and set(m["paths"]) <= set(fields)]
+    if single:
+        fields = [c for c in fields if c in single[0]["paths"]]
+    elif not any({p.split(".")[0].removesuffix("[]") for p in m["paths"]} <= set(fields) for m in mappings):
+        raise ValueError(f"no mapping for the columns {rows.columns}")
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in fields]), {"ignoreNullFields": "false"})
+    keyed = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), record.alias("record"))
+    return format_records(keyed, "record", mappings).select("conv_id", "turn", "layout", "formatted", "loss_spans")
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
@@ -197,7 +212,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         close = lambda: (None if now[0] else now[1], state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4])
         for frame in frames:
             done = []
-            for conv, piece, a, b in zip(frame["conv_id"], frame["turn_text"], frame["loss_start"], frame["loss_stop"]):
+            for conv, piece, spans in zip(frame["conv_id"], frame["formatted"], frame["loss_spans"]):
                 key = (True, 0) if pd.isna(conv) else (False, int(conv))
                 if key != now:
                     if state:
@@ -206,8 +221,8 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
                 for role, text in read_back(piece):
                     state[0] += 1
                     state[1].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-                if not pd.isna(a):
-                    learnt = unescape(piece[int(a) : int(b)])
+                for span in spans:
+                    learnt = unescape(piece[span["start"] : span["stop"]])
                     state[2] += len(learnt)
                     state[3].update(learnt.encode("utf-8", "surrogatepass"))
                 state[4] += len(piece)
@@ -216,5 +231,5 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
         if state:
             yield pd.DataFrame([close()], columns=names).astype({"conv_id": "Int64"})
 
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "turn_text")
+    ordered = turns.select("conv_id", "turn", "formatted", "loss_spans").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
     return ordered.mapInPandas(run, schema)
