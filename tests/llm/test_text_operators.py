@@ -103,6 +103,15 @@ def test_simhash(docs, rows):
     assert simhash.drop_near_copies(docs).count() == len({find(f) for _, f in expected})
 
 
+def test_near_copies_that_share_an_id(spark):
+    words = ["".join(random.Random(k).choice("abcdefgh") for _ in range(6)) for k in range(400)]
+    rows = [(1, " ".join(words[:200])), (1, " ".join(words[200:])), (1, " ".join(words[:200])), (2, " ".join(words[200:]))]
+    kept = simhash.drop_near_copies(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted(rows[:2])
+    named = spark.createDataFrame([("b", "x y z"), ("a", "x y z"), (None, "x y z")], "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(named).collect()} == {"a": "a", "b": "a", None: "a"}
+
+
 def test_hamming_links_are_complete(spark):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(20)]

@@ -15,7 +15,10 @@ candidates, as fingerprints within three bits miss most pairs of edited texts.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; a null doc_id is never a component's name unless all of them are
-null; rows that repeat a doc_id are judged each by their text.
+null; rows that repeat a doc_id are judged each by their text; ids may be of any
+type that has an order; texts of any length are read whole, a row at a time;
+columns of the input other than the two named ones are not read and can't clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,8 +73,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([of(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -129,17 +132,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int | None = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, the one with the smallest doc_id.
+    """The rows of ``docs`` that stay: one of each component, one with its smallest doc_id.
 
-    Of rows that share that doc_id one stays; a component of null ids keeps one row.
+    Of rows of a component that share that doc_id one stays, chosen by a hash of the text; rows of
+    other components that share it are left alone.
     """
-    groups = near_groups(docs, id_col, text_col, shingle)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    stay = stay.select(key("doc_id").alias("__row_key")).distinct()
-    rows = docs.withColumn("__row_key", key(id_col)).join(stay, "__row_key", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__row_key").orderBy(text_of(text_col)))
-    return rows.withColumn("__first", first).filter("__first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # numbered, so that a row of ``docs`` meets its own fingerprint again
+    rows = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()))
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("mark"), F.col("__row").alias("row"))
+    prints = near_groups(rows.select(key.alias("key"), text_of(text_col).alias("text")), "key", "text", shingle)
+    stay = prints.filter(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: What makes two texts near copies: words of a shingle and least share of common shingles.
