@@ -3,6 +3,8 @@
 import hashlib
 import json
 import random
+import re
+from itertools import combinations
 
 import pytest
 
@@ -133,6 +135,47 @@ def test_mined_url_rules(spark):
     assert len(got) == 363 and verdicts[900] == "block" and verdicts[901] == "allow" and all(verdicts[i] == "block" for i, _ in bad)
 
 
+def plain_tokens(url):
+    rest = url.split("://", 1)[1]
+    host = re.match("[^/?#]*", rest)[0].lower()
+    path = re.match("[^?#]*", rest[len(host) :])[0].lower()
+    labels = [x for x in host.split(".") if x]
+    return {f"h:{x}" for label in labels for x in (label, *label.split("-")) if x} | {"p:" + re.sub("[0-9]+", "0", x) for x in path.split("/") if x}
+
+
+def test_mined_rules_against_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["casino-win", "free-bets", "news", "blog", "shop", "win-shop"]
+    rows = [(i, f"https://{rng.choice(hosts)}.{rng.choice(['alpha', 'beta'])}.dev/{rng.choice(['xx', 'yy'])}/{rng.randrange(90)}?q={i}") for i in range(900)]
+    bad = {i for i, u in rows if rng.random() < (0.95 if "casino" in u else 0.9 if "bets" in u and "/xx/" in u else 0.1)}
+    labelled = [(i, u) for i, u in rows if i % 3]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i, _ in labelled], "doc_id long, quality int, toxic int")
+    tokens = {i: plain_tokens(u) for i, u in rows}
+    every = sorted(set().union(*tokens.values()))
+    rules = {}  # every combination, counted on the labelled pages
+    for size in range(1, 8):
+        for combination in combinations(every, size):
+            fits = [i for i, _ in labelled if tokens[i].issuperset(combination)]
+            wrong = sum(i in bad for i in fits)
+            if wrong >= url_filter.LEAST_PAGES and wrong / len(fits) >= url_filter.LEAST_CONFIDENCE:
+                rules[combination] = wrong / len(fits)
+    rules = {a: c for a, c in rules.items() if not any(set(b) < set(a) and d >= c for b, d in rules.items())}
+    assert rules and any(len(a) > 1 for a in rules)
+    expected = {i: max((c for a, c in rules.items() if tokens[i].issuperset(a)), default=None) for i, _ in rows}
+    got = {r.page_id: r for r in url_filter.judge(pages, labels).collect()}
+    assert {i: r.confidence for i, r in got.items()} == pytest.approx(expected)
+    assert all((r.verdict == "block") == (expected[i] is not None) for i, r in got.items())
+
+
+def test_nothing_to_mine(spark):
+    pages = spark.createDataFrame([(1, "https://a.dev/" + "x/" * 200_000), (2, "https://b.dev/")], "page_id long, url string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    few = spark.createDataFrame([(1, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
+    for labels in (none, few):
+        assert [r.verdict for r in url_filter.judge(pages, labels).collect()] == ["allow", "allow"]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumnRenamed("n_chars", "n_chars")
     names = [n for n, _ in corpus_pipeline.STAGES]

@@ -9,8 +9,10 @@ tokens there, and the whole combination is then tested on the page's tokens.
 
 Defined results: a null URL or one without ``://`` has an empty host and path,
 fits no rule and is allowed unless a mined rule fits; equally long fixed rules
-can't both fit; repeated page_ids are told apart; with no labelled page, or none
-that is bad, nothing is mined; an empty table gives no rows.
+can't both fit; repeated page_ids are told apart, and each counts in the mining;
+with no labelled page, or none that is bad, no rule passes; a URL of any length is
+one value of its row; columns of the input other than those named are not read and
+can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,12 +76,23 @@ def mine_rules(
     """
     baskets = cut_lineage(labelled.select(F.when(F.col("bad"), F.array_append("tokens", BAD)).otherwise(F.col("tokens")).alias("items")))
     n = baskets.count()
-    support = max(least_support, least_pages / max(1, n))
-    if support >= 1 or baskets.filter(F.array_contains("items", BAD)).limit(least_pages).count() < least_pages:
-        return baskets.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
+    support = min(1.0, max(least_support, least_pages / max(1, n)))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least_confidence).fit(baskets)
-    found = model.associationRules.filter(F.element_at("consequent", 1) == BAD)
-    return found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support").filter(F.size("antecedent") > 0)
+    found = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.round(F.col("support") * n) >= least_pages))
+    return without_nested(found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"))
+
+
+def without_nested(rules: DataFrame) -> DataFrame:
+    """``rules`` but those with a shorter one inside that is at least as confident.
+
+    A shorter rule is filed under its first token and looked up by the tokens of the longer one.
+    """
+    rules = cut_lineage(rules)
+    short = rules.select(F.element_at("antecedent", 1).alias("token"), F.col("antecedent").alias("inner"), F.col("confidence").alias("inner_confidence"))
+    asked = rules.withColumn("token", F.explode("antecedent"))
+    inside = (F.size("inner") < F.size("antecedent")) & (F.size(F.array_except("inner", "antecedent")) == 0)
+    needless = asked.join(short, "token").filter(inside & (F.col("inner_confidence") >= F.col("confidence"))).select("antecedent").distinct()
+    return rules.join(needless, "antecedent", "left_anti")
 
 
 def inverted_index(rules: DataFrame, pages: DataFrame) -> DataFrame:
