@@ -14,7 +14,8 @@ Defined results: null and empty texts have no features and get the score of the
 bias alone, and are not selected; documents without labels are scored like any
 other; labels with a null count as missing; doc_ids labelled more than once count
 once, with the lowest grade; without labelled rows of two grades all but empty
-texts are selected; an empty table gives no rows.
+texts are selected; a text of any length is read whole, one at a time; other columns
+can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, text_of
 
 BUCKETS = 1 << 18
-#: Most labelled rows for the fit.
+#: Most rows for the fit: so many labels are taken, and so many rows if doc_ids repeat in the documents.
 SAMPLE = 12_000
 #: So many that the penalty has dropped the words that say little (12,000 rows: 2,097 weights after 300 steps, 261 after 900).
 STEPS = 900
@@ -46,6 +47,8 @@ PENALTY = 0.05
 LEAST_ROWS = 5
 #: A text is selected if the probability of at least this grade reaches the limit.
 GRADE = 2
+#: Bytes of the beginning that longer words are known by besides the whole word.
+STEM = 4
 LIMIT = 0.35
 _WORD_BYTES = bytes(b for b in range(256) if b >= 128 or chr(b).isalnum())
 _TO_WORDS = bytes(b if b in _WORD_BYTES else 32 for b in bytes(range(256)).lower())
@@ -57,16 +60,18 @@ def grade_of(quality: Column, toxic: Column) -> Column:
 
 
 def features(text: str) -> np.ndarray:
-    """Sorted distinct buckets of a text's words, of the marks around its words, and of its share of repeats."""
+    """Sorted distinct buckets of a text's words, of their beginnings, of the marks around its words, and of its share of repeats."""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.translate(_TO_WORDS).split()
     if not words:
         return np.zeros(0, dtype=np.int64)
     distinct = set(words)
     found = set(map(zlib.crc32, distinct))
+    # rare inflections of a stem count together
+    found.update(map(zlib.crc32, {b"\x03" + w[:STEM] for w in distinct if len(w) > STEM}))
     for mark, n in Counter(raw.translate(None, _WORD_BYTES).split()).items():
         # a mark counts by the power of two of its share of all words
-        found.add(zlib.crc32(b"\x01%b\x01%d" % (mark[:24], max(-8, int(math.log2(n / len(words)))))))
+        found.add(zlib.crc32(b"\x01%b\x01%d" % (mark, max(-8, int(math.log2(n / len(words)))))))
     repeats = sum(map(eq, words, words[1:]))
     for name, share in ((b"rep", repeats / len(words)), (b"dist", len(distinct) / len(words)), (b"len", min(1.0, len(words) / 50))):
         found.add(zlib.crc32(b"\x02%b%d" % (name, int(share * 8))))
@@ -100,6 +105,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int
     common = np.bincount(cols, minlength=buckets) >= min(n / 4, LEAST_ROWS)
     owner, cols = owner[common[cols]], cols[common[cols]]
     used, cols = np.unique(cols, return_inverse=True)
+    # entries lie by row; sorted by bucket, sums over either are sums over neighbours
+    by_row, by_bucket = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (owner, np.sort(cols)))
+    filled, sorted_owner = owner[by_row], owner[np.argsort(cols, kind="stable")]
     share = np.bincount(grades, minlength=n_grades) / n
     weigh = 1 / np.sqrt(np.maximum(share, 1 / n))[grades]
     weigh /= weigh.mean() if len(weigh) else 1
@@ -109,7 +117,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
     for _ in range(steps):
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(owner, weights=w[cols], minlength=len(rows))
+        score = np.zeros(len(rows))
+        score[filled] = np.add.reduceat(w[cols], by_row) if len(cols) else 0.0
         upper = np.concatenate([[-np.inf], t, [np.inf]])
         low, high = upper[grades], upper[grades + 1]
         a, b = sigmoid(high - score), sigmoid(low - score)
@@ -119,7 +128,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int
         g_t = np.zeros(n_grades - 1)
         np.add.at(g_t, np.minimum(grades, n_grades - 2), np.where(grades < n_grades - 1, -weigh * da / p / n, 0))
         np.add.at(g_t, np.maximum(grades - 1, 0), np.where(grades > 0, weigh * db / p / n, 0))
-        steps_by = [np.bincount(cols, weights=g_score[owner], minlength=len(used)), g_t.sum(), np.cumsum(g_t[::-1])[::-1][1:] * np.exp(gaps)]
+        g_w = np.add.reduceat(g_score[sorted_owner], by_bucket) if len(cols) else np.zeros(0)
+        steps_by = [g_w, g_t.sum(), np.cumsum(g_t[::-1])[::-1][1:] * np.exp(gaps)]
         for s, g in zip((0, 1, 2), steps_by):
             sums[s] = sums[s] + np.square(g)
         pace = rate / np.sqrt(sums[0])
@@ -143,10 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [features(t.as_py()).astype(np.int32) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["place", "grade", "found"])
 
-    # ``chosen`` has at most ``sample`` rows, so it is broadcast
+    # a doc_id may stand in several rows, so the rows are bounded too; ``chosen`` has at most ``sample`` rows, so it is broadcast
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     placed = rows.select(F.xxhash64("doc_id", "text").alias("place"), "grade", "text")
-    got = placed.mapInArrow(run, "place long, grade int, found array<int>").toArrow().sort_by([("place", "ascending"), ("grade", "ascending")])
+    sampled = placed.mapInArrow(run, "place long, grade int, found array<int>").orderBy("place", "grade").limit(sample)
+    got = sampled.toArrow().sort_by([("place", "ascending"), ("grade", "ascending")])
     grades = got.column("grade").to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None
