@@ -13,7 +13,7 @@ import xxhash
 from tidemark.llm import exact_dedup, license_scan, mixing, ordinal_quality, packing, quality_rules, repeats, simhash
 from tidemark.llm.queries import tokenizer_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, digest string, row long, fp long, key string, bytes string, spans int, grp string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, digest string, row long, fp long, key string, bytes string, spans int, grp string, epochs long, part long, range string, source_size int, target int, taken int, level string, place int"
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -22,7 +22,7 @@ def words_of(text):
 
 
 def make(spark, rows):
-    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", "x", 1, 1, "k", "b", 0, "g") for i, t, lang, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, s, len(t or ""), "x", "x", 1, 1, "k", "b", 0, "g", 1, 1, "r", 1, 1, 1, "l", 1) for i, t, lang, s in rows], SCHEMA)
 
 
 @pytest.fixture(scope="module")

@@ -8,7 +8,9 @@ document only the first words are taken.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; sources of size 0 get target 0; equal keys are ordered by doc_id,
-then size; an empty table gives no rows.
+then size; repeated rows are taken each on its own; a text of any length is one
+value of its row; further columns stay as they are, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -121,17 +123,17 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     interchangeable and told apart by number.
     """
     key = lambda doc_id, sig: F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), sig)
-    plan = mix(docs, id_col, text_col, **how).select(key(F.col("doc_id"), F.col("sig")).alias("__row"), "epochs", "part")
-    plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("epochs", "part")))
+    plan = mix(docs, id_col, text_col, **how).select(key(F.col("doc_id"), F.col("sig")).alias("__row"), F.col("epochs").alias("__epochs"), F.col("part").alias("__part"))
+    plan = plan.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__epochs", "__part")))
     rows = docs.withColumn("__row", key(F.col(id_col), F.xxhash64(text_of(text_col))))
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy(F.lit(0))))
-    taken = rows.join(plan.filter("epochs + part > 0"), ["__row", "__nth"])
-    passes = F.sequence(F.lit(1).cast("long"), F.col("epochs") + F.when(F.col("part") > 0, 1).otherwise(0))
+    taken = rows.join(plan.filter("__epochs + __part > 0"), ["__row", "__nth"])
+    passes = F.sequence(F.lit(1).cast("long"), F.col("__epochs") + F.when(F.col("__part") > 0, 1).otherwise(0))
     taken = taken.withColumn("__pass", F.explode(passes))
-    some = F.array_join(F.slice(word_array(text_of(text_col)), 1, F.col("part").cast("int")), " ")
-    taken = taken.withColumn(text_col, F.when(F.col("__pass") > F.col("epochs"), some).otherwise(F.col(text_col)))
+    some = F.array_join(F.slice(word_array(text_of(text_col)), 1, F.col("__part").cast("int")), " ")
+    taken = taken.withColumn(text_col, F.when(F.col("__pass") > F.col("__epochs"), some).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.when(F.col("__pass") > F.col("epochs"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        taken = taken.withColumn("n_chars", F.when(F.col("__pass") > F.col("__epochs"), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
