@@ -266,10 +266,24 @@ def test_tokenizer_pieces_equal_whole_texts():
     whole = Tokenizer.from_file(tokenizer_path())
     texts = ["".join(rng.choice(" \n\tabé'sll1.,%　日\x85\xa0\x1c") for _ in range(rng.randint(0, 30))) for _ in range(600)]
     texts += ["", " ", "a\n b", "x <|endoftext|> y", "  a", "it's 12 345"]
+    # any code point but surrogates, spaces among them
+    anything = lambda: rng.choice(" " * 4 + chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])))
+    texts += ["".join(anything() for _ in range(rng.randint(1, 40))) for _ in range(8000)]
+    texts.append("x" * 300_000 + " y" * 300_000)
     got = packing.tokenizer(tokenizer_path()).ids_of(pa.array(texts))
     assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_tokenizer_on_a_whole_table(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    got = packing.tokenizer(tokenizer_path()).ids_of(pa.array(texts))
+    assert all(g.tolist() == whole.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts))
+
+
 def test_license_scan(docs, rows):
     got = Counter()
     for r in license_scan.scan(docs).collect():

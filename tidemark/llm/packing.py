@@ -12,12 +12,15 @@ Every task packs its own rows and holds the open windows only, so there is no
 shuffle, and a task that is lost is run again with the same result.
 
 Defined results: null text is empty (the end id alone); rows with equal doc_id
-are packed apart; an empty table gives no rows.
+are packed apart; doc_ids may be of any type; a text of any length is cut into whole
+windows and a rest; further columns are not read and can't clash; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -27,16 +30,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import text_of
 
 WINDOW = 2048
 END_ID = 1
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-
-
-#: Fixed value: how byte-level vocabularies of this kind cut text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: White space as the pattern knows it, for the matcher of Arrow.
@@ -48,15 +48,13 @@ def _strings(array: pa.Array) -> list[str]:
 
 
 class PieceTokenizer:
-    """Ids of whole texts, from ids of their distinct space-separated pieces.
-
-    The vocabulary's pattern never joins a word with what precedes the single
-    space before it, so pieces can be encoded apart, each once for many texts,
-    unless one is empty or has white space at an end: such a text is encoded as a
-    whole, and so is one that holds a special token's string.  Pieces are encoded
-    a line each: a line feed before a space is a token of its own and parts the
-    ids again.  If the file's merges are ranked by id, pieces are merged by rank;
-    else every text is encoded as a whole.
+    """Ids of whole texts by ``tokenizers``, from ids of their distinct space-separated pieces.
+
+    A byte-level vocabulary never joins a word with what precedes the single space
+    before it, so pieces can be encoded apart, each once for many texts, unless one is
+    empty or has white space at an end: such a text is encoded as a whole, and so is
+    one that holds a special token's string.  With a file of another kind every text
+    is encoded as a whole.
     """
 
     #: Pieces remembered from batch to batch; beyond that all are forgotten.
@@ -67,58 +65,44 @@ class PieceTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.encode = self._by_rank(path, self.special)
-        self.line = self.encode("\n") if self.encode else []
+        kind = self.whole.to_str()
+        self.by_piece = self._has_byte_level_words(json.loads(kind)) and not any(" " in s for s in self.special)
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, np.ndarray] = {}
 
     @staticmethod
-    def _by_rank(path: str, special: tuple[str, ...]):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        vocab, merges = spec["model"].get("vocab"), spec["model"].get("merges")
+    def _has_byte_level_words(spec: dict) -> bool:
         kind = spec.get("pre_tokenizer") or {}
         plain = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space", True)
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges or []]
-        ranks = [vocab.get(a + b, -1) for a, b in pairs] if isinstance(vocab, dict) else []
-        if not plain or spec.get("normalizer") or not ranks or any(a >= b for a, b in zip(ranks, ranks[1:])):
-            return None
-        import tiktoken
-
-        # printable bytes stand for themselves, the others for characters from 256 on
-        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-        known = {bytes(map(byte_of.get, token)): i for token, i in vocab.items() if token not in special}
-        return tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+        return plain and not spec.get("normalizer")
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, pieces: pa.Array) -> None:
+    def _head(self, piece: str) -> np.ndarray:
+        """Ids of a text's first piece, which has no space before it."""
+        if piece not in self.heads:
+            if len(self.heads) > self.MOST:
+                self.heads.clear()
+            self.heads[piece] = self._whole(piece)
+        return self.heads[piece]
+
+    def _learn(self, names: list[str]) -> None:
         """Encodes pieces, each after a space, and remembers their ids."""
         if len(self.known) > self.MOST:
             self.known.clear()
-        # a line feed inside a piece is a token of its own as well unless white space is beside it
-        apart = pc.match_substring_regex(pieces, f"\n{_SPACE}|{_SPACE}\n")
-        lines = pieces.filter(pc.invert(apart))
-        if len(lines):
-            names = _strings(lines)
-            ids = np.array(self.encode(" " + "\n ".join(names)), dtype="<u4")
-            parts = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
-            ends = parts[np.cumsum(pc.count_substring(lines, "\n").to_numpy() + 1) - 1] * 4
-            raw, at = ids.tobytes(), 0
-            for piece, end in zip(names, ends.tolist()):
-                self.known[piece] = raw[at:end]
-                at = end + 4
-        for piece in _strings(pieces.filter(apart)):
-            self.known[piece] = np.array(self.encode(" " + piece), dtype="<u4").tobytes()
+        for at in range(0, len(names), 10_000):
+            part = names[at : at + 10_000]
+            done = self.whole.encode_batch_fast([f" {n}" for n in part], add_special_tokens=False)
+            self.known.update((n, np.array(e.ids, dtype="<u4").tobytes()) for n, e in zip(part, done))
 
     def _pool(self, pieces: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces that aren't odd, where each one's begin and how many they are."""
         names = _strings(pieces)
         found = list(map(self.known.get, names))
-        new = np.array([f is None for f in found], dtype=bool) & ~odd
-        if new.any():
-            self._learn(pieces.filter(pa.array(new)))
+        new = [n for n, f, o in zip(names, found, odd.tolist()) if f is None and not o]
+        if new:
+            self._learn(new)
             found = [self.known.get(n) if f is None else f for n, f in zip(names, found)]
         found = [f or b"" for f in found]
         count = np.array(list(map(len, found)), dtype=np.int64) // 4
@@ -126,7 +110,7 @@ class PieceTokenizer:
 
     def ids_of(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; none may be null."""
-        if not self.encode or len(self.line) != 1:
+        if not self.by_piece:
             return [self._whole(t) for t in texts.to_pylist()]
         lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
         bounds = lists.offsets.to_numpy()
@@ -152,7 +136,7 @@ class PieceTokenizer:
             if bad_before[b] - bad_before[a]:
                 out.append(self._whole(texts[k].as_py()))
             else:
-                out.append(np.concatenate([np.array(self.encode(pieces[int(index[a])].as_py()), dtype="<u4"), ids[ends[a] : ends[b]]]))
+                out.append(np.concatenate([self._head(pieces[int(index[a])].as_py()), ids[ends[a] : ends[b]]]))
         return out
 
 
@@ -161,6 +145,7 @@ _TOKENIZERS: dict[str, PieceTokenizer] = {}
 
 def tokenizer(path: str) -> PieceTokenizer:
     if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         _TOKENIZERS[path] = PieceTokenizer(path)
     return _TOKENIZERS[path]
 
@@ -264,6 +249,8 @@ def portions(batch: pa.RecordBatch, size: int = 1 << 24) -> Iterator[pa.RecordBa
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece; see SCHEMA."""
+    rows_in = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    id_type = to_arrow_type(rows_in.schema["doc_id"].dataType)
 
     def run(batches):
         encode = tokenizer(tokenizer_path).ids_of
@@ -278,7 +265,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         out: list[tuple] = []
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else id_type) for k, c in enumerate(zip(*out))], names)
         for n, pieces in enumerate(pack_documents(rows(), window)):
             offset = 0
             for key, start, ids, total in pieces:
@@ -290,4 +277,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if out:
             yield send()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return rows_in.mapInArrow(run, SCHEMA.format(rows_in.schema["doc_id"].dataType.simpleString()))
