@@ -306,6 +306,62 @@ def test_license_spans_survive_edits(spark):
     assert r[0].labels == "bsd" and r[0].base_labels == "" and r[0].score >= 0.6 and r[1].labels == ""
 
 
+def plain_labels(text):
+    """Labels of passages by the definition: hits on diagonals, merged, of each span the longest chain."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found, best = set(), 0.0
+    for passage, label in license_scan.PASSAGES:
+        p = passage.split()
+        size = len(p) - 2
+        hits = [(i, j) for i in range(len(w) - 2) for j in range(size) if w[i : i + 3] == p[j : j + 3]]
+        diagonals = defaultdict(list)
+        for i, j in hits:
+            diagonals[i - j].append((i, j))
+        spans, last = [], None
+        for first, d in sorted((min(i for i, _ in x), d) for d, x in diagonals.items()):
+            if last is None or abs(d - last[0]) > license_scan.GAP or first - last[1] > size:
+                spans.append([])
+            spans[-1] += diagonals[d]
+            last = d, max(i for i, _ in diagonals[d])
+        for span in spans:
+            chains = {}
+            for i, j in sorted(span):
+                chains[i, j] = 1 + max((c for (a, b), c in chains.items() if a < i and b < j), default=0)
+            best = max(best, max(chains.values()) / size)
+            if max(chains.values()) >= license_scan.ENOUGH * size:
+                found.add(label)
+    return found, best
+
+
+def test_license_labels_against_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["redistribution and use " * 14, "the gnu general public license " * 30, "", None, "all rights reserved " * 3000]
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(license_scan.PASSAGES)[0].split()
+            for _ in range(rng.randint(0, 9)):
+                k = rng.randrange(len(w))
+                w[k : k + rng.randint(0, 2)] = rng.choice([[], ["odd"], w[:2], [w[k]] * 2])
+                w = w or ["x"]
+            if rng.random() < 0.3:
+                w = [x for _ in range(rng.randint(2, 5)) for x in w[: rng.randint(3, 8)]]
+            if rng.random() < 0.2:
+                rng.shuffle(w)
+            parts += w + ["plain"] * rng.randint(0, 30)
+        texts.append(" ".join(parts))
+    got = {r.doc_id: r for r in license_scan.scan(make(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    wrong = []
+    for i, t in enumerate(texts):
+        labels, best = plain_labels(t)
+        labels |= set(filter(None, got[i].base_labels.split(",")))
+        if ",".join(sorted(labels)) != got[i].labels or (got[i].n_base == 0 and abs(got[i].score - best) > 1e-9):
+            wrong.append((i, labels, best, got[i]))
+    assert not wrong and got[0].labels == "" and got[0].score < 0.2
+    assert sum(bool(r.labels) for r in got.values()) > 40
+
+
 def test_quality_statistics(docs, rows):
     got = Counter()
     for r in quality_rules.judge(docs).collect():

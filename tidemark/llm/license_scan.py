@@ -6,15 +6,19 @@ A hit votes for the diagonal (word in the document minus word in the template).
 A template that is hit by all its windows on one diagonal stands there word for
 word: that is a place, and base phrases are judged by it alone.  For the others,
 neighbouring diagonals are merged where their hits follow each other, so a span
-survives inserted and dropped words, and a merged span counts if enough of the
-template's windows are hit.
+survives inserted and dropped words.  A merged span is verified: of its hits the
+longest chain is taken that goes forward in the document and in the template, and
+the span counts if the chain has enough of the template's windows, so each position
+of the template counts once however often its words are repeated.
 
 The templates are a fixed list of some hundred words, so they are broadcast.
 Only hits and one marker row per document leave the scan's tasks.
 
 Defined results: null and empty texts have no words and no labels; a document
-shorter than k words has no hits; repeated doc_ids are told apart; an empty table
-gives no rows.
+shorter than k words has no hits; repeated doc_ids and equal rows are told apart; a
+text of any length is one value of its row, and so are the hits of one span, of which
+there are at most as many as words; further columns are not read and can't clash; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, text_of
@@ -69,6 +73,22 @@ def templates(spark: SparkSession, base=BASE, passages=PASSAGES, k: int = K) ->
     return spark.createDataFrame(rows, schema).withColumn("hash", F.xxhash64(*[f"t{i}" for i in range(k)]))
 
 
+def longest_chain(hits: Column, windows: Column) -> Column:
+    """Most hits whose words and template positions both rise, from (word, minus position) in order.
+
+    The state holds for each template position the longest chain that ends there; of
+    hits at one word later positions come first, so one can't follow another.
+    """
+    none = F.array_repeat(F.lit(0), windows)
+
+    def step(best: Column, hit: Column) -> Column:
+        at = -hit["back"]
+        longer = F.coalesce(F.array_max(F.slice(best, F.lit(1), at)), F.lit(0)) + 1
+        return F.transform(best, lambda b, i: F.when(i == at, F.greatest(b, longer)).otherwise(b))
+
+    return F.coalesce(F.aggregate(hits, none, step, F.array_max), F.lit(0))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, passages=PASSAGES, k: int = K) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
@@ -94,19 +114,20 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     )
     # votes: hits of one template on one diagonal
     votes = hits.groupBy("row", "doc_id", "n_words", "template", "label", "base", "windows", "diagonal").agg(
-        F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last")
+        F.count(F.lit(1)).alias("n"), F.min("word").alias("first"), F.max("word").alias("last"), F.collect_list(F.when(~F.col("base"), F.struct("word", (-F.col("at")).alias("back")))).alias("hits")
     )
     # neighbouring diagonals whose hits lie within a template's length make one span
     along = Window.partitionBy("row", "template").orderBy("first", "diagonal")
     far = (F.abs(F.col("diagonal") - F.lag("diagonal").over(along)) > GAP) | (F.col("first") - F.lag("last").over(along) > F.col("windows"))
     votes = votes.withColumn("island", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(along))
     spans = votes.groupBy("row", "doc_id", "n_words", "template", "label", "base", "windows", "island").agg(
-        F.sum("n").alias("n"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"),
+        F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"),
         F.sum(F.when(F.col("base") & (F.col("n") == F.col("windows")), 1).otherwise(0)).alias("places"),
         F.min(F.when(F.col("base") & (F.col("n") == F.col("windows")), F.col("diagonal"))).alias("first_place"),
         F.max(F.when(F.col("base") & (F.col("n") == F.col("windows")), F.col("diagonal"))).alias("last_place"),
     )
-    spans = spans.withColumn("score", F.when(F.col("template").isNull() | (F.col("base") & (F.col("places") == 0)), 0.0).otherwise(F.least(F.lit(1.0), F.col("n") / F.col("windows"))))
+    chain = F.when(F.col("base"), F.col("places") * F.col("windows")).otherwise(longest_chain(F.col("hits"), F.col("windows")))
+    spans = spans.withColumn("score", F.when(F.col("template").isNull(), 0.0).otherwise(F.least(F.lit(1.0), chain / F.col("windows"))))
     good = F.when(F.col("base"), F.col("places") > 0).otherwise(F.col("score") >= ENOUGH)
     label = F.when(good, F.col("label"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
