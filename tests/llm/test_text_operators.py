@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, license_scan, mixing, ordinal_quality, packing, quality_rules, repeats, simhash
 from tidemark.llm.queries import tokenizer_path
@@ -389,6 +390,61 @@ def test_quality_outliers_go_and_clean_stays(spark):
     assert all(r.kept for r in few)  # too few to judge
 
 
+def plain_mcd(x, share, trials=300, seed=0):
+    """Smallest regularised determinant by random starts of concentration steps, as FastMCD does; and the distances."""
+    rng = np.random.default_rng(seed)
+    n, dims = x.shape
+    h = math.ceil(share * n)
+    ridge = np.diag(np.square(quality_rules.FLOORS))
+    factor = quality_rules.consistency(share, dims)
+    estimate = lambda rows: (rows.mean(0), factor * np.cov(rows.T, bias=True) + ridge)
+    best = None
+    for trial in range(trials):
+        mean, cov = estimate(x if trial == 0 else x[rng.choice(n, dims + 1, replace=False)])
+        size = math.inf
+        while True:
+            d2 = np.einsum("ij,ij->i", x - mean, np.linalg.solve(cov, (x - mean).T).T)
+            mean, cov = estimate(x[np.argsort(d2, kind="stable")[:h]])
+            now = np.linalg.slogdet(cov)[1]
+            if now >= size - 1e-9:
+                break
+            size = now
+        if best is None or size < best[0]:
+            best = size, mean, cov
+    size, mean, cov = best
+    return size, np.einsum("ij,ij->i", x - mean, np.linalg.solve(cov, (x - mean).T).T)
+
+
+def test_estimates_against_exact_minimum(spark):
+    rng = np.random.default_rng(5)
+    groups = {}
+    for g, (n, bad) in enumerate([(30, 3), (80, 12), (400, 90), (900, 0), (60, 0)]):
+        x = rng.normal(0, 1, (n, 5)) @ rng.normal(0, 0.6, (5, 5)) + rng.normal(0, 3, 5)
+        x[:bad] = rng.normal(0, 0.2, (bad, 5)) + x.mean(0) + 9 * rng.choice([-1, 1], 5)
+        if g == 4:
+            x[:, 3:] = 0.0  # two statistics that never differ
+        groups[f"g{g}"] = x
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "grp string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    found = {r.grp: r for r in quality_rules._with_distance(rows.join(quality_rules.estimates(rows), "grp")).groupBy("grp").agg(F.sort_array(F.collect_list("d2")).alias("d2")).collect()}
+    for g, x in groups.items():
+        size, d2 = plain_mcd(x, quality_rules.SHARE)
+        limit = quality_rules.chi_square_limit(1e-12, 5)
+        mine = np.array(found[g].d2)
+        assert (mine > limit).sum() == (d2 > limit).sum()  # the same rows are far
+        # bins keep a few rows more than the exact share, so distances agree but for some percent
+        assert np.median(np.abs(mine / np.sort(d2) - 1)) < 0.12
+
+
+def test_groups_are_widened_until_they_are_enough(spark):
+    rows = [(f"l{k % 2}", f"s{k % 3}", False) for k in range(180)] + [("l0", "t", False)] * 20 + [("l0", "u", False)] * 10 + [("l1", "u", False)] * 24 + [("l2", None, False), (None, None, False), ("l1", "v", True)]
+    docs = spark.createDataFrame(rows, "by0 string, by1 string, base_failed boolean")
+    got = {(r.by0, r.by1): r.grp for r in quality_rules.pooled(docs, ["by0", "by1"]).collect()}
+    assert len({got[f"l{k % 2}", f"s{k % 3}"] for k in range(6)}) == 6 and None not in {got[f"l{k % 2}", f"s{k % 3}"] for k in range(6)}
+    assert got["l0", "t"] == got["l0", "u"] not in (None, got["l0", "s0"])  # 30 of one language
+    assert got["l1", "u"] == got["l2", None] == got[None, None]  # 26 of all
+    assert got["l1", "v"] is None  # only rows that failed
+
+
 def test_chi_square():
     assert quality_rules.chi_square_limit(0.05, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality_rules.chi_square_limit(0.05, 4) == pytest.approx(9.4877, abs=1e-3)
