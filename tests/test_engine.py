@@ -316,3 +316,79 @@ def test_precursors_cover_every_event(spark):
     for name in ("precursor_metrics", "precursor_conditions"):
         got = QUERIES[name](spark, "/root/testdata/sf0.01")
         assert {r.event for r in got.select("event").distinct().collect()} == {k for k, *_ in EVENTS}
+
+
+def test_condition_lists_hold_any_expression(spark):
+    rows = spark.createDataFrame([(-1, 2), (2, 5), (0, 0), (None, 1)], "x int, y int")
+    found = lambda text: [r.x for r in rows.filter(condition(text, rows.columns)).collect()]
+    assert found("x in [-1, 2]") == [-1, 2] and found("x in (y, 2)") == [2, 0] and found("x in []") == []
+    assert found("x not in [-1]") == [2, 0, None] and found("x in [y - 3]") == [-1, 2]
+    with pytest.raises(ValueError):
+        condition("x in [z]", rows.columns)
+
+
+def test_matured_analogs_are_the_first_with_an_outcome(spark):
+    from tidemark.plans import dossier
+
+    rows = [("M", START + timedelta(weeks=k), float(100 - k), k, None if k < 4 else 0.01 * k) for k in range(1, 12)]
+    found = spark.createDataFrame(rows, "market string, report_date date, similarity double, place int, fwd_return_8w double")
+    assert [r.fwd_return_8w for r in dossier.matured(found).collect()] == pytest.approx([0.04, 0.05, 0.06, 0.07, 0.08])
+
+
+def test_a_repeated_role_fails_the_states(spark):
+    rows = weekly(spark, [1.0, 2.0])
+    with pytest.raises(Exception, match="repeated market"):
+        states.wide(rows.union(rows.limit(1)), columns=("net",)).collect()
+
+
+def test_extremity_and_momentum(spark):
+    rows = spark.createDataFrame([(5.0, 0.0, 0.0, 1.0), (20.0, 2.0, 0.0, -1.0), (80.0, 0.0, 3.0, 1.0), (95.0, 1.0, 1.0, 0.0), (50.0, None, None, None), (30.0, 0.0, 0.0, -2.0), (None, 0.0, 0.0, 5.0)], "p double, u double, d double, c double")
+    got = rows.select(E.extremity(F.col("p")).alias("e"), E.momentum(F.col("u"), F.col("d"), F.col("c")).alias("m")).collect()
+    assert [r.e for r in got] == ["extreme_low", "near_low", "near_high", "extreme_high", "middle", "usual", None]
+    assert [r.m for r in got] == ["month_up", "streak_up", "streak_down", "flat", "unknown", "month_down", "month_up"]
+
+
+def test_assessment_is_gated(spark):
+    rows = [("few", START + timedelta(weeks=i), 0.01 * (i % 3), i < 10) for i in range(60)] + [("many", START + timedelta(weeks=i), 0.01 * (i % 5) - 0.02, i < 30) for i in range(90)]
+    table = spark.createDataFrame(rows, "market string, report_date date, r double, t boolean")
+    got = {r.market: r for r in statistics.assess(table, ("market",), "r", ("report_date",), F.col("t"), tests=25, draws=200).collect()}
+    few, many = got["few"], got["many"]
+    assert few.n == 10 and not few.sufficient and few.permutation_p is None and few.median_lo is None and not few.many_tests
+    assert many.sufficient and many.many_tests and many.quality == "moderate" and many.cohens_d == pytest.approx(0) and many.binomial_p == pytest.approx(1)
+    assert many.median_lo <= 0 <= many.median_hi and many.permutation_p > 0.5
+
+
+def test_run_assessment_and_freeze(spark):
+    rows = [("a", i, p) for i, p in enumerate([1e-5] * 3 + [0.6] * 50)] + [("b", 0, 0.2), ("c", 0, None)]
+    got = {r.family: r for r in statistics.run_assessment(spark.createDataFrame(rows, "family string, id int, p double"), "p", ("family",), F.when(F.col("family") == "a", "confirmatory").otherwise("discovery")).collect()}
+    assert got["a"].n_rejected == 3 and got["a"].many_tests and got["a"].confirmed and not got["a"].fails_bonferroni and got["a"].expected_false == pytest.approx(2.65)
+    assert got["b"].expected_false is None and not got["b"].confirmed and got["c"].best_p is None and got["c"].n_rejected == 0
+    open_ = spark.createDataFrame([("h", "discovery", None, None, None)], "hid string, mode string, train_end date, prior_tests int, frozen_at timestamp")
+    once = statistics.freeze(open_, "2020-01-01", F.lit(7))
+    again = statistics.freeze(once, "2024-01-01", F.lit(99)).first()
+    assert again.mode == "confirmatory" and str(again.train_end) == "2020-01-01" and again.prior_tests == 7
+
+
+def test_chart_marks_are_first_weeks(spark):
+    spec = [0, 5, 4, 3, 2, 1, 0, -1, -2, -3, -4, -5, -6, 2, 3, 4]
+    rows = [("M", r, START + timedelta(weeks=i), float(max(v, 0)), float(max(-v, 0)), 100.0) for r, k in (("spec", 1), ("slow", -1), ("other", 0)) for i, v in enumerate(k * x for x in spec)]
+    table = metrics.basic(spark.createDataFrame(rows, "market string, role string, report_date date, long double, short double, open_interest double"))
+    got = metrics.chart(table).orderBy("report_date").collect()
+    low = [r.is_low for r in got]
+    assert [r.mark_low for r in got] == [x and not (k and low[k - 1]) for k, x in enumerate(low)] and sum(r.mark_low for r in got) == 1
+    assert got[14].is_turn_down is False and any(r.mark_apart for r in got) and got[14].mark_covering  # -6 to 2: mostly shorts closed
+    drawn = metrics.chart_mode(metrics.chart(table), "change").orderBy("report_date").collect()
+    assert drawn[14].spec == 8 and drawn[14].slow == -8
+    with pytest.raises(ValueError):
+        metrics.chart_mode(metrics.chart(table), "price")
+
+
+def test_known_at_never_passes_the_unknown(spark):
+    rows = spark.createDataFrame([("2020-01-01", "confirmed"), ("2020-01-01", "UNKNOWN"), ("2020-01-01", None), ("2030-01-01", "confirmed"), (None, "confirmed")], "d string, c string").select(F.to_date("d").alias("d"), "c")
+    assert [r[0] for r in rows.select(guard.known_at(F.col("d"), "2021-01-01", F.col("c"))).collect()] == [True, False, False, False, False]
+
+
+def test_divergences_in_words(spark):
+    rows = spark.createDataFrame([(["Leveraged Funds vs Price", "other"],), ([],)], "f array<string>")
+    got = [r[0] for r in rows.select(states.divergence_words(F.col("f"))).collect()]
+    assert got == [[states.DIVERGENCES["Leveraged Funds vs Price"], "other"], []]

@@ -66,7 +66,8 @@ def condition(text: str, columns) -> Column:
 
     def compare(a: ast.AST, op: ast.cmpop, b: ast.AST) -> Column:
         if isinstance(op, (ast.In, ast.NotIn)) and isinstance(b, (ast.List, ast.Tuple)):
-            inside = of(a).isin(*[c.value for c in b.elts if isinstance(c, ast.Constant)])
+            # any element may be a column or an expression; an empty list holds nothing
+            inside = reduce(lambda x, y: x | y, [F.coalesce(of(a) == of(c), F.lit(False)) for c in b.elts], F.lit(False))
             return inside if isinstance(op, ast.In) else ~inside
         if type(op) not in _COMPARE:
             raise ValueError(f"not a comparison: {ast.dump(op)}")

@@ -78,14 +78,14 @@ def _holds(conditions: Sequence[tuple], columns: Sequence[str]) -> Column:
 def first_rule(rules: Sequence[tuple], columns: Sequence[str]) -> tuple[Column, Column]:
     """Name of the first rule whose conditions all hold, and the reasons as an array.
 
-    A NULL or missing column fails its condition; without conditions a rule holds.
+    A NULL or missing column fails its condition; without conditions a rule holds, and says so.
     """
     name, reasons = None, None
-    for rule, text, conditions in rules:
+    for rule, conditions in rules:
         holds = _holds(conditions, columns)
         # a rule with a missing column never holds, so its reasons needn't name the column
         parts = [F.concat(F.lit(f"{c} {op} {limit} (actual: "), F.col(c).cast("string"), F.lit(")")) for c, op, limit in conditions if c in columns]
-        why = F.array(*parts) if parts else F.array(F.lit(text))
+        why = F.array(*parts) if parts else F.array(F.lit("No rule met."))
         name = F.when(holds, rule) if name is None else name.when(holds, rule)
         reasons = F.when(holds, why) if reasons is None else reasons.when(holds, why)
     if name is None:
@@ -93,7 +93,7 @@ def first_rule(rules: Sequence[tuple], columns: Sequence[str]) -> tuple[Column,
     return name.otherwise("Unclassified"), reasons.otherwise(F.array().cast("array<string>"))
 
 
-def bucket(x: Column, limits: Sequence[tuple[str, float, str]], otherwise: str) -> Column:
+def bucket(x: Column, limits: Sequence[tuple[str, float, str]], otherwise: str | Column) -> Column:
     """First label whose (op, limit) x meets."""
     chain = None
     for op, limit, label in limits:
@@ -111,6 +111,24 @@ def stance(net_oi: Column) -> Column:
     return F.when(net_oi.isNotNull(), F.when(net_oi > 0.02, "long").when(net_oi < -0.02, "short").otherwise("flat"))
 
 
+def extremity(pct: Column) -> Column:
+    """Where a percentile lies in its range, in wider steps than ``level_label``."""
+    limits = [("<=", 5, "extreme_low"), ("<=", 20, "near_low"), (">=", 95, "extreme_high"), (">=", 80, "near_high")]
+    middle = F.when(pct.between(40, 60), "middle").otherwise("usual")
+    return F.when(pct.isNotNull(), bucket(pct, limits, middle))
+
+
+def momentum(up: Column, down: Column, chg_4w: Column) -> Column:
+    """A streak of two weeks or more, else the sign of the month."""
+    month = F.when(chg_4w.isNull(), "unknown").when(chg_4w > 0, "month_up").when(chg_4w < 0, "month_down").otherwise("flat")
+    return F.when(F.coalesce(up >= 2, F.lit(False)), "streak_up").when(F.coalesce(down >= 2, F.lit(False)), "streak_down").otherwise(month)
+
+
+def cleaned(x: Column) -> Column:
+    """NULL for NaN."""
+    return F.when(~F.isnan(x), x)
+
+
 def badge(pct: Column, up: Column, down: Column, chg_4w: Column) -> Column:
     """Screener badge; a missing percentile counts as 50, a missing streak or change as 0."""
     p = F.coalesce(pct, F.lit(50.0))

@@ -21,6 +21,12 @@ def available(rows: DataFrame, as_of, date_col: str = "availability_date") -> Da
     return rows.filter(F.col(date_col) <= F.lit(as_of).cast("date"))
 
 
+def known_at(available_at: Column, as_of, confidence: Column | None = None) -> Column:
+    """Whether a value was known: never without a date or with an unknown confidence."""
+    known = F.coalesce(available_at <= F.lit(as_of).cast("date"), F.lit(False))
+    return known if confidence is None else known & F.coalesce(F.upper(confidence) != "UNKNOWN", F.lit(False))
+
+
 def violations(rows: DataFrame, as_of, date_col: str = "availability_date") -> DataFrame:
     """One row: rows in all, in the future, and of unknown date."""
     d = to_date_or_null(F.col(date_col))

@@ -91,6 +91,15 @@ def contingency(rows: DataFrame, events=EVENTS, conditions=CONDITIONS) -> DataFr
     return rated.withColumn("verdict", call.otherwise(F.when(F.col("lift_pp") > 0, "more_often").otherwise("less_often")))
 
 
+def condition_dates(rows: DataFrame, events=EVENTS, conditions=CONDITIONS, last: int = 40) -> DataFrame:
+    """The last weeks in which a condition held and its event is known: (market, cond, event, report_date)."""
+    full = with_events(with_conditions(rows), events)
+    held = full.select("market", "report_date", F.explode(_flags(full, "c_", conditions, "cond")).alias("c"), _flags(full, "ev_", [e[0] for e in events], "event").alias("evs")).filter("c.cond_flag")
+    known = held.select("market", "report_date", "c.cond", F.inline("evs")).filter("event_flag is not null").drop("event_flag")
+    newest = Window.partitionBy("market", "cond", "event").orderBy(F.desc("report_date"))
+    return known.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= last).drop("place")
+
+
 def threshold_points(rows: DataFrame, pip: float, events=EVENTS) -> DataFrame:
     """Thresholds in points of the median price, rounded half to even."""
     moved = with_moves(rows, events)
@@ -126,7 +135,8 @@ def precursor_metrics(rows: DataFrame, events=EVENTS, weeks_before: int = LOOKBA
 
 
 def precursor_conditions(rows: DataFrame, events=EVENTS, weeks_before: int = LOOKBACK_WEEKS, top: int = TOP_MOVES, conditions=CONDITIONS) -> DataFrame:
-    """For each event the share of the largest moves with a condition in the weeks before, against its weekly share."""
+    """For each event the share of the largest moves with a condition in the weeks before, against its weekly share; the largest
+    differences of an event come first."""
     w = E.market_weeks("market").rowsBetween(-(weeks_before - 1), 0)
     flagged = with_conditions(rows)
     flagged = flagged.withColumns({f"h_{c}": F.coalesce(F.max(F.col(f"c_{c}").cast("int")).over(w), F.lit(0)) for c in conditions})
@@ -134,7 +144,7 @@ def precursor_conditions(rows: DataFrame, events=EVENTS, weeks_before: int = LOO
     at = _largest(flagged, events, top).groupBy("market", "event").agg(F.count(F.lit(1)).alias("n_moves"), *[F.avg(F.col(f"h_{c}").cast("double")).alias(f"s_{c}") for c in conditions])
     cells = [F.struct(F.lit(c).alias("cond"), F.col(f"s_{c}").alias("share_before"), F.col(f"a_{c}").alias("base_share")) for c in conditions]
     joined = at.filter("n_moves >= 5").join(always, "market").select("market", "event", "n_moves", F.inline(F.array(*cells)))
-    return joined.filter("base_share is not null").withColumn("diff_pp", (F.col("share_before") - F.col("base_share")) * 100)
+    return joined.filter("base_share is not null").withColumn("diff_pp", (F.col("share_before") - F.col("base_share")) * 100).orderBy("market", "event", F.desc(F.abs("diff_pp")), "cond")
 
 
 def episodes(rows: DataFrame, flag: Column, gap: int = 0) -> DataFrame:

@@ -92,3 +92,41 @@ def indicator(rows: DataFrame, weeks: int = 52, shift: int = 1, keys=KEYS) -> Da
     mark = F.coalesce((F.col("ind_pct") <= 10) | (F.col("ind_pct") >= 90), F.lit(False))
     rows = rows.withColumn("ind_extreme", mark)
     return rows.withColumn("ind_mark", F.col("ind_extreme") & ~F.coalesce(F.lag("ind_extreme").over(w), F.lit(False)))
+
+
+CHART_MODES = ("net", "pct", "z", "change")
+
+
+def chart(rows: DataFrame, roles=("spec", "slow", "other"), weeks: int = 52, shift: int = 1, low: float = 10, high: float = 90, turn: int = 2) -> DataFrame:
+    """The chart of a market, a row a week: what each mode shows of each role, and the conditions that are marked.
+
+    Values are those of ``indicator``, shifted.  ``mark_`` columns are true in the first week of
+    an extreme, a turn or a divergence, and in each week of short covering.
+    """
+    w, m = E.market_weeks(*KEYS), E.market_weeks("market")
+    seen = indicator(rows, weeks, shift).withColumn("seen_long", F.lag("long", shift).over(w))
+    seen = streaks(seen, "seen").withColumns({"change": E.change(F.col("seen"), 1, w), "long_change": E.change(F.col("seen_long"), 1, w)})
+    shown = {"net": "seen", "pct": "ind_pct", "z": "ind_z", "change": "change"}
+    cells = {f"{mode}_{r}": F.max(F.when(F.col("role") == r, F.col(c))) for mode, c in shown.items() for r in roles}
+    cells |= {c: F.max(F.when(F.col("role") == roles[0], F.col(c))) for c in ("long_change", "streak_up_weeks", "streak_down_weeks")}
+    wide = seen.groupBy("market", "report_date").agg(*[v.alias(k) for k, v in cells.items()])
+    fast, slow = roles[:2]
+    pct, moved = F.col(f"pct_{fast}"), F.col(f"change_{fast}")
+    apart = E.change(F.col(f"net_{fast}"), 4, m) * E.change(F.col(f"net_{slow}"), 4, m) < 0
+    conditions = {
+        "low": pct <= low,
+        "high": pct >= high,
+        "turn_up": (pct <= 2 * low) & (F.col("streak_up_weeks") >= turn),
+        "turn_down": (pct >= 100 - 2 * (100 - high)) & (F.col("streak_down_weeks") >= turn),
+        "apart": apart,
+    }
+    wide = wide.withColumns({f"is_{k}": F.coalesce(c, F.lit(False)) for k, c in conditions.items()})
+    first = {f"mark_{k}": F.col(f"is_{k}") & ~F.coalesce(F.lag(f"is_{k}").over(m), F.lit(False)) for k in conditions}
+    return wide.withColumns(first).withColumn("mark_covering", F.coalesce((moved > 0) & (F.abs("long_change") < F.abs(moved) / 3), F.lit(False)))
+
+
+def chart_mode(chart_rows: DataFrame, mode: str, roles=("spec", "slow", "other")) -> DataFrame:
+    """What one mode of the chart draws: (market, report_date, a column for each role)."""
+    if mode not in CHART_MODES:
+        raise ValueError(f"mode must be one of {CHART_MODES}")
+    return chart_rows.select("market", "report_date", *[F.col(f"{mode}_{r}").alias(r) for r in roles])

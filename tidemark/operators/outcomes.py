@@ -72,6 +72,19 @@ def regime_history(rows: DataFrame, horizon: int = 8) -> DataFrame:
     return counted.join(lengths, "market", "left").join(base, "market")
 
 
+def regime_comparisons(rows: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """Earlier weeks in the regime of each market's last week against all weeks, for every horizon."""
+    now = states.latest(rows.select("market", "report_date", "regime")).select("market", F.col("regime").alias("now"), F.col("report_date").alias("last_date"))
+    past = rows.join(now, "market").withColumn("same", (F.col("regime") == F.col("now")) & (F.col("report_date") < F.col("last_date")))
+    return compare_to_base(long_returns(past, ("market", "now", "same"), horizons), F.col("same"), "r", ("market", "now", "horizon")).withColumnRenamed("now", "regime")
+
+
+def regime_dates(rows: DataFrame) -> DataFrame:
+    """The dates of those earlier weeks, a row each: (market, regime, report_date)."""
+    now = states.latest(rows.select("market", "report_date", "regime")).select("market", "regime", F.col("report_date").alias("last_date"))
+    return rows.select("market", "regime", "report_date").join(now, ["market", "regime"]).filter("report_date < last_date").drop("last_date")
+
+
 def scan(rows: DataFrame, horizon: int = 8) -> DataFrame:
     """One row per market for its last week, with the history of its regime; highest percentile first, unknown last."""
     last = states.latest(rows.select("market", "report_date", "regime", "spec_net_oi", "spec_pct_52w", "spec_chg_4w", "slow_net_oi", "slow_pct_52w"))

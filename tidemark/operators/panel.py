@@ -33,10 +33,17 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def positions(rows: DataFrame) -> DataFrame:
-    """(market, role, report_date, long, short, open_interest); interest is the larger side of the week."""
+def daily(rows: DataFrame) -> DataFrame:
+    """Line items summed by market, role and day: all that positions and prices need of them."""
     side = lambda long: F.coalesce(F.sum(F.when(F.col("is_long") == long, F.col("quantity"))), F.lit(0.0))
-    cells = rows.groupBy("market", "role", "report_date").agg(side(True).alias("long"), side(False).alias("short"))
+    return rows.groupBy("market", "role", "date", "report_date").agg(
+        side(True).alias("long"), side(False).alias("short"), F.sum("price").alias("price_sum"), F.count("price").alias("n_prices")
+    )
+
+
+def positions(days: DataFrame) -> DataFrame:
+    """(market, role, report_date, long, short, open_interest); interest is the larger side of the week."""
+    cells = days.groupBy("market", "role", "report_date").agg(F.sum("long").alias("long"), F.sum("short").alias("short"))
     week = cells.groupBy("market", "report_date").agg(F.greatest(F.sum("long"), F.sum("short")).alias("open_interest"))
     return cells.join(week, ["market", "report_date"]).select("market", "role", "report_date", "long", "short", "open_interest")
 
@@ -66,6 +73,6 @@ def unpivot_participants(wide: DataFrame, participants: dict[str, tuple[str, str
     return wide.select(*keys, F.inline(F.array(*pairs)))
 
 
-def prices(rows: DataFrame) -> DataFrame:
+def prices(days: DataFrame) -> DataFrame:
     """(market, date, close): the day's mean price."""
-    return rows.groupBy("market", "date").agg(F.avg("price").alias("close"))
+    return days.groupBy("market", "date").agg(F.try_divide(F.sum("price_sum"), F.sum("n_prices")).alias("close"))

@@ -97,3 +97,8 @@ def resolve_contracts(names: DataFrame, wanted: DataFrame) -> DataFrame:
     hits = names.select("name").distinct().join(F.broadcast(each), F.upper("name").contains(F.upper("variant")))
     best = Window.partitionBy("code").orderBy("pos", F.length("name"), "name")
     return hits.withColumn("place", F.row_number().over(best)).filter("place = 1").select("code", "name", "variant")
+
+
+def loaded(rows: DataFrame, made_up: str = "synthetic") -> DataFrame:
+    """One row on everything stored: how many sources and markets, and whether anything is made up."""
+    return rows.agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("market").alias("n_markets"), F.coalesce(F.bool_or(F.col("source").startswith(made_up)), F.lit(False)).alias("any_made_up"))

@@ -1,7 +1,7 @@
 """Resampling, tests and evidence.
 
-Resampling indices come from a linear congruence of draw and position, so a
-result never depends on how rows are partitioned.
+Resampling indices come from an md5 of draw and position, so a result never depends
+on how rows are partitioned.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..config import BOOTSTRAP_DRAWS, INTERVAL, MIN_EFFECTIVE, SEED
+from ..config import BOOTSTRAP_DRAWS, INTERVAL, MIN_EFFECTIVE, MIN_SAMPLE, SEED
 from ..functions import expressions as E
 
 
@@ -30,20 +30,30 @@ def _values(rows: DataFrame, by, value: str, order) -> DataFrame:
     return known.groupBy(*by).agg(sorted_.alias("values")).withColumn("n", F.size("values"))
 
 
+def _drawn(groups: DataFrame, by, draws: int, parts: int = 16) -> DataFrame:
+    """A row for each group and draw; parts of the draws are dealt out, so a group's draws are spread over tasks."""
+    size = -(-draws // parts)
+    dealt = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // size) - 1)))).repartition(*by, "part")
+    last = F.least((F.col("part") + 1) * size, F.lit(draws)) - 1
+    return dealt.withColumn("draw", F.explode(F.sequence(F.col("part") * size, last))).drop("part")
+
+
 def bootstrap(rows: DataFrame, by, value: str, order, block: int = 1, draws: int = BOOTSTRAP_DRAWS, interval=INTERVAL, seed: int = SEED, least: int = 10) -> DataFrame:
     """Intervals of median, mean and win rate by resampling single values (block 1) or moving blocks.
 
-    Groups of fewer than ``least`` values have none.  A draw's sample is built
-    inside its row; draws are spread over the cluster.
+    Groups of fewer than ``least`` values have none.  A draw's sample and its statistics
+    are built inside its row, so samples are never shuffled.
     """
-    groups = _values(rows, by, value, order).filter(F.col("n") >= least)
-    size = F.least(F.lit(block), F.col("n"))
-    drawn = groups.withColumn("block", size).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    groups = _values(rows, by, value, order).filter(F.col("n") >= least).withColumn("block", F.least(F.lit(block), F.col("n")))
+    drawn = _drawn(groups, by, draws)
     # position p is the (p % block)-th value of block p / block, whose start is drawn
     start = lambda p: hashed_index(F.col("draw"), F.floor(p / F.col("block")), F.col("n") - F.col("block") + 1, seed)
     place = lambda p: F.element_at("values", start(p) + (p % F.col("block")) + 1)
-    sampled = drawn.select(*by, "n", "draw", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)).alias("v"))
-    each = sampled.groupBy(*by, "n", "draw").agg(F.median("v").alias("median"), F.avg("v").alias("mean"), F.avg((F.col("v") > 0).cast("double")).alias("win_rate"))
+    sampled = drawn.select(*by, "n", F.array_sort(F.transform(F.sequence(F.lit(0), F.col("n") - 1), place)).alias("v"))
+    middle = (F.element_at("v", F.floor((F.col("n") + 1) / 2).cast("int")) + F.element_at("v", (F.floor(F.col("n") / 2) + 1).cast("int"))) / 2
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
+    won = F.size(F.filter("v", lambda x: x > 0))
+    each = sampled.select(*by, "n", middle.alias("median"), (total / F.col("n")).alias("mean"), (won / F.col("n")).alias("win_rate"))
     edges = {"lo": interval[0] / 100, "hi": interval[1] / 100}
     return each.groupBy(*by, "n").agg(*[F.percentile(s, F.lit(q)).alias(f"{s}_{e}") for s in ("median", "mean", "win_rate") for e, q in edges.items()])
 
@@ -54,7 +64,7 @@ def permutation(rows: DataFrame, by, value: str, order, chosen: Column, draws: i
     population = _values(rows, by, value, order)
     picked = rows.filter(chosen & F.col(value).isNotNull()).groupBy(*by).agg(F.count(value).alias("k"), F.avg(value).alias("observed"))
     joined = population.join(picked, list(by)).withColumn("centre", F.aggregate("values", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    drawn = joined.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = _drawn(joined, by, draws)
     place = lambda p: F.element_at("values", hashed_index(F.col("draw"), p, F.col("n"), seed) + 1)
     total = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("k").cast("int") - 1), place), F.lit(0.0), lambda s, x: s + x)
     # rounded, so that the order in which doubles are summed can't decide a tie
@@ -98,6 +108,58 @@ def benjamini_hochberg(rows: DataFrame, p: str, by=(), alpha: float = 0.05, tie=
     return ranked.withColumns({"threshold": threshold, "rejected": F.coalesce(F.col("rank") <= F.col("last"), F.lit(False))}).drop("last")
 
 
+def assess(rows: DataFrame, by, value: str, order, chosen: Column, tests: int | None = None, draws: int = BOOTSTRAP_DRAWS, seed: int = SEED) -> DataFrame:
+    """All tests of the chosen rows against the population they are from; with fewer than
+    ``MIN_SAMPLE`` values only their number.
+
+    Effect size against the whole population, chosen rows included; ``many_tests`` if more
+    than 20 were made in the session.
+    """
+    from .outcomes import compare_to_base
+
+    keys = list(by)
+    base = compare_to_base(rows, chosen, value, tuple(by)).select(*by, "n", "win_rate", "base_win_rate")
+    limits = bootstrap(rows.filter(chosen), by, value, order, draws=draws, seed=seed).select(*by, "median_lo", "median_hi")
+    moved = permutation(rows, by, value, order, chosen, draws, seed).select(*by, F.col("p_value").alias("permutation_p"))
+    twice = rows.filter(chosen).withColumn("__a", F.lit(True)).unionByName(rows.withColumn("__a", F.lit(False)))
+    effect = cohens_d(twice, by, value, F.col("__a")).select(*by, "cohens_d")
+    wins = F.round(F.col("win_rate") * F.col("n"))
+    joined = base.join(limits, keys, "left").join(moved, keys, "left").join(effect, keys, "left")
+    joined = joined.withColumn("binomial_p", binomial_p(wins, F.col("n"), F.col("base_win_rate")))
+    enough = F.col("n") >= MIN_SAMPLE
+    found = joined.withColumns({c: F.when(enough, F.col(c)) for c in ("median_lo", "median_hi", "permutation_p", "cohens_d", "binomial_p")})
+    return found.withColumns({"sufficient": enough, "quality": E.sample_quality(F.col("n")), "many_tests": F.lit(bool(tests and tests > 20)) & enough}).drop("win_rate", "base_win_rate")
+
+
+MODES = ("discovery", "confirmatory")
+
+
+def run_assessment(rows: DataFrame, p: str, by, mode: Column, alpha: float = 0.05, tie: str = "id") -> DataFrame:
+    """Per family of tests: how many, the best p, what survives, what chance alone would give.
+
+    ``mode`` is constant in a family; in discovery nothing counts as confirmed.
+    """
+    value = F.when(~F.isnan(F.col(p).cast("double")), F.col(p))
+    family = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tests"), F.min(value).alias("best_p"), F.first(mode).alias("mode"))
+    kept = benjamini_hochberg(rows, p, by, alpha, tie).groupBy(*by).agg(F.count_if("rejected").alias("n_rejected"), F.max("threshold").alias("threshold"))
+    n = F.col("n_tests")
+    return family.join(kept, list(by), "left").select(
+        *by, "mode", "n_tests", "best_p", F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"), "threshold", *snooping(n),
+        F.coalesce((n > 1) & (F.col("best_p") > 0.05 / n), F.lit(False)).alias("fails_bonferroni"),
+        ((F.col("mode") == MODES[1]) & (F.coalesce("n_rejected", F.lit(0)) > 0)).alias("confirmed"),
+    )
+
+
+def freeze(hypotheses: DataFrame, train_end, prior_tests: Column, now: Column | None = None) -> DataFrame:
+    """Hypotheses with their limits fixed: confirmatory from now on, tested on data after ``train_end``.
+
+    One way only: what is frozen already keeps its date, its end of training and its count.
+    """
+    is_open = F.col("frozen_at").isNull()
+    fixed = {"mode": F.lit(MODES[1]), "train_end": F.lit(train_end).cast("date"), "prior_tests": prior_tests.cast("int"), "frozen_at": F.current_timestamp() if now is None else now}
+    return hypotheses.withColumns({c: F.when(is_open, v).otherwise(F.col(c)) for c, v in fixed.items()})
+
+
 def snooping(n: Column) -> list[Column]:
     """Expected false findings among n tests at 5 %, and whether that many need a warning."""
     return [F.when(n > 1, n * 0.05).alias("expected_false"), F.coalesce(n > 20, F.lit(False)).alias("many_tests")]

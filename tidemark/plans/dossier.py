@@ -15,7 +15,7 @@ import json
 import sys
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import reports
@@ -60,7 +60,7 @@ def dossier(rows: DataFrame, draws: int = BOOTSTRAP_DRAWS) -> dict:
         found = analogs.search(query, full, features).cache()
         chosen = rows.join(found.select("market", "report_date", F.lit(True).alias("is_analog")), ["market", "report_date"], "left")
         chosen = chosen.withColumn("is_analog", F.coalesce("is_analog", F.lit(False)))
-        for r in found.filter("place <= 5").select("market", "report_date", "similarity", "fwd_return_8w").collect():
+        for r in matured(found).collect():
             out[r.market]["analogs"].setdefault(mode, []).append(r.asDict())
         for weeks in HORIZONS:
             base = statistics.edge_evidence(chosen, ("market",), f"fwd_return_{weeks}w", ("report_date",), F.col("is_analog"), weeks, draws)
@@ -68,8 +68,10 @@ def dossier(rows: DataFrame, draws: int = BOOTSTRAP_DRAWS) -> dict:
                 out[r.market]["evidence"].setdefault(mode, {})[weeks] = r.asDict()
     for r in events.contingency(rows).collect():
         out[r.market].setdefault("contingency", []).append(r.asDict())
+    for r in states.table_rows(rows).orderBy("market", "age").collect():
+        out[r.market].setdefault("table", []).append(r.asDict())
     for name, f in (("metrics", events.precursor_metrics), ("conditions", events.precursor_conditions)):
-        for r in f(rows).collect():
+        for r in f(rows).collect():  # in the order in which they are shown
             out[r.market].setdefault("precursors", {}).setdefault(r.event, {}).setdefault(name, []).append(r.asDict())
     for code, d in out.items():
         found = d["evidence"].get("positions", {})
@@ -77,6 +79,14 @@ def dossier(rows: DataFrame, draws: int = BOOTSTRAP_DRAWS) -> dict:
     return out
 
 
+def matured(found: DataFrame, horizon: int = 8, n: int = 5) -> DataFrame:
+    """The ``n`` nearest analogs of each market whose outcome is known, however far down the list they are."""
+    outcome = f"fwd_return_{horizon}w"
+    nearest = Window.partitionBy("market").orderBy("place")
+    known = found.filter(F.col(outcome).isNotNull()).withColumn("nth", F.row_number().over(nearest))
+    return known.filter(F.col("nth") <= n).select("market", "report_date", "similarity", outcome).orderBy("market", "nth")
+
+
 def _labelled(rows: DataFrame) -> DataFrame:
     c = F.col
     return rows.withColumns(
@@ -86,6 +96,9 @@ def _labelled(rows: DataFrame) -> DataFrame:
             "interest": E.interest_code(c("spec_chg_1w"), c("spec_oi_chg_1w")),
             "config": E.configuration(c("spec_net_oi"), c("slow_net_oi")),
             "level": E.level_label(c("spec_pct_52w")),
+            "extremity": E.extremity(c("spec_pct_52w")),
+            "momentum": E.momentum(c("spec_streak_up_weeks"), c("spec_streak_down_weeks"), c("spec_chg_4w")),
+            "contradictions": states.divergence_words(c("divergence_flags")),
         }
     )
 

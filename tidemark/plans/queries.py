@@ -8,11 +8,13 @@ number, others are taken as they are.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ANALOG_FEATURES, BOOTSTRAP_DRAWS, CONDITIONS, EVENTS, HORIZONS, MARKETS, RANK_WINDOWS
+from ..config import ANALOG_FEATURES, BOOTSTRAP_DRAWS, CONDITIONS, EVENTS, HORIZONS, MARKETS, MIN_SAMPLE, REGIMES
 from ..functions import calendar, guard
 from ..functions import expressions as E
 from ..functions.conditions import condition
@@ -57,16 +59,35 @@ def query(columns: str, ctes: str = "", body: str | None = None):
 # -- shared parts ----------------------------------------------------------------
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
+def _once(spark, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Tables that most queries start from are built once a session and kept by Spark.
+
+    They are small beside the line items they are made of: a row per market, role and
+    day, and one per market and week.  What a lost executor held is built again.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _stored:
+        _stored[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _stored[key]
+
+
+def days(spark, sf_dir) -> DataFrame:
+    return _once(spark, "days", sf_dir, lambda: panel.daily(panel.trades(spark, sf_dir)))
+
+
 def positions(spark, sf_dir) -> DataFrame:
-    return panel.positions(panel.trades(spark, sf_dir))
+    return panel.positions(days(spark, sf_dir))
 
 
 def prices(spark, sf_dir) -> DataFrame:
-    return panel.prices(panel.trades(spark, sf_dir))
+    return panel.prices(days(spark, sf_dir))
 
 
-def all_states(spark, sf_dir, windows=RANK_WINDOWS) -> DataFrame:
-    return states.market_states(positions(spark, sf_dir), prices(spark, sf_dir), AS_OF, panel.INVERSE, windows)
+def all_states(spark, sf_dir) -> DataFrame:
+    return _once(spark, "states", sf_dir, lambda: states.market_states(positions(spark, sf_dir), prices(spark, sf_dir), AS_OF, panel.INVERSE))
 
 
 def _weeks(*columns: str) -> str:
@@ -423,11 +444,14 @@ _ps = "SELECT o_custkey AS family, o_orderkey AS id, ((o_orderkey * 7919) % 1000
         SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS "rank", count(*) OVER (PARTITION BY family) AS m FROM ({_ps})))""",
 )
 def benjamini_hochberg(spark, sf_dir):
+    return statistics.benjamini_hochberg(_tests(spark, sf_dir), "p", by=("family",))
+
+
+def _tests(spark, sf_dir):
     k = F.col("o_orderkey")
     p = (k * 7919 % 1000 + 1) / F.lit(1001.0) * F.when(k % 17 == 0, 0.0001).otherwise(1.0)
     # every order stands for a test, every customer for a family of tests
-    tests = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("family"), k.alias("id"), p.alias("p"))
-    return statistics.benjamini_hochberg(tests, "p", by=("family",))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("family"), k.alias("id"), p.alias("p"))
 
 
 def _boot_sql(block: int) -> str:
@@ -454,14 +478,17 @@ def block_bootstrap(spark, sf_dir):
     return statistics.bootstrap(all_states(spark, sf_dir).filter(_chosen()), ("market",), "fwd_return_8w", ("report_date",), block=8, draws=DRAWS)
 
 
-@query(
-    "market #k #population ~mean_return ~p_value",
-    sql.states(),
-    f"""SELECT market, any_value(k) AS k, any_value(n) AS population, any_value(obs) AS mean_return, avg((round(abs(m - c), 9) >= round(abs(obs - c), 9))::INT) AS p_value FROM (
+PERMUTED = f"""SELECT market, any_value(k) AS k, any_value(n) AS population, any_value(obs) AS mean_return, avg((round(abs(m - c), 9) >= round(abs(obs - c), 9))::INT) AS p FROM (
       SELECT market, draw, k, n, obs, c, avg(v[CAST(('0x' || substr(md5('42:' || draw || ':' || p), 1, 8))::UBIGINT % n AS INTEGER) + 1]) AS m FROM (
         SELECT *, unnest(generate_series(0, k - 1)) AS p FROM (SELECT market, list(r ORDER BY report_date) AS v, count(*) AS n, count(*) FILTER (t) AS k, avg(r) FILTER (t) AS obs, avg(r) AS c
           FROM (SELECT market, report_date, fwd_return_8w AS r, {CHOSEN} AS t FROM st WHERE fwd_return_8w IS NOT NULL) GROUP BY 1)
-        CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS draw)) GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1""",
+        CROSS JOIN (SELECT unnest(generate_series(0, {DRAWS - 1})) AS draw)) GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1"""
+
+
+@query(
+    "market #k #population ~mean_return ~p_value",
+    sql.states(),
+    "SELECT *, chance AS p_value FROM (" + PERMUTED.replace("AS p FROM (", "AS chance FROM (", 1) + ")",
 )
 def permutation_test(spark, sf_dir):
     return statistics.permutation(all_states(spark, sf_dir), ("market",), "fwd_return_8w", ("report_date",), _chosen(), draws=DRAWS)
@@ -492,7 +519,19 @@ def edge_evidence(spark, sf_dir):
     return statistics.edge_evidence(all_states(spark, sf_dir), ("market",), "fwd_return_8w", ("report_date",), _chosen(), 8, draws=DRAWS)
 
 
-@query("market #n ~win_rate ~base_win_rate ~p_value")
+def _binomial_sql(k: str, n: str, p: str) -> str:
+    log = lambda i: f"(lgamma({n} + 1) - lgamma({i} + 1) - lgamma({n} - {i} + 1) + {i} * ln({p}) + ({n} - {i}) * ln(1 - {p}))"
+    each = f"list_transform(generate_series(0, CAST({n} AS BIGINT)), lambda i: exp({log('i')}))"
+    exact = f"least(1.0::DOUBLE, list_sum(list_filter({each}, lambda c: c <= exp({log(k)}) * (1 + 1e-7::DOUBLE))))"
+    return f"CASE WHEN {n} = 0 OR {p} IS NULL THEN NULL WHEN {p} IN (0, 1) THEN CASE WHEN {k} = {n} * {p} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {exact} END"
+
+
+@query(
+    "market #n ~win_rate ~base_win_rate ~p_value",
+    sql.states(),
+    f"""SELECT *, {_binomial_sql("k", "n", "base_win_rate")} AS p_value FROM (SELECT *, CAST(round(win_rate * n) AS DOUBLE) AS k
+      FROM (SELECT market, {base_sql} FROM (SELECT market, fwd_return_8w AS r, {CHOSEN} AS t FROM st) GROUP BY 1))""",
+)
 def binomial_test(spark, sf_dir):
     base = outcomes.compare_to_base(all_states(spark, sf_dir), _chosen(), "fwd_return_8w", ("market",))
     return base.withColumn("p_value", statistics.binomial_p(F.round(F.col("win_rate") * F.col("n")), F.col("n"), F.col("base_win_rate")))
@@ -520,6 +559,8 @@ def nine_conditions(spark, sf_dir):
 
 _cells = " UNION ALL ".join(f"SELECT market, '{c}' AS cond, '{e}' AS event, c_{c} AS x, ev_{e} AS y FROM cnd" for c in CONDITIONS for e in KEYS)
 
+_dated = _cells.replace("SELECT market,", "SELECT market, report_date,")
+
 
 @query(
     "market cond event #a #b #c #d #n ~rate_with ~rate_without ~base_rate ~lift_pp verdict",
@@ -755,7 +796,10 @@ def contract_resolution(spark, sf_dir):
     return quality.resolve_contracts(names, wanted)
 
 
-@query("code sector report inverse ~pip")
+_registered = ", ".join(f"('{m.code}', '{m.sector}', '{m.report}', {m.inverse}, {m.pip})" for m in MARKETS.values())
+
+
+@query("code sector report inverse ~pip", "", f"SELECT * FROM (VALUES {_registered}) AS m(code, sector, report, inverse, pip)")
 def market_registry(spark, sf_dir):
     return spark.createDataFrame([(m.code, m.sector, m.report, m.inverse, m.pip) for m in MARKETS.values()], "code string, sector string, report string, inverse boolean, pip double")
 
@@ -785,3 +829,223 @@ def append_ignore(spark, sf_dir):
     have = rows.filter("report_date < '1999-06-01'").select("market", "role", "report_date", "long", F.lit(1).alias("version"))
     arriving = rows.select("market", "role", "report_date", (F.col("long") + 1).alias("long"), F.lit(2).alias("version"))
     return have.unionByName(new_rows(arriving, have, ["market", "role", "report_date"]))
+
+
+# -- further views of the states -----------------------------------------------------
+
+
+@query(
+    _weeks("regime", "reasons"),
+    sql.states(),
+    "SELECT market, report_date, regime, CASE regime "
+    + " ".join("WHEN '{}' THEN {}".format(name, " || '; ' || ".join(f"'{c} {op} {limit} (actual: ' || CAST({c} AS VARCHAR) || ')'" for c, op, limit in conditions) or "'No rule met.'") for name, conditions in REGIMES)
+    + " END AS reasons FROM st",
+)
+def regime_reasons(spark, sf_dir):
+    return all_states(spark, sf_dir).withColumn("reasons", F.array_join("regime_reasons", "; "))
+
+
+@query(
+    _weeks("extremity", "momentum", "hedged"),
+    sql.states(),
+    """SELECT market, report_date,
+    CASE WHEN p IS NULL THEN NULL WHEN p <= 5 THEN 'extreme_low' WHEN p <= 20 THEN 'near_low' WHEN p >= 95 THEN 'extreme_high' WHEN p >= 80 THEN 'near_high' WHEN p BETWEEN 40 AND 60 THEN 'middle' ELSE 'usual' END AS extremity,
+    CASE WHEN spec_streak_up_weeks >= 2 THEN 'streak_up' WHEN spec_streak_down_weeks >= 2 THEN 'streak_down' WHEN spec_chg_4w IS NULL THEN 'unknown' WHEN spec_chg_4w > 0 THEN 'month_up' WHEN spec_chg_4w < 0 THEN 'month_down' ELSE 'flat' END AS momentum,
+    CASE WHEN spec_net_oi IS NULL THEN 'missing' WHEN spec_net_oi > 0.02 THEN 'funds_long_hedgers_short' WHEN spec_net_oi < -0.02 THEN 'funds_short_hedgers_long' ELSE 'funds_flat' END AS hedged
+    FROM (SELECT *, spec_pct_52w AS p FROM st)""",
+)
+def extremity_and_momentum(spark, sf_dir):
+    c = F.col
+    return all_states(spark, sf_dir).select(
+        "market",
+        "report_date",
+        E.extremity(c("spec_pct_52w")).alias("extremity"),
+        E.momentum(c("spec_streak_up_weeks"), c("spec_streak_down_weeks"), c("spec_chg_4w")).alias("momentum"),
+        E.configuration(c("spec_net_oi"), c("slow_net_oi"), hedger=True).alias("hedged"),
+    )
+
+
+_words = list(states.DIVERGENCES.values())
+
+
+@query(
+    _weeks("words"),
+    sql.states(),
+    f"SELECT market, report_date, array_to_string(list_filter([CASE WHEN div_slow THEN '{_words[0]}' END, CASE WHEN div_price THEN '{_words[1]}' END], lambda x: x IS NOT NULL), '; ') AS words FROM st",
+)
+def divergence_words(spark, sf_dir):
+    return all_states(spark, sf_dir).withColumn("words", F.array_join(states.divergence_words(F.col("divergence_flags")), "; "))
+
+
+_table_cells = [f"{r}_{m}" for r in states.ROLES for m in states.TABLE_METRICS]
+
+
+@query(
+    _weeks("#age", *[f"~{c}" for c in _table_cells]),
+    sql.states(),
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY report_date DESC) AS age FROM st) WHERE age <= 80",
+)
+def recent_table(spark, sf_dir):
+    return states.table_rows(all_states(spark, sf_dir))
+
+
+@query(f"market regime horizon {BASE}", sql.states() + "," + HISTORY_SQL, f"SELECT market, regime, horizon, {base_sql} FROM (SELECT l.market, now AS regime, horizon, r, l.regime = now AND report_date < last_date AS t FROM ({LONG_SQL}) l JOIN lst USING (market)) GROUP BY 1, 2, 3")
+def regime_comparisons(spark, sf_dir):
+    return outcomes.regime_comparisons(all_states(spark, sf_dir))
+
+
+@query("market regime report_date", sql.states() + "," + HISTORY_SQL, "SELECT market, regime, report_date FROM pst WHERE t")
+def regime_dates(spark, sf_dir):
+    return outcomes.regime_dates(all_states(spark, sf_dir))
+
+
+# -- assessment and hypotheses -------------------------------------------------------
+
+TESTS = 24
+
+
+@query(
+    "market #n sufficient quality ~median_lo ~median_hi ~permutation_p ~cohens_d ~binomial_p many_tests",
+    _boot_sql(1),
+    f"""SELECT market, n, n >= {MIN_SAMPLE} AS sufficient, CASE WHEN n < 20 THEN 'insufficient' WHEN n < 30 THEN 'low' WHEN n < 50 THEN 'moderate' ELSE 'good' END AS quality,
+      CASE WHEN n >= {MIN_SAMPLE} THEN median_lo END AS median_lo, CASE WHEN n >= {MIN_SAMPLE} THEN median_hi END AS median_hi, CASE WHEN n >= {MIN_SAMPLE} THEN p END AS permutation_p,
+      CASE WHEN n >= {MIN_SAMPLE} AND base_n >= 2 THEN (m - bm) / nullif(sqrt(((n - 1) * v + (base_n - 1) * bv) / (n + base_n - 2)), 0) END AS cohens_d,
+      CASE WHEN n >= {MIN_SAMPLE} THEN {_binomial_sql("k", "n", "base_win_rate")} END AS binomial_p, n >= {MIN_SAMPLE} AS many_tests
+    FROM (SELECT market, count(r) FILTER (t) AS n, count(r) AS base_n, avg(r) FILTER (t) AS m, avg(r) AS bm, var_samp(r) FILTER (t) AS v, var_samp(r) AS bv,
+        CAST(count(*) FILTER (t AND r > 0) AS DOUBLE) AS k, avg((r > 0)::INT) AS base_win_rate FROM (SELECT market, fwd_return_8w AS r, {CHOSEN} AS t FROM st) GROUP BY 1) a
+    LEFT JOIN (SELECT market, median_lo, median_hi FROM bot) b USING (market)
+    LEFT JOIN (SELECT market, p FROM ({PERMUTED})) c USING (market)""",
+)
+def assessment(spark, sf_dir):
+    return statistics.assess(all_states(spark, sf_dir), ("market",), "fwd_return_8w", ("report_date",), _chosen(), TESTS, draws=DRAWS)
+
+
+@query(
+    "#family mode #n_tests ~best_p #n_rejected ~threshold ~expected_false many_tests fails_bonferroni confirmed",
+    "",
+    f"""SELECT *, CASE WHEN n_tests > 1 THEN n_tests * 0.05::DOUBLE END AS expected_false, n_tests > 20 AS many_tests, n_tests > 1 AND best_p > 0.05::DOUBLE / n_tests AS fails_bonferroni,
+      mode = 'confirmatory' AND n_rejected > 0 AS confirmed FROM (
+      SELECT family, CASE WHEN family % 2 = 0 THEN 'confirmatory' ELSE 'discovery' END AS mode, count(*) AS n_tests, min(p) AS best_p, count(*) FILTER (coalesce("rank" <= lst, false)) AS n_rejected, max(CASE WHEN "rank" = lst THEN p END) AS threshold FROM (
+        SELECT *, max(CASE WHEN p <= 0.05::DOUBLE * "rank" / m THEN "rank" END) OVER (PARTITION BY family) AS lst FROM (
+          SELECT *, row_number() OVER (PARTITION BY family ORDER BY p, id) AS "rank", count(*) OVER (PARTITION BY family) AS m FROM ({_ps}))) GROUP BY 1, 2)""",
+)
+def run_assessment(spark, sf_dir):
+    return statistics.run_assessment(_tests(spark, sf_dir), "p", ("family",), F.when(F.col("family") % 2 == 0, "confirmatory").otherwise("discovery"))
+
+
+@query(
+    "#hid market mode train_end #prior_tests frozen_at",
+    "",
+    """SELECT n_nationkey AS hid, n_name AS market, 'confirmatory' AS mode, CASE WHEN n_nationkey % 3 = 0 THEN DATE '1996-01-01' ELSE DATE '1999-12-31' END AS train_end,
+      CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE n_nationkey + 1 END AS prior_tests, CASE WHEN n_nationkey % 3 = 0 THEN TIMESTAMP '1996-02-01 00:00:00' ELSE TIMESTAMP '2000-01-03 00:00:00' END AS frozen_at FROM nation""",
+)
+def hypothesis_freeze(spark, sf_dir):
+    # every nation stands for a hypothesis; every third is frozen already
+    key = F.col("n_nationkey")
+    old = lambda x, kind: F.when(key % 3 == 0, F.lit(x).cast(kind))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+        key.alias("hid"), F.col("n_name").alias("market"), F.when(key % 3 == 0, "confirmatory").otherwise("discovery").alias("mode"),
+        old("1996-01-01", "date").alias("train_end"), old(1, "int").alias("prior_tests"), old("1996-02-01 00:00:00", "timestamp_ntz").alias("frozen_at"),
+    )
+    return statistics.freeze(rows, "1999-12-31", F.col("hid") + 1, F.lit("2000-01-03 00:00:00").cast("timestamp_ntz"))
+
+
+# -- more on events, quality and the chart -------------------------------------------
+
+
+@query("market cond event report_date", sql.conditions(), f"SELECT market, cond, event, report_date FROM ({_dated}) WHERE x AND y IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market, cond, event ORDER BY report_date DESC) <= 40")
+def condition_dates(spark, sf_dir):
+    return events.condition_dates(all_states(spark, sf_dir))
+
+
+@query(
+    "market " + " ".join(f"~points_{k}" for k in KEYS),
+    sql.moves(),
+    "SELECT thr.market, " + ", ".join(f"round_even(thr_{k} * middle / 0.01::DOUBLE, 0) AS points_{k}" for k in KEYS) + " FROM thr JOIN (SELECT market, median(price_close) AS middle FROM st GROUP BY 1) USING (market)",
+)
+def threshold_points(spark, sf_dir):
+    return events.threshold_points(all_states(spark, sf_dir), 0.01)
+
+
+@query(
+    "market horizon #n ~mean ~median ~p25 ~p75",
+    sql.states()
+    + f", pth AS (SELECT market, report_date, {FLAG} AS flag, unnest([{', '.join(map(str, _h))}]) AS horizon, unnest([{', '.join(_ret[h] for h in _h)}]) AS r FROM st WINDOW w AS (PARTITION BY market ORDER BY report_date))",
+    "SELECT market, horizon, count(r) AS n, avg(r) AS mean, median(r) AS median, quantile_cont(r, 0.25) AS p25, quantile_cont(r, 0.75) AS p75 FROM pth WHERE flag GROUP BY 1, 2",
+)
+def event_study_weeks(spark, sf_dir):
+    return events.event_study(all_states(spark, sf_dir), _flag(), use_episodes=False)
+
+
+@query(
+    "market check #n",
+    sql.PANEL,
+    """SELECT market, 'identity' AS "check", count(*) AS n FROM (SELECT market, report_date FROM pos GROUP BY 1, 2 HAVING sum("long") <> max(open_interest) OR sum("short") <> max(open_interest)) GROUP BY 1
+    UNION ALL SELECT market, 'missing_weeks', count(*) FROM (SELECT market, report_date - lag(report_date) OVER (PARTITION BY market, "role" ORDER BY report_date) AS gap FROM pos) WHERE gap > 7 AND gap < 21 GROUP BY 1
+    UNION ALL SELECT market, 'stale', 1 FROM pos GROUP BY 1 HAVING DATE '2001-12-01' - max(report_date) > 14
+    UNION ALL SELECT market, 'jumps', count(*) FROM (SELECT *, median(abs(diff - med)) OVER (PARTITION BY market, "role") AS mad FROM (
+      SELECT *, median(diff) OVER (PARTITION BY market, "role") AS med, count(*) OVER (PARTITION BY market, "role") AS n FROM (
+        SELECT *, open_interest - lag(open_interest) OVER (PARTITION BY market, "role" ORDER BY report_date) AS diff FROM pos WHERE "role" = 'spec') WHERE diff IS NOT NULL) WHERE n >= 10)
+      WHERE CASE WHEN mad = 0 THEN diff <> med ELSE abs(0.6745 * (diff - med) / mad) > 3.5 END GROUP BY 1""",
+)
+def findings(spark, sf_dir):
+    return quality.findings(positions(spark, sf_dir).withColumn("availability_date", F.col("report_date")), "2001-12-01")
+
+
+@query(
+    "#n_sources #n_markets any_made_up",
+    sql.PANEL,
+    """SELECT count(DISTINCT "role") AS n_sources, count(DISTINCT market) AS n_markets, bool_or("role" = 'other') AS any_made_up FROM pos""",
+)
+def loaded(spark, sf_dir):
+    return quality.loaded(positions(spark, sf_dir).withColumn("source", F.when(F.col("role") == "other", "synthetic").otherwise(F.col("role"))))
+
+
+@query(
+    _weeks("known", "sure"),
+    sql.states(),
+    "SELECT market, report_date, coalesce(d <= DATE '2000-01-01', false) AS known, coalesce(d <= DATE '2000-01-01', false) AND div_slow AS sure FROM (SELECT *, CASE WHEN day(report_date) <> 9 THEN availability_date END AS d FROM st)",
+)
+def known_at(spark, sf_dir):
+    rows = all_states(spark, sf_dir).withColumn("d", F.expr("case when day(report_date) <> 9 then availability_date end"))
+    sure = F.when(F.array_contains("divergence_flags", next(iter(states.DIVERGENCES))), "confirmed").otherwise("unknown")
+    return rows.select("market", "report_date", guard.known_at(F.col("d"), "2000-01-01").alias("known"), guard.known_at(F.col("d"), "2000-01-01", sure).alias("sure"))
+
+
+@query("#o_orderkey ~value", "", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS value FROM orders")
+def nan_cleaning(spark, sf_dir):
+    value = F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", E.cleaned(value).alias("value"))
+
+
+_drawn = ("spec", "slow", "other")
+_shown_by = {"net": "seen", "pct": "ind_pct", "z": "ind_z", "change": "change"}
+CHART_SQL = f"""{sql.metrics()},
+see AS (SELECT *, lag(net) OVER w AS seen, lag("long") OVER w AS seen_long FROM bas WINDOW w AS (PARTITION BY market, "role" ORDER BY report_date)),
+ind AS (SELECT *, CASE WHEN seen IS NOT NULL AND len(h) > 0 THEN 100.0::DOUBLE * len(list_filter(h, lambda y: y < seen)) / len(h) END AS ind_pct FROM (
+  SELECT *, list(seen) FILTER (seen IS NOT NULL) OVER f AS h, (seen - avg(seen) OVER f) / nullif(stddev_samp(seen) OVER f, 0) AS ind_z, seen - lag(seen) OVER w AS change, seen_long - lag(seen_long) OVER w AS long_change,
+    CASE WHEN seen > lag(seen) OVER w THEN 1 ELSE 0 END AS u, CASE WHEN seen < lag(seen) OVER w THEN 1 ELSE 0 END AS dn
+  FROM see WINDOW w AS (PARTITION BY market, "role" ORDER BY report_date), f AS (PARTITION BY market, "role" ORDER BY report_date ROWS BETWEEN 52 PRECEDING AND 1 PRECEDING))),
+run2 AS (SELECT *, sum(u) OVER (PARTITION BY market, "role", ug ORDER BY report_date) AS up, sum(dn) OVER (PARTITION BY market, "role", dg ORDER BY report_date) AS down FROM (
+  SELECT *, sum(1 - u) OVER w AS ug, sum(1 - dn) OVER w AS dg FROM ind WINDOW w AS (PARTITION BY market, "role" ORDER BY report_date))),
+chw AS (SELECT market, report_date, {", ".join(f"max({c}) FILTER (\"role\" = '{r}') AS {m}_{r}" for m, c in _shown_by.items() for r in _drawn)},
+  max(long_change) FILTER ("role" = 'spec') AS long_change, max(up) FILTER ("role" = 'spec') AS up, max(down) FILTER ("role" = 'spec') AS down FROM run2 GROUP BY 1, 2),
+cht AS (SELECT *, coalesce(pct_spec <= 10, false) AS is_low, coalesce(pct_spec >= 90, false) AS is_high, coalesce(pct_spec <= 20 AND up >= 2, false) AS is_turn_up, coalesce(pct_spec >= 80 AND down >= 2, false) AS is_turn_down,
+  coalesce((net_spec - lag(net_spec, 4) OVER w) * (net_slow - lag(net_slow, 4) OVER w) < 0, false) AS is_apart, coalesce(change_spec > 0 AND abs(long_change) < abs(change_spec) / 3, false) AS mark_covering
+  FROM chw WINDOW w AS (PARTITION BY market ORDER BY report_date))"""
+_marked = ("low", "high", "turn_up", "turn_down", "apart")
+
+
+@query(
+    _weeks(*[f"mark_{k}" for k in _marked], "mark_covering"),
+    CHART_SQL,
+    "SELECT market, report_date, mark_covering, " + ", ".join(f"is_{k} AND NOT coalesce(lag(is_{k}) OVER w, false) AS mark_{k}" for k in _marked) + " FROM cht WINDOW w AS (PARTITION BY market ORDER BY report_date)",
+)
+def chart_marks(spark, sf_dir):
+    return metrics.chart(metrics.basic(positions(spark, sf_dir)))
+
+
+@query(_weeks("mode", "~spec", "~slow", "~other"), CHART_SQL, " UNION ALL ".join(f"SELECT market, report_date, '{m}' AS mode, {', '.join(f'{m}_{r} AS {r}' for r in _drawn)} FROM cht" for m in metrics.CHART_MODES))
+def chart_modes(spark, sf_dir):
+    rows = metrics.chart(metrics.basic(positions(spark, sf_dir)))
+    return reduce(DataFrame.unionByName, [metrics.chart_mode(rows, m).withColumn("mode", F.lit(m)) for m in metrics.CHART_MODES])

@@ -72,7 +72,7 @@ def availability(d: str) -> tuple[str, str]:
 
 def regime() -> str:
     rules = []
-    for name, _, conditions in REGIMES:
+    for name, conditions in REGIMES:
         test = " AND ".join(f"coalesce({c} {'=' if op == '==' else op} {limit}, false)" for c, op, limit in conditions) or "true"
         rules.append(f"WHEN {test} THEN '{name}'")
     return f"CASE {' '.join(rules)} ELSE 'Unclassified' END"

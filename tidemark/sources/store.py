@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,6 +15,7 @@ SCHEMAS = {
     "quality_log": "run_at timestamp, source string, check_name string, status string, detail string",
     "notebook": "created_at timestamp, title string, kind string, condition_text string, params_json string, results_json string, note string",
     "hypotheses": "run_at timestamp, condition_text string, market string, horizon_weeks int",
+    "frozen_hypotheses": "hid string, condition_text string, market string, horizon_weeks int, frozen_at timestamp, train_end date, mode string, prior_tests int, note string",
     "schema_watch": "dataset string, column_signature string, last_checked timestamp",
 }
 UNIQUE = {
@@ -60,10 +61,13 @@ class Store:
         """Append what isn't there yet; how many rows that was."""
         self.check(table, rows)
         fresh = new_rows(rows, self.read(table), UNIQUE[table]) if table in UNIQUE else rows
-        # written first, then counted from what was written: the rows are computed once
-        before = self.read(table).count()
-        self._write(fresh, table, "append")
-        return self.read(table).count() - before
+        # counted while they are written, so other writers' rows don't count
+        seen = Observation()
+        self._write(fresh.observe(seen, F.count(F.lit(1)).alias("n")), table, "append")
+        return seen.get["n"]
+
+    def count_hypotheses(self) -> int:
+        return self.read("hypotheses").count()
 
     def replace(self, table: str, rows: DataFrame, columns: list[str] | None = None) -> None:
         if columns is not None:
