@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -191,3 +192,69 @@ def test_pipeline_stages(spark):
             assert out.groupBy("text").count().filter("count > 1").count() == 0
         rows = out
     assert rows.columns[0] == "doc_id" and rows.count() > 0
+
+
+@pytest.fixture(scope="module")
+def stage_docs(spark):
+    """Nulls, empties, ties, repeated rows, long texts and columns named like the stages' own."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    prose = [" ".join(word() for _ in range(90)) for _ in range(8)]
+    edited = [p.replace(p.split()[40], "edited", 1) for p in prose[:3]]
+    rows = [(i, t, f"s{i % 3}") for i, t in enumerate(prose)] + [(20 + i, t, "s0") for i, t in enumerate(edited)]
+    rows += [(30, prose[5], "s1"), (5, prose[5], "s2"), (5, prose[5], "s2"), (6, prose[7], "s0")]  # copies, a repeated row, a shared id
+    rows += [(40, None, "s1"), (41, "", None), (None, " \n", "s1"), (None, prose[4], None), (42, "a b", "s1"), (43, "a b", "s1")]
+    rows += [(44, " ".join(word() for _ in range(60_000)), "s2")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, epochs int, part string, digest string, content string, row int, key string, fp long, kept boolean, spans int"
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "p", "d", "c", 1, "k", 1, False, 0) for i, t, s in rows], schema).repartition(3)
+
+
+def labelled(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_on_edge_cases(spark, stage_docs, tmp_path):
+    folder = labelled(spark, tmp_path, [(1, None, None), (None, 1, 0)])  # nothing to learn from
+    rows = stage_docs.collect()
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, stage_docs, folder)
+        assert out.schema == stage_docs.schema, name
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in rows}, name
+        assert stage(spark, stage_docs.limit(0), folder).count() == 0, name
+    stages = dict(corpus_pipeline.STAGES)
+    words = lambda r: (r.text or "").split()
+    good = stages["quality classifier"](spark, stage_docs, folder).collect()
+    assert sorted(map(str, good)) == sorted(str(r) for r in rows if words(r))
+    kept = stages["exact dedup"](spark, stage_docs, folder).collect()
+    texts = {r.text or "" for r in rows}
+    assert len(kept) == len(texts)
+    for r in kept:
+        assert r.doc_id == max((x.doc_id for x in rows if (x.text or "") == (r.text or "") and x.doc_id is not None), default=None)
+    mixed = stages["mixing sources to target weights"](spark, stage_docs, folder).collect()
+    assert {r.text for r in mixed if words(r)} and all(r.epochs == 1 and r.part == "p" for r in mixed)
+    sizes = Counter({s: sum(len(words(r)) for r in rows if r.source == s) for s in {r.source for r in rows}})
+    assert sum(len(words(r)) for r in mixed) == pytest.approx(sum(sizes.values()), abs=len(sizes))
+    pieces = stages["packing"](spark, stage_docs, folder)
+    assert pieces.groupBy("doc_id", "doc_tokens").count().filter("doc_id is null").count() == 2 and stages["packing"](spark, stage_docs.limit(0), folder).count() == 0
+
+
+def test_near_stage_against_brute_force(spark, stage_docs):
+    from tidemark.llm import simhash
+
+    rows = [r for r in stage_docs.collect() if r.doc_id != 44]
+    kept = [r for r in corpus_pipeline.near(spark, stage_docs.filter("doc_id is null or doc_id <> 44"), "").collect()]
+    sets = {r.text or "": simhash.shingles(r.text or "") for r in rows}
+    stay = [r.text or "" for r in kept]
+    assert len(stay) == len(set(stay))
+    assert not any(simhash.alike(sets[a], sets[b]) for a in stay for b in stay if a != b)
+    assert all(any(simhash.alike(sets[t], sets[b]) for b in stay) for t in sets)
+
+
+def test_pipeline_drops_what_labels_call_bad(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["vile", "spam", "junk"] if i % 4 == 0 else ["calm", "plain", "kind"]) + str(rng.randrange(50)) for _ in range(80)), "en", "s", 9) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder = labelled(spark, tmp_path, [(i, int(i % 4 > 0), 0) for i in range(0, 400, 2)])
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, folder).collect()}
+    assert kept == {i for i in range(400) if i % 4}
