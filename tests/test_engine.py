@@ -392,3 +392,15 @@ def test_divergences_in_words(spark):
     rows = spark.createDataFrame([(["Leveraged Funds vs Price", "other"],), ([],)], "f array<string>")
     got = [r[0] for r in rows.select(states.divergence_words(F.col("f"))).collect()]
     assert got == [[states.DIVERGENCES["Leveraged Funds vs Price"], "other"], []]
+
+
+def test_interpretation_has_five_sections():
+    row = {"spec_pct_52w": 4.0, "spec_net_oi": -0.2, "spec_chg_4w": 10.0, "momentum": "streak_up", "spec_streak_up_weeks": 3, "price_chg_4w": -0.01, "spec_net_rank_156w": 3.0, "spec_oi_pct_52w": 90.0, "contradictions": ["apart"]}
+    got = reports.interpretation(row, {"n": 12})
+    assert list(got) == ["Seen", "Says", "Doesn't say", "History", "Against"]
+    assert "sellers" in got["Says"][0] and "turn" in got["Says"][1] and "too few" in got["History"][0] and got["Against"][0] == "apart"
+    seen = " ".join(got["Seen"])
+    assert "against the price" in seen and "3 of the last 156" in seen and "unusually busy" in seen and "3 weeks up" in seen
+    calm = reports.interpretation({"spec_pct_52w": 50.0, "spec_net_oi": 0.1})
+    assert len(calm["Says"]) == 1 and len(calm["Doesn't say"]) == 1 and calm["History"] == ["No analogs were looked for."]
+    assert reports.market_summary("EUR", "Neutral", {"fast": calm}).startswith("EUR: Neutral.")

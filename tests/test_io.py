@@ -104,7 +104,8 @@ def test_dossier_of_synthetic_markets(spark, tmp_path):
     got = dossier.dossier(rows, draws=20)
     assert set(got) == {"EUR", "GOLD"} and len(got["EUR"]["contingency"]) == 54
     assert set(got["GOLD"]["evidence"]["positions"]) == {1, 2, 4, 8, 12, 26} and len(got["GOLD"]["analogs"]["positions_and_price"]) == 5
-    assert got["EUR"]["text"].startswith("EUR: ")
+    assert got["EUR"]["text"].startswith("EUR: ") and len(got["EUR"]["table"]) == 80
+    assert all(f"## {h}" in got["GOLD"]["report"] for h in ("State", "Price", "Analogs", "Validity", "Seen", "Against")) and "| spec |" in got["GOLD"]["report"]
     results, code = dossier.validate(s, ["EUR"], lambda url: (_ for _ in ()).throw(OSError("down")))
     assert results == {"EUR": "BLOCKED"} and code == 2
     assert dossier.load_live(s, ["EUR"], lambda url: (_ for _ in ()).throw(OSError("down"))) == ["EUR"]

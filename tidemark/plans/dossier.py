@@ -76,6 +76,7 @@ def dossier(rows: DataFrame, draws: int = BOOTSTRAP_DRAWS) -> dict:
     for code, d in out.items():
         found = d["evidence"].get("positions", {})
         d["text"] = reports.analysis(code, d["state"], found, found.get(8, {}).get("verdict"))
+        d["report"] = reports.report(code, d)
     return out
 
 

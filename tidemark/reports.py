@@ -79,25 +79,90 @@ CODES = {
 }
 
 
+def crowded(pct) -> bool:
+    return pct is not None and (pct <= 20 or pct >= 80)
+
+
 def facts(row: Mapping) -> list[str]:
-    """Blocks on the week, interest, month, streaks, history and price, as far as they are known."""
+    """Blocks on the week, interest, month and quarter, streaks, history and price, as far as they are known."""
+    known = lambda *names: all(row.get(n) is not None for n in names)
     out = []
-    if row.get("spec_chg_1w") is not None:
+    if known("spec_chg_1w"):
         out.append(f"Week: net {signed(row['spec_chg_1w'], 0)}. {CODES.get(row.get('flow'), '')}".strip())
     if row.get("interest"):
         out.append(f"Open interest: {CODES[row['interest']]}")
-    if row.get("spec_chg_4w") is not None:
-        out.append(f"Month: net {signed(row['spec_chg_4w'], 0)}.")
+    if known("spec_oi_pct_52w"):
+        level = "unusually busy" if row["spec_oi_pct_52w"] >= 80 else "unusually quiet" if row["spec_oi_pct_52w"] <= 20 else "as busy as usual"
+        out.append(f"Activity: {ordinal(row['spec_oi_pct_52w'])} percentile of a year's open interest, {level}.")
+    if known("spec_chg_4w"):
+        quarter = f" Quarter: {signed(row['spec_chg_13w'], 0)}." if known("spec_chg_13w") else ""
+        out.append(f"Month: net {signed(row['spec_chg_4w'], 0)}.{quarter}")
     for way in ("up", "down"):
         if (row.get(f"spec_streak_{way}_weeks") or 0) >= 2:
             out.append(f"Streak: {int(row[f'spec_streak_{way}_weeks'])} weeks {way}.")
-    if row.get("spec_pct_52w") is not None:
-        out.append(f"History: {ordinal(row['spec_pct_52w'])} percentile of a year.")
-    if row.get("price_chg_4w") is not None:
+    if known("spec_pct_52w"):
+        more = [f"{ordinal(row['spec_pct_156w'])} of three"] if known("spec_pct_156w") else []
+        more += [f"net was lower in {number(row['spec_net_rank_156w'])} of the last 156 weeks"] if known("spec_net_rank_156w") else []
+        more += [f"{signed(row['spec_z_52w'], 2)} deviations from its mean"] if known("spec_z_52w") else []
+        out.append(f"History: {'; '.join([ordinal(row['spec_pct_52w']) + ' percentile of a year', *more])}.")
+    if known("price_chg_4w"):
         out.append(f"Price: {percent(row['price_chg_4w'], 2)} in four weeks.")
+        if known("spec_chg_4w"):
+            same = (row["spec_chg_4w"] > 0) == (row["price_chg_4w"] > 0)
+            out.append("Fast money went with the price." if same else "Fast money went against the price.")
     return out
 
 
+def interpretation(row: Mapping, outcome: Mapping | None = None, horizon: int = 8) -> dict[str, list[str]]:
+    """Five sections: what is seen, what it says, what it doesn't say, what followed before, and what speaks against it."""
+    pct, long = row.get("spec_pct_52w"), (row.get("spec_net_oi") or 0) > 0
+    turning = row.get("momentum") in ("streak_up", "streak_down") and bool(row.get("spec_chg_4w"))
+    if crowded(pct):
+        says = ["Most who wanted to buy have bought: a rise needs new buyers." if long else "Most who wanted to sell have sold: a fall needs new sellers."]
+        says += ["It has begun to turn, which has meant more than the level alone."] if turning else []
+    else:
+        says = ["The level is no extreme and says little on its own."]
+    history = ["No analogs were looked for."]
+    if outcome is not None:
+        history = horizon_lines({horizon: outcome})
+    against = [*(row.get("contradictions") or ()), "Weeks overlap within a horizon, so there are fewer independent cases than counted."]
+    return {
+        "Seen": facts(row),
+        "Says": says,
+        "Doesn't say": [*(["When it ends: extremes last for months."] if crowded(pct) else []), "When to trade: positions are a state, measured days before they are public."],
+        "History": history,
+        "Against": against + (["Extremes alone have been poor at timing."] if crowded(pct) else []),
+    }
+
+
+def market_summary(market: str, regime: str, parts: Mapping[str, Mapping[str, list[str]]]) -> str:
+    """A heading over the interpretations of several groups."""
+    lines = [f"{market}: {regime}."]
+    for group, sections in parts.items():
+        lines += ["", group, *(f"{name}: {' '.join(items)}" for name, items in sections.items() if items)]
+    return "\n".join(lines)
+
+
+def report(code: str, entry: Mapping, mode: str = "positions", made_up: bool = False, tests: int = 0) -> str:
+    """A market's whole analysis, as ``dossier`` gives it, as Markdown."""
+    row, outcomes = entry["state"], entry.get("evidence", {}).get(mode, {})
+    roles = [{"group": r, "net": number(row.get(f"{r}_net")), "share": percent(row.get(f"{r}_net_oi")), "percentile": number(row.get(f"{r}_pct_52w"), 1), "deviations": number(row.get(f"{r}_z_52w"), 2), "month": signed(row.get(f"{r}_chg_4w"), 0)} for r in ("spec", "slow", "other")]
+    interval = lambda o: f"{percent(o['median_lo'], 2)} to {percent(o['median_hi'], 2)}"
+    validity = [f"{h} weeks: 95% interval of the median {interval(o)}; {o['effective_n']} independent cases; {CODES.get(o.get('verdict'), '')}" for h, o in sorted(outcomes.items()) if (o.get("n") or 0) >= MIN_SAMPLE and o.get("median_lo") is not None]
+    sections = [
+        ("Dates", [f"positions of {row.get('report_date')}", f"public on {row.get('availability_date')} ({row.get('availability_source')})"]),
+        ("State", [str(row.get("regime")), *(row.get("regime_reasons") or ())]),
+        ("Price", [f"close {number(row.get('price_close'), 4)}", *(f"{k} weeks: {percent(row.get(f'price_chg_{k}w'), 2)}" for k in (4, 8, 12))]),
+        ("Divergences", row.get("contradictions") or ["none"]),
+        ("Analogs", [f"{a['report_date']}: similarity {number(a['similarity'], 1)}, then {percent(a['fwd_return_8w'], 2)} in 8 weeks" for a in entry.get("analogs", {}).get(mode, [])] or ["none with a known outcome"]),
+        ("Outcomes against the base rate", horizon_lines(outcomes)),
+        ("Validity", [*validity, "weeks overlap, so p-values are too small", *([f"{tests} conditions were tried: some look good by chance"] if tests > 20 else [])]),
+    ]
+    sections += list(interpretation(row, outcomes.get(8)).items())
+    warning = [("Made-up data", ["Every number comes from generated data."])] if made_up else []
+    return markdown(code, [*warning, *sections, ("Note", ["A pattern of the past: no forecast, no signal, no cause."])], roles)
+
+
 def confirmation(pct) -> tuple[list[str], list[str]]:
     """What would confirm and what would invalidate the reading."""
     if pct is None:
