@@ -109,3 +109,19 @@ def test_dossier_of_synthetic_markets(spark, tmp_path):
     results, code = dossier.validate(s, ["EUR"], lambda url: (_ for _ in ()).throw(OSError("down")))
     assert results == {"EUR": "BLOCKED"} and code == 2
     assert dossier.load_live(s, ["EUR"], lambda url: (_ for _ in ()).throw(OSError("down"))) == ["EUR"]
+
+
+def test_replace_may_read_what_it_overwrites(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("EUR", 1), ("GBP", 2)], "market string, v int")
+    s.replace("states", rows)
+    s.replace("states", spark.read.parquet(s.path("states")).withColumn("v", F.col("v") + 10))
+    assert sorted(r.v for r in spark.read.parquet(s.path("states")).collect()) == [11, 12] and not s.exists("states__new")
+
+
+def test_append_counts_its_own_rows(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("EUR", date(2024, 1, 1), 1.0, "web"), ("EUR", date(2024, 1, 2), 2.0, "web")], "market string, date date, close double, source string").withColumn("ingested_at", F.current_timestamp())
+    assert s.append("price_raw", rows) == 2 and s.append("price_raw", rows) == 0 and s.read("price_raw").count() == 2
+    s.log("hypotheses", condition_text="x > 1", market="EUR", horizon_weeks=8)
+    assert s.count_hypotheses() == 1

@@ -38,6 +38,12 @@ def violations(rows: DataFrame, as_of, date_col: str = "availability_date") -> D
     )
 
 
+def report(rows: DataFrame, as_of, date_col: str = "availability_date") -> dict:
+    """The counts of ``violations`` for a log, and whether there are any."""
+    found = violations(rows, as_of, date_col).first().asDict()
+    return {"as_of": str(as_of), **found, "ok": not (found["n_future"] or found["n_unknown"])}
+
+
 def assert_available(rows: DataFrame, as_of, date_col: str = "availability_date", allow_unknown: bool = False) -> DataFrame:
     """``rows``, or LookaheadError if one is in the future or (unless allowed) of unknown date."""
     if date_col not in rows.columns:

@@ -1,7 +1,7 @@
 """Whole analyses of a market, from states to text, and the command line.
 
     python -m tidemark.plans.dossier synthetic STORE [CODE ...]
-    python -m tidemark.plans.dossier live STORE [CODE ...]
+    python -m tidemark.plans.dossier live STORE [CODE ...] [--start YYYY-MM-DD] [--end YYYY-MM-DD]
     python -m tidemark.plans.dossier refresh STORE
     python -m tidemark.plans.dossier site STORE OUT.html
     python -m tidemark.plans.dossier date STORE CODE YYYY-MM-DD
@@ -116,17 +116,20 @@ def load_synthetic(store: Store, codes: list[str]) -> None:
     store.append("price_raw", prices.withColumns({"source": F.lit("synthetic"), "ingested_at": now}))
 
 
-def load_live(store: Store, codes: list[str], get=feeds.http_get) -> list[str]:
-    """Fetches market by market from where the store ends; one that fails doesn't stop the others."""
+def load_live(store: Store, codes: list[str], get=feeds.http_get, start: str | None = None, end: str | None = None) -> list[str]:
+    """Fetches market by market from ``start`` (else from where the store ends) to ``end`` (else today).
+
+    One that fails doesn't stop the others; rows that are stored already are left alone.
+    """
     failed = []
     for code in codes:
         try:
-            since = store.read("positions_raw", code).agg(F.date_add(F.max("report_date"), 1)).first()[0] or FIRST_DATE
-            rows = feeds.fetch_positions(store.spark, code, str(since), str(date.today()), get)
+            since = start or store.read("positions_raw", code).agg(F.date_add(F.max("report_date"), 1)).first()[0] or FIRST_DATE
+            rows = feeds.fetch_positions(store.spark, code, str(since), end or str(date.today()), get)
             store.append("positions_raw", rows.withColumn("ingested_at", F.current_timestamp()))
             if feeds.has_price(code):
-                start = store.read("price_raw", code).agg(F.date_sub(F.max("date"), 30)).first()[0] or FIRST_DATE
-                prices = feeds.fetch_prices(store.spark, code, str(start), get)
+                first = start or store.read("price_raw", code).agg(F.date_sub(F.max("date"), 30)).first()[0] or FIRST_DATE
+                prices = feeds.fetch_prices(store.spark, code, str(first), get)
                 store.append("price_raw", prices.withColumns({"source": F.lit("web"), "ingested_at": F.current_timestamp()}))
         except (feeds.FeedError, feeds.PriceError, ValueError) as e:
             failed.append(code)
@@ -155,6 +158,8 @@ def main(args: list[str]) -> int:
     parser.add_argument("what", choices=("synthetic", "live", "refresh", "site", "date", "validate"))
     parser.add_argument("store")
     parser.add_argument("rest", nargs="*")
+    parser.add_argument("--start", help="first report date to fetch")
+    parser.add_argument("--end", help="last report date to fetch")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     store, today = Store(spark, a.store), str(date.today())
@@ -163,7 +168,7 @@ def main(args: list[str]) -> int:
         load_synthetic(store, codes)
         build(store, today)
     elif a.what in ("live", "refresh"):
-        if len(load_live(store, codes)) == len(codes):
+        if len(load_live(store, codes, start=a.start, end=a.end)) == len(codes):
             return 1  # nothing came, so nothing is rebuilt
         build(store, today)
     elif a.what == "site":

@@ -7,6 +7,8 @@ number, others are taken as they are.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -19,6 +21,7 @@ from ..functions import calendar, guard
 from ..functions import expressions as E
 from ..functions.conditions import condition
 from ..operators import analogs, asof, backtest, events, metrics, outcomes, panel, quality, states, statistics
+from ..streaming import incremental
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1049,3 +1052,25 @@ def chart_marks(spark, sf_dir):
 def chart_modes(spark, sf_dir):
     rows = metrics.chart(metrics.basic(positions(spark, sf_dir)))
     return reduce(DataFrame.unionByName, [metrics.chart_mode(rows, m).withColumn("mode", F.lit(m)) for m in metrics.CHART_MODES])
+
+
+# -- streams -------------------------------------------------------------------------
+
+
+def _scratch(spark) -> str:
+    """A new folder beside the checkpoints; a local session without such a place gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.gettempdir() + "/tidemark-streams"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+@query("#user_id event_type", "", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_once_each(spark, sf_dir):
+    source, folder = f"{sf_dir}/events.parquet", _scratch(spark)
+    # a pattern, as the stream's folder may be a single file
+    landed = incremental.read_landing(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(source).schema)
+    once = incremental.once_each(landed.select("user_id", "event_type", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "ts", lag="36500 days")
+    return incremental.drained(incremental.append_once(once, f"{folder}/out", f"{folder}/state"), f"{folder}/out")

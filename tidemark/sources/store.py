@@ -70,9 +70,16 @@ class Store:
         return self.read("hypotheses").count()
 
     def replace(self, table: str, rows: DataFrame, columns: list[str] | None = None) -> None:
+        """The table's new content; ``rows`` may be made from the old one, so it is written beside it first."""
         if columns is not None:
             self.check(table, rows, columns)
-        self._write(rows, table, "overwrite")
+        self._write(rows, f"{table}__new", "overwrite")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, old = path(self.path(f"{table}__new")), path(self.path(table))
+        files = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(old, True)
+        if not files.rename(new, old):
+            raise OSError(f"could not rename {new} to {old}")
 
     def check(self, table: str, rows: DataFrame, columns: list[str] | None = None) -> None:
         extra = set(rows.columns) - set(columns if columns is not None else self.schema(table).names)

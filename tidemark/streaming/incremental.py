@@ -20,6 +20,12 @@ def once_each(rows: DataFrame, key: list[str], time_col: str, lag: str = "120 da
     return rows.withWatermark(time_col, lag).dropDuplicatesWithinWatermark(key)
 
 
+def drained(query: StreamingQuery, path: str) -> DataFrame:
+    """What a stream wrote to ``path`` once it has read all that was there."""
+    query.awaitTermination()
+    return SparkSession.active().read.parquet(path)
+
+
 def append_once(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
