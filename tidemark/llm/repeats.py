@@ -4,10 +4,9 @@ Sharding.  Every window of ``length`` bytes picks an anchor: the smallest of the
 hashes of its ``gram``-byte strings.  Equal windows pick equal anchors, so all
 occurrences of a window meet under one key, whatever documents they are in.
 Runs of window starts with one key are shipped as one region by its digest
-(``DIGEST`` bits of BLAKE2b, so that equal digests are equal bytes) alone.  Keys with
-one region have no match.  Of regions with the same digest the first two go to the
-index like all others; what is found for them holds for the further ones, whose bytes
-needn't be fetched.
+(``DIGEST`` bits of BLAKE2b, so that equal digests are equal bytes) alone; regions
+that occur twice as a whole are repeated all over, keys with one region have no
+match, and only for the rest the bytes are fetched.
 
 Index.  The regions of some keys form one text.  Its suffixes are sorted, the
 Burrows-Wheeler transform is kept as its runs, and suffixes are sampled at both ends
@@ -132,8 +131,9 @@ def _regions(batch: list[tuple[int, int, memoryview]], length: int, gram: int) -
         yield batch[o][0], k, batch[o][1] + s, n, m
 
 
-#: d, sig: the document's row; p: first start; n: starts; several: more than one anchor.
-_REGION = "key long, hash binary, d long, sig long, p long, n long, several boolean"
+#: d, sig: the document's row; p: first start; n: starts; several: more than one
+#: anchor; copies: 1, or 2 if it is known to occur elsewhere as a whole.
+_REGION = "key long, hash binary, d long, sig long, p long, n long, several boolean, copies int"
 _FIELDS = [f.split()[0] for f in _REGION.split(", ")]
 
 
@@ -141,7 +141,7 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
-_TYPES = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_()]
+_TYPES = [pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_(), pa.int32()]
 
 
 def _digest(part: bytes | memoryview) -> bytes:
@@ -156,7 +156,7 @@ def _document_regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
             views = [memoryview(t) for t in texts]
             rows = []
             for i, key, p, n, several in regions(texts, length, gram):
-                rows.append((key, _digest(views[i][p : p + n + length - 1]), d[i], sig[i], p, n, several))
+                rows.append((key, _digest(views[i][p : p + n + length - 1]), d[i], sig[i], p, n, several, 1))
                 if len(rows) >= 20_000:
                     yield _batch(rows, _FIELDS, _TYPES)
                     rows = []
@@ -167,39 +167,53 @@ def _document_regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _meet(found: DataFrame, with_bytes: bool) -> DataFrame:
-    """Regions that met under a key: ``covered`` ones, equal to two that are indexed, and those
-    to index: up to two of each kind, for keys where there is something to compare."""
+    """Regions that met under a key: ``covered`` ones, which occur twice as a whole, and
+    those to index: one of each kind, for keys where something is left to compare."""
     names = [*_FIELDS, *(["bytes"] if with_bytes else [])]
     types = [*_TYPES, *([pa.binary()] if with_bytes else [])]
 
     def run(batches):
         out: list[tuple] = []
-        pending: list[tuple] = []  # regions of the key, as long as there is nothing to compare them with
-        now: tuple | None = None
-        same = kinds = 0  # rows of the kind and kinds of the key so far
+        pending: list[tuple] = []  # one region of each kind of the key, none handed on yet
+        kinds, left = 0, False  # kinds of the key; whether one of them isn't covered as a whole
+
+        def settle(members: list[tuple]) -> None:
+            """Ends a run of equal regions."""
+            nonlocal kinds, left
+            one, twice = members[0], len(members) > 1 or members[0][7] > 1
+            if twice:
+                out.extend((*m, True) for m in members if m[7] == 1)
+            kinds += 1
+            left |= not twice
+            pending.append((*one[:7], 2 if twice else 1, *one[8:]))
+            if left and (kinds > 1 or one[6]):
+                out.extend((*m, False) for m in pending)
+                pending.clear()
 
         def send() -> pa.RecordBatch:
             done = _batch(out, [*names, "covered"], [*types, pa.bool_()])
             out.clear()
             return done
 
+        now: tuple | None = None
+        members: list[tuple] = []
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if now is None or row[0] != now[0]:
-                    pending.clear()
-                    kinds = 0
                 if row[:2] != now:
-                    now, same, kinds = row[:2], 0, kinds + 1
-                same += 1
-                if same > 2:  # a run can be long: it goes straight out
-                    out.append((*row, True))
-                else:
-                    pending.append((*row, False))
-                    if same == 2 or kinds > 1 or row[6]:
-                        out.extend(pending)
+                    if members:
+                        settle(members)
+                    if now is None or row[0] != now[0]:
                         pending.clear()
+                        kinds, left = 0, False
+                    now, members = row[:2], []
+                if len(members) < 2:
+                    members.append(row)
+                elif row[7] == 1:  # a run can be long: beyond its first two, members go straight out
+                    out.append((*row, True))
                 if len(out) >= 20_000:
                     yield send()
+        if members:
+            settle(members)
         if out:
             yield send()
 
@@ -332,8 +346,9 @@ def _indexed(found: DataFrame, length: int, parts: int) -> DataFrame:
 
         def flush():
             rows = []
-            for row, spans in zip(waiting, repeated_spans([r[4] for r in waiting], length)):
-                rows += [(row[1], row[2], row[3] + s, row[3] + e) for s, e in spans]
+            for row, spans in zip(waiting, repeated_spans([r[5] for r in waiting], length)):
+                if row[4] == 1:
+                    rows += [(row[1], row[2], row[3] + s, row[3] + e) for s, e in spans]
             return _batch(rows, ["d", "sig", "start", "stop"], [pa.int64()] * 4) if rows else None
 
         last = None
@@ -345,11 +360,11 @@ def _indexed(found: DataFrame, length: int, parts: int) -> DataFrame:
                     waiting, size = [], 0
                 last = row[0]
                 waiting.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if waiting and (done := flush()):
             yield done
 
-    rows = found.select("key", "d", "sig", "p", "bytes").repartition(parts, "key").sortWithinPartitions("key")
+    rows = found.select("key", "d", "sig", "p", "copies", "bytes").repartition(parts, "key").sortWithinPartitions("key")
     return rows.mapInArrow(run, "d long, sig long, start long, stop long")
 
 
@@ -359,7 +374,7 @@ def _with_bytes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
     joined = docs.join(lists.hint("shuffle_hash"), ["d", "sig"])
     cut = joined.select("d", "sig", F.encode("text", "UTF-8").alias("text"), "wanted").withColumn("w", F.explode("wanted"))
     bytes_ = F.substring(F.col("text"), F.col("w.p") + 1, F.col("w.n") + (length - 1))
-    return cut.select("w.key", "w.hash", "d", "sig", "w.p", "w.n", "w.several", bytes_.alias("bytes"))
+    return cut.select("w.key", "w.hash", "d", "sig", "w.p", "w.n", "w.several", "w.copies", bytes_.alias("bytes"))
 
 
 def _anchored_again(found: DataFrame, length: int, gram: int) -> DataFrame:
@@ -368,16 +383,16 @@ def _anchored_again(found: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows_in = list(zip(*[c.to_pylist() for c in batch.columns]))
-            texts = [r[3] for r in rows_in]
+            texts = [r[4] for r in rows_in]
             rows = []
             for i, key, p, n, several in regions(texts, length, gram):
-                d, sig, at, text = rows_in[i]
+                d, sig, at, copies, text = rows_in[i]
                 part = text[p : p + n + length - 1]
-                rows.append((key, _digest(part), d, sig, at + p, n, several, part))
+                rows.append((key, _digest(part), d, sig, at + p, n, several, copies, part))
             if rows:
                 yield _batch(rows, [*_FIELDS, "bytes"], [*_TYPES, pa.binary()])
 
-    return found.select("d", "sig", "p", "bytes").mapInArrow(run, _REGION + ", bytes binary")
+    return found.select("d", "sig", "p", "copies", "bytes").mapInArrow(run, _REGION + ", bytes binary")
 
 
 def _spans_of(covered: DataFrame, length: int) -> DataFrame:
