@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space that separates words (space, tab, line feed, vertical tab, form
 #: feed, carriage return) as a character class and as plain characters.
@@ -67,3 +68,8 @@ def word_count(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
+
+
+def with_fields(schema: StructType, **kinds: str) -> StructType:
+    """The schema and more nullable fields, by name and type."""
+    return StructType([*schema.fields, *[StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType) for name, kind in kinds.items()]])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, license_scan, mixing, ordinal_quality, packing, quality_rules, repeats, simhash, url_filter
+from . import chat, exact_dedup, license_scan, manifest, mixing, ordinal_quality, packing, quality_rules, repeats, simhash, url_filter, vector_codes, warc
 from .common import table
 
 #: Where the tokenizer's file is; a parameter of the operator.
@@ -69,6 +69,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every proof is folded again, from a tampered leaf where a document is one to tamper with."""
+    docs = table(spark, sf_dir, "documents")
+    rows = manifest.manifest(docs, keep={"tampered": manifest.tampered(docs)})
+    rows = manifest.folded(rows.withColumn("shown", F.coalesce("tampered", "leaf")), "shown")
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,6 +103,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_warc": op11_warc,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -107,4 +126,7 @@ ORACLES = {
           doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
     "op7_mixing": mixing.ORACLE,
+    "op11_warc": warc.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
