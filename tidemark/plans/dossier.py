@@ -15,6 +15,7 @@ import json
 import sys
 from datetime import date
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from .. import reports
 from ..config import ANALOG_FEATURES, ANALOG_FEATURES_WITH_PRICE, BOOTSTRAP_DRAWS, HORIZONS, MARKETS, ROLES
 from ..functions import expressions as E
 from ..operators import analogs, events, quality, states, statistics
-from ..sources import feeds, synthetic
+from ..sources import feeds, reports_source, synthetic
 from ..sources.store import Store
 
 FIRST_DATE = "2015-01-06"
@@ -116,6 +117,13 @@ def load_synthetic(store: Store, codes: list[str]) -> None:
     store.append("price_raw", prices.withColumns({"source": F.lit("synthetic"), "ingested_at": now}))
 
 
+def live_positions(spark: SparkSession, code: str, start: str, end: str, get=feeds.http_get) -> DataFrame:
+    """A market's reports: asked for by tasks, or through ``get`` where one is given."""
+    if get is not feeds.http_get:
+        return feeds.fetch_positions(spark, code, start, end, get)
+    return reports_source.read_positions(spark, [code], start, end)
+
+
 def load_live(store: Store, codes: list[str], get=feeds.http_get, start: str | None = None, end: str | None = None) -> list[str]:
     """Fetches market by market from ``start`` (else from where the store ends) to ``end`` (else today).
 
@@ -125,13 +133,13 @@ def load_live(store: Store, codes: list[str], get=feeds.http_get, start: str | N
     for code in codes:
         try:
             since = start or store.read("positions_raw", code).agg(F.date_add(F.max("report_date"), 1)).first()[0] or FIRST_DATE
-            rows = feeds.fetch_positions(store.spark, code, str(since), end or str(date.today()), get)
+            rows = live_positions(store.spark, code, str(since), end or str(date.today()), get)
             store.append("positions_raw", rows.withColumn("ingested_at", F.current_timestamp()))
             if feeds.has_price(code):
                 first = start or store.read("price_raw", code).agg(F.date_sub(F.max("date"), 30)).first()[0] or FIRST_DATE
                 prices = feeds.fetch_prices(store.spark, code, str(first), get)
                 store.append("price_raw", prices.withColumns({"source": F.lit("web"), "ingested_at": F.current_timestamp()}))
-        except (feeds.FeedError, feeds.PriceError, ValueError) as e:
+        except (feeds.FeedError, feeds.PriceError, PySparkException, ValueError) as e:
             failed.append(code)
             store.log("quality_log", source=code, check_name="fetch", status="failed", detail=str(e)[:500])
     return failed
@@ -144,10 +152,10 @@ def validate(store: Store, codes: list[str], get=feeds.http_get) -> tuple[dict,
         try:
             stored = store.read("positions_raw", code).select("market", "participant", "report_date", "long", "short", "open_interest")
             newest = stored.agg(F.max("report_date")).first()[0]
-            live = feeds.fetch_positions(store.spark, code, str(newest), str(newest), get)
+            live = live_positions(store.spark, code, str(newest), str(newest), get)
             cells = quality.reconcile(live, stored.filter(F.col("report_date") == F.lit(newest)), ["market", "participant", "report_date"], ["long", "short", "open_interest"])
             results[code] = quality.reconcile_status(cells).first().result
-        except feeds.FeedError:
+        except (feeds.FeedError, PySparkException):
             results[code] = "BLOCKED"
     worst = max((("PASS", "FAIL", "BLOCKED").index(r) for r in results.values()), default=2)
     return results, worst

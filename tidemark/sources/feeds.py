@@ -81,24 +81,39 @@ def contract_names(report: str, pattern: str = "", get: Callable[[str], bytes] =
     return [n for n in _names[report] if pattern.upper() in n.upper()]
 
 
-def resolve_contract(report: str, match: str, get: Callable[[str], bytes] = http_get) -> str:
+def chosen_contract(names: list[str], match: str) -> str:
     """The shortest name for the first alternative that has any."""
+    fits = lambda pattern: [n for n in names if pattern.upper() in n.upper()]
     for variant in match.split("|"):
-        if found := contract_names(report, variant.strip(), get):
+        if found := fits(variant.strip()):
             return min(found, key=lambda n: (len(n), n))
-    hints = contract_names(report, match.split("|")[0].split()[0], get)[:15]
-    raise FeedSchemaError(f"no contract for {match!r}; similar: {hints}")
+    raise FeedSchemaError(f"no contract for {match!r}; similar: {sorted(fits(match.split('|')[0].split()[0]))[:15]}")
+
+
+def resolve_contract(report: str, match: str, get: Callable[[str], bytes] = http_get) -> str:
+    return chosen_contract(contract_names(report, "", get), match)
+
+
+def predicate(contract: str, start: object, end: object) -> str:
+    """The service's predicate for a contract's reports of some days, both ends included."""
+    quoted = contract.replace("'", "''")
+    return f"{NAME} = '{quoted}' AND {DATE} between '{start}T00:00:00' and '{end}T00:00:00'"
+
+
+def check_fields(records: list[dict], report: str, name: str) -> list[str]:
+    """The fields of a report; an answer that lacks one is an error."""
+    fields = [DATE, INTEREST, *(c for pair in COLUMNS[report].values() for c in pair)]
+    if records and (missing := [f for f in fields if f not in records[0]]):
+        raise FeedSchemaError(f"{name}: missing {missing}")
+    return fields
 
 
 def fetch_positions(spark: SparkSession, code: str, start: str, end: str, get: Callable[[str], bytes] = http_get) -> DataFrame:
     """A market's reports, one row per participant and the residual one, with when each became public."""
     m = market(code)
     name = resolve_contract(m.report, m.match, get)
-    where = f"{NAME} = '{name.replace(chr(39), chr(39) * 2)}' AND {DATE} between '{start}T00:00:00' and '{end}T00:00:00'"
-    records = from_any_host(f"/resource/{DATASETS[m.report]}.json", {"$where": where, "$order": DATE, "$limit": str(PAGE)}, get)
-    fields = [DATE, INTEREST, *(c for pair in COLUMNS[m.report].values() for c in pair)]
-    if records and (missing := [f for f in fields if f not in records[0]]):
-        raise FeedSchemaError(f"{name}: missing {missing}")
+    records = from_any_host(f"/resource/{DATASETS[m.report]}.json", {"$where": predicate(name, start, end), "$order": DATE, "$limit": str(PAGE)}, get)
+    fields = check_fields(records, m.report, name)
     rows = spark.createDataFrame([tuple(str(r[f]) if r.get(f) is not None else None for f in fields) for r in records], ", ".join(f"`{f}` string" for f in fields))
     whole = lambda c: F.coalesce(F.col(c).try_cast("double").cast("long"), F.lit(0)).alias(c)
     rows = rows.select(F.lit(code).alias("market"), F.to_date(F.substring(DATE, 1, 10)).alias("report_date"), *[whole(f) for f in fields if f != DATE])
