@@ -20,8 +20,8 @@ from ..config import ANALOG_FEATURES, BOOTSTRAP_DRAWS, CONDITIONS, EVENTS, HORIZ
 from ..functions import calendar, guard
 from ..functions import expressions as E
 from ..functions.conditions import condition
-from ..operators import analogs, asof, backtest, events, metrics, outcomes, panel, quality, states, statistics
-from ..streaming import incremental
+from ..operators import analogs, asof, backtest, events, metrics, neighbours, outcomes, panel, quality, states, statistics
+from ..streaming import incremental, stateful
 from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,6 +416,26 @@ def analog_outcomes(spark, sf_dir):
     return outcomes.outcomes(analogs.search(*_analog_parts(spark, sf_dir)), ("market",), "fwd_return_8w")
 
 
+_every = f"""{sql.states()},
+ful AS (SELECT * FROM st WHERE {_complete}),
+fit AS (SELECT market, {", ".join(f"avg({f}) AS mean_{f}, nullif(stddev_samp({f}), 0) AS std_{f}" for f in _f)} FROM ful GROUP BY 1),
+rms AS (SELECT market, coalesce(nullif(sqrt(avg({" + ".join(f"pow({w} * ({f} - mean_{f}) / std_{f}, 2)" for f, w in ANALOG_FEATURES.items())})), 0), 1) AS rms FROM ful JOIN fit USING (market) GROUP BY 1),
+nbr AS (SELECT q.market, q.report_date AS query_date, p.report_date, sqrt({" + ".join(f"pow({w} * (p.{f} - q.{f}) / std_{f}, 2)" for f, w in ANALOG_FEATURES.items())}) AS distance, rms
+  FROM ful q JOIN ful p ON p.market = q.market AND p.report_date < q.report_date AND p.availability_date <= q.availability_date JOIN fit ON q.market = fit.market JOIN rms ON q.market = rms.market)"""
+
+
+@query(
+    "market query_date report_date #place ~distance ~similarity",
+    _every,
+    "SELECT *, 100 * exp(-distance / rms) AS similarity, row_number() OVER (PARTITION BY market, query_date ORDER BY distance, report_date) AS place FROM nbr WHERE distance IS NOT NULL QUALIFY place <= 40",
+)
+def analog_neighbours(spark, sf_dir):
+    """Every week as a query, by the pivot index, which is stored first."""
+    folder = _scratch(spark)
+    neighbours.build(all_states(spark, sf_dir).dropna(subset=_f)).write.parquet(folder)
+    return neighbours.nearest(spark.read.parquet(folder))
+
+
 # -- statistics ------------------------------------------------------------------
 
 CHOSEN = "coalesce(spec_pct_52w >= 70, false)"
@@ -1064,7 +1084,9 @@ def _scratch(spark) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.gettempdir() + "/tidemark-streams"
-    return f"{folder}/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 @query("#user_id event_type", "", "SELECT DISTINCT user_id, event_type FROM events")
@@ -1074,3 +1096,23 @@ def stream_once_each(spark, sf_dir):
     landed = incremental.read_landing(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(source).schema)
     once = incremental.once_each(landed.select("user_id", "event_type", F.col("ts").cast("timestamp")), ["user_id", "event_type"], "ts", lag="36500 days")
     return incremental.drained(incremental.append_once(once, f"{folder}/out", f"{folder}/state"), f"{folder}/out")
+
+
+@query("market role report_date #streak_up_weeks #streak_down_weeks", sql.metrics(), "SELECT * FROM met")
+def stream_streaks(spark, sf_dir):
+    """The panel's weeks land in four files, up to five weeks late each; a stateful stream counts them."""
+    folder = _scratch(spark)
+    weeks = metrics.basic(positions(spark, sf_dir)).select("market", "role", "report_date", "net")
+    late = 7 * F.pmod(F.xxhash64("market", "role", "report_date"), F.lit(6))
+    weeks = weeks.withColumn("landed", F.date_add("report_date", late.cast("int")))
+    first, last = weeks.agg(F.min("landed"), F.max("landed")).first()
+    for part in range(4 if first else 0):
+        step = ((last - first).days + 1) / 4
+        landed = weeks.where(F.floor(F.datediff("landed", F.lit(first)) / step) == part).drop("landed")
+        landed.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    if not first:
+        return metrics.streaks(metrics.basic(positions(spark, sf_dir)))
+    rows = incremental.read_landing(spark, f"{folder}/in", weeks.drop("landed").schema, files_per_batch=1)
+    with stateful.rocksdb(spark):
+        stateful.write_versions(stateful.streak_changes(rows), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return stateful.last_versions(spark.read.parquet(f"{folder}/out"))
