@@ -6,7 +6,7 @@ rows with the smallest ids and are refined by rounds of assignment and means, al
 integer arithmetic, so that results depend on neither order nor partitioning.
 
 Search (`nearest`): dimensions go by falling variance of the codebook's entries; after the
-first ones the entry nearest so far is completed and gives a distance that is reached; each
+first half of them the entry nearest so far is completed and gives a distance that is reached; each
 further dimension is added only for pairs of vector and entry that are still open, and a
 pair is closed once its sum strictly exceeds the best complete distance.  Ties stay open to
 the end, so the smallest index wins them.
@@ -43,8 +43,8 @@ ROUNDS = 4
 SCALE = 1024
 #: The largest amount of an integer component, exact in doubles and longs.
 LARGEST = 2.0**53
-#: Dimensions summed for all entries before the first complete distance, and vectors a step.
-FIRST, STEP = 4, 1024
+#: Vectors a step: their sums with all entries stay in a processor's cache.
+STEP = 256
 #: Distances of smaller components than this fit a long for up to 2,048 dimensions.
 SMALL = 1 << 25
 
@@ -68,29 +68,33 @@ def nearest(points: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not points.shape[1]:
         return np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
     order = np.argsort(-book.astype(float).var(axis=0), kind="stable")
-    points, book = points[:, order], book[:, order]
+    # a dimension is one row, so that it is read in one piece
+    points, book = np.ascontiguousarray(points[:, order].T), np.ascontiguousarray(book[:, order].T)
     codes, errors = [], []
-    for at in range(0, len(points), STEP):
-        code, error = _nearest(points[at : at + STEP], book)
+    for at in range(0, points.shape[1], STEP):
+        code, error = _nearest(points[:, at : at + STEP], book)
         codes.append(code)
         errors.append(error)
     return np.concatenate(codes), np.concatenate(errors)
 
 
 def _nearest(p: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    width = p.shape[1]
-    first = min(FIRST, width)
-    sums = (p[:, 0, None] - book[None, :, 0]) ** 2
+    width, n = book.shape
+    first = max(1, width // 2)
+    sums = (p[0][:, None] - book[0]) ** 2
     for j in range(1, first):
-        sums = sums + (p[:, j, None] - book[None, :, j]) ** 2
-    best = ((p - book[sums.argmin(axis=1)]) ** 2).sum(axis=1)
-    rows, entries = np.nonzero(sums <= best[:, None])
-    open_sums = sums[rows, entries]
+        more = p[j][:, None] - book[j]
+        more *= more
+        sums += more
+    best = ((p - book[:, sums.argmin(axis=1)]) ** 2).sum(axis=0)
+    flat = np.flatnonzero(sums <= best[:, None])
+    rows, entries, open_sums = flat // n, flat % n, sums.ravel()[flat]
     for j in range(first, width):
-        open_sums = open_sums + (p[rows, j] - book[entries, j]) ** 2
+        more = p[j][rows] - book[j][entries]
+        open_sums = open_sums + more * more
         if j == (first + width) // 2:  # the nearest by now is completed as well
             _, at = _least(rows, open_sums)
-            best = np.minimum(best, ((p - book[entries[at]]) ** 2).sum(axis=1))
+            best = np.minimum(best, ((p - book[:, entries[at]]) ** 2).sum(axis=0))
         stay = open_sums <= best[rows]
         rows, entries, open_sums = rows[stay], entries[stay], open_sums[stay]
     least, at = _least(rows, open_sums)
