@@ -48,6 +48,8 @@ from .common import UPPER, checkpoint_folder, cut_lineage
 LEAST = 100
 #: Bytes after which a task starts a new archive file.
 FILE_BYTES = 1 << 30
+#: Effort of the records' compression, of 9.
+LEVEL = 6
 #: Entries in a block of the index.
 BLOCK = 1000
 #: Characters of a key beyond which it ends with a digest.
@@ -132,7 +134,7 @@ def _writer(folder: str):
                         "WARC-Refers-To": record_id(row["digest"]) if first is None else None,
                         "X-Capture-Id": json.dumps(row["id"]),
                     }
-                    data = gzip.compress(render(headers, row["payload"] or b""), mtime=0)
+                    data = gzip.compress(render(headers, row["payload"] or b""), LEVEL, mtime=0)
                     out.write(data)
                     found.append((row["key"], name, at, len(data)))
                     at += len(data)
@@ -332,7 +334,9 @@ def _reader(folder: str, with_payload: bool):
 
 def fetch(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records at the captures' ranges; a revisit has neither size nor payload of its own."""
-    dealt = captures.repartitionByRange("file", "start").sortWithinPartitions("file", "start")
+    # a capture is some bytes, its record thousands: partitions that look small aren't joined
+    tasks = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = captures.repartitionByRange(tasks, "file", "start").sortWithinPartitions("file", "start")
     return dealt.mapInArrow(_reader(f"{folder}/archive", with_payload), RECORD + ", payload binary" * with_payload)
 
 
