@@ -83,11 +83,111 @@ def test_stream_keeps_rows_once(spark, tmp_path):
     q = incremental.append_once(incremental.once_each(landed, ["market", "report_date"], "arrived"), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    built = []
-    stored = lambda: spark.read.parquet(str(tmp_path / "out"))
-    q = incremental.rebuild_touched(landed, stored, lambda d: d.groupBy("market").count(), lambda d: built.append(d.collect()), str(tmp_path / "ck2"))
-    q.awaitTermination()
-    assert {r.market for b in built for r in b} == {"EUR", "GBP"}
+
+
+def files_of(path):
+    return {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_only_touched_markets_are_built_again(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    schema = "market string, v int"
+    land = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    runs = []
+
+    def build(rows):
+        runs.append(sorted({r.market for r in rows.select("market").distinct().collect()}))
+        return rows.groupBy("market").agg(F.count(F.lit(1)).alias("n"))
+
+    def drain():
+        landed = incremental.read_landing(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        incremental.rebuild_touched(landed, lambda: spark.read.parquet(str(tmp_path / "in")), build, s, "derived", str(tmp_path / "ck")).awaitTermination()
+        return {r.market: (r.n, r.batch) for r in spark.read.parquet(s.path("derived")).collect()}
+
+    land([("EUR", 1), ("GBP", 2)])
+    assert drain() == {"EUR": (1, 0), "GBP": (1, 0)}
+    before = files_of(tmp_path / "derived")
+    land([("GBP", 3)])
+    assert drain() == {"EUR": (1, 0), "GBP": (2, 1)} and runs[-1] == ["GBP"]
+    after = files_of(tmp_path / "derived")
+    assert {p: t for p, t in before.items() if "EUR" in str(p)} == {p: t for p, t in after.items() if "EUR" in str(p)}
+    # the batch was written, but the driver was lost before it was committed: the replay writes nothing
+    for p in (tmp_path / "ck/commits").iterdir():
+        if p.name in ("1", ".1.crc"):
+            p.unlink()
+    n = len(runs)
+    assert drain() == {"EUR": (1, 0), "GBP": (2, 1)} and files_of(tmp_path / "derived") == after and len(runs) == n
+
+
+def test_write_that_fails_leaves_the_table(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("EUR", 1), ("GBP", 2)], "market string, v int")
+    s.replace_touched("t", rows)
+    before = files_of(tmp_path / "t")
+    bad = rows.withColumn("v", F.when(F.col("market") == "GBP", F.raise_error(F.lit("lost"))).otherwise(F.col("v") + 1).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        s.replace_touched("t", bad)
+    assert files_of(tmp_path / "t") == before and sorted(r.v for r in spark.read.parquet(s.path("t")).collect()) == [1, 2]
+    # made from the table itself
+    s.replace_touched("t", spark.read.parquet(s.path("t")).where("market = 'EUR'").withColumn("v", F.col("v") + 10))
+    assert {r.market: r.v for r in spark.read.parquet(s.path("t")).collect()} == {"EUR": 11, "GBP": 2}
+
+
+def test_crash_within_replace_is_put_right(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([("EUR", 1)], "market string, v int")
+    read = lambda: [r.v for r in spark.read.parquet(s.path("t")).collect()]
+    s.replace("t", rows)
+    # the old table has lost its name and the new one is complete
+    s._write(rows.withColumn("v", F.lit(2)), "t__new", "overwrite")
+    s._rename("t", "t__old")
+    assert s.exists("t") and read() == [2] and not s._there("t__old")
+    # the new one is not complete
+    s._write(rows.withColumn("v", F.lit(3)), "t__new", "overwrite")
+    (tmp_path / "t__new/_SUCCESS").unlink()
+    s._rename("t", "t__old")
+    assert s.exists("t") and read() == [2]
+    # both have their names, the old one wasn't deleted yet
+    s.replace("t", rows.withColumn("v", F.lit(4)))
+    rows.write.parquet(s.path("t__old"))
+    assert s.exists("t") and read() == [4] and not s._there("t__old")
+
+
+def test_backlog_of_reports_loses_no_row(spark, tmp_path):
+    """Reports of a shutdown come at once, months late; with the calendar's lag all meet their prices."""
+    weeks = [date(2025, 8, 5) + timedelta(days=7 * k) for k in range(28)]
+    known = {w: w + timedelta(days=3) for w in weeks}
+    held = [w for w in weeks if date(2025, 9, 23) <= w <= date(2025, 12, 30)]
+    reports = "market string, report_date date, availability_date date"
+    prices = "market string, date date, close double"
+    days = [date(2025, 8, 5) + timedelta(days=k) for k in range(7 * 28 + 10)]
+    everything = [("EUR", w, known[w]) for w in weeks]
+    late = incremental.LateRows()
+    spark.streams.addListener(late)
+
+    def run(name, lag):
+        folder = tmp_path / name
+        new = [w for w in weeks if w > date(2025, 12, 30)]
+        for part in ([w for w in weeks if w < held[0]], new[:1], new[1:2], held, new[2:]):
+            spark.createDataFrame([("EUR", w, known[w]) for w in part], reports).coalesce(1).write.mode("append").parquet(str(folder / "reports"))
+        for k in range(5):
+            spark.createDataFrame([("EUR", d, float(i)) for i, d in enumerate(days) if i * 5 // len(days) == k], prices).coalesce(1).write.mode("append").parquet(str(folder / "prices"))
+        read = lambda n, s: incremental.read_landing(spark, str(folder / n), spark.createDataFrame([], s).schema, 1)
+        query = incremental.append_once(incremental.priced_reports(read("reports", reports), read("prices", prices), lag=lag), str(folder / "out"), str(folder / "ck"))
+        query.awaitTermination()
+        rows = spark.read.parquet(str(folder / "out"))
+        return query, sorted((r.report_date, r.date, r.close) for r in rows.collect()), sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+    want = sorted((w, d, float(i)) for _, w, k in everything for i, d in enumerate(days) if k <= d <= k + timedelta(days=3))
+    query, got, dropped = run("whole", None)
+    assert got == want and dropped == 0
+    query, got, dropped = run("short", "7 days")
+    assert dropped > 0 and len(got) < len(want)
+    spark.streams.removeListener(late)
+    assert late.dropped.get(str(query.id)) == dropped
+    from tidemark.functions.calendar import longest_delay
+
+    assert longest_delay() >= max((date(2025, 12, 30) - w).days for w in held)
 
 
 def test_entry_and_registry(spark):

@@ -30,6 +30,12 @@ def published() -> dict[date, date]:
 LAPSE = ("2025-09-23", "2025-12-30")
 
 
+def longest_delay() -> int:
+    """Days from a report's date to when it may have come at the latest: the whole lapse and a usual wait."""
+    first, last = map(date.fromisoformat, LAPSE)
+    return (last - first).days + 7
+
+
 def friday_on_or_after(d: Column) -> Column:
     return F.next_day(F.date_sub(d, 1), "FRI")
 

@@ -39,12 +39,16 @@ def roles_of(positions: DataFrame) -> DataFrame:
     return rows.groupBy("market", "role", "report_date").agg(one.alias("p")).select("market", "role", "report_date", "p.*")
 
 
-def build(store: Store, as_of) -> DataFrame:
-    """States of all stored markets, written as the table of states."""
+def build(store: Store, as_of, codes: list[str] | None = None) -> DataFrame:
+    """States of the stored markets, or of some of them: only their partitions are read and written."""
     inverse = tuple(m.code for m in MARKETS.values() if m.inverse)
-    prices = store.read("price_raw").groupBy("market", "date").agg(F.min_by("close", "source").alias("close"))
-    rows = states.market_states(roles_of(store.read("positions_raw")), prices, as_of, inverse)
-    store.replace("states", rows)
+    read = lambda table: store.read(table) if codes is None else store.read(table).where(F.col("market").isin(codes))
+    prices = read("price_raw").groupBy("market", "date").agg(F.min_by("close", "source").alias("close"))
+    rows = states.market_states(roles_of(read("positions_raw")), prices, as_of, inverse)
+    if codes is None:
+        store.replace("states", rows)
+    else:
+        store.replace_touched("states", rows)
     return store.spark.read.parquet(store.path("states"))
 
 
@@ -176,9 +180,10 @@ def main(args: list[str]) -> int:
         load_synthetic(store, codes)
         build(store, today)
     elif a.what in ("live", "refresh"):
-        if len(load_live(store, codes, start=a.start, end=a.end)) == len(codes):
+        failed = load_live(store, codes, start=a.start, end=a.end)
+        if len(failed) == len(codes):
             return 1  # nothing came, so nothing is rebuilt
-        build(store, today)
+        build(store, today, [c for c in codes if c not in failed])
     elif a.what == "site":
         payload = dossier(spark.read.parquet(store.path("states")))
         with open(a.rest[0], "w", encoding="utf-8") as f:

@@ -39,8 +39,8 @@ class Store:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
+        self.recover(table)
+        return self._there(table)
 
     def schema(self, table: str) -> StructType:
         return self.spark.createDataFrame([], SCHEMAS[table]).schema
@@ -70,16 +70,55 @@ class Store:
         return self.read("hypotheses").count()
 
     def replace(self, table: str, rows: DataFrame, columns: list[str] | None = None) -> None:
-        """The table's new content; ``rows`` may be made from the old one, so it is written beside it first."""
+        """The table's new content; ``rows`` may be made from the old one, so it is written beside it first.
+
+        The old content is renamed, not deleted, until the new one has its name; what a
+        crash in between leaves is put right by the next `exists` or `read` (see `recover`).
+        """
         if columns is not None:
             self.check(table, rows, columns)
+        self.recover(table)
         self._write(rows, f"{table}__new", "overwrite")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        new, old = path(self.path(f"{table}__new")), path(self.path(table))
-        files = new.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        files.delete(old, True)
-        if not files.rename(new, old):
-            raise OSError(f"could not rename {new} to {old}")
+        self._swap(table)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _rename(self, a: str, b: str) -> None:
+        (old, files), (new, _) = self._files(a), self._files(b)
+        if not files.rename(old, new):
+            raise OSError(f"could not rename {old} to {new}")
+
+    def _there(self, name: str) -> bool:
+        path, files = self._files(name)
+        return files.exists(path)
+
+    def _swap(self, table: str) -> None:
+        if self._there(table):
+            self._rename(table, f"{table}__old")
+        self._rename(f"{table}__new", table)
+        path, files = self._files(f"{table}__old")
+        files.delete(path, True)
+
+    def recover(self, table: str) -> None:
+        """After a crash within `replace`: the new content if it was complete, else the old one."""
+        if self._there(f"{table}__old"):
+            if not self._there(table):
+                complete = self._there(f"{table}__new/_SUCCESS")
+                self._rename(f"{table}__new" if complete else f"{table}__old", table)
+            path, files = self._files(f"{table}__old")
+            files.delete(path, True)
+
+    def replace_touched(self, table: str, rows: DataFrame, by: tuple[str, ...] = ("market",)) -> None:
+        """New content of the partitions that ``rows`` are in; others keep their files.
+
+        Spark writes the new files aside and moves whole partitions when the job commits, so a
+        job that fails before that leaves the table as it was.  ``rows`` may be made from the
+        table.  A partition of which ``rows`` have none stays.
+        """
+        self.recover(table)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(self.path(table))
 
     def check(self, table: str, rows: DataFrame, columns: list[str] | None = None) -> None:
         extra = set(rows.columns) - set(columns if columns is not None else self.schema(table).names)
