@@ -69,6 +69,18 @@ def test_price_feed(spark):
         feeds.fetch_prices(spark, "EUR", "2023-02-01", lambda url: first.encode())
 
 
+def test_price_lines_keep_what_they_reject(spark):
+    text = '\ufeffDate, Note ,CLOSE\n2024-01-02,"a, b",1.5\n\n2024-01-03,x\n2024-01-04,x,2.5,more\n2024-01-05,"open,3.5\n 2024-01-08 ,"say ""so""", 4.5 \n2024-01-09,x,.\nnever,x,1\n2024-01-10,x,NaN\n'
+    lines = feeds.price_lines(spark, text).cache()
+    assert [(str(r.date), r.close) for r in feeds.parse_prices(spark, text).collect()] == [("2024-01-02", 1.5), ("2024-01-08", 4.5)]
+    assert feeds.faults(lines) == {"malformed": 3, "no number": 3} and lines.count() == 8
+    assert [r.line for r in lines.where("fault = 'malformed'").collect()] == ["2024-01-03,x", "2024-01-04,x,2.5,more", '2024-01-05,"open,3.5']
+    assert feeds.parse_prices(spark, "DATE,x\n2024-01-02,1\n").count() == 1 and feeds.parse_prices(spark, "a,b\n").count() == 0
+    for bad in ("", "a,b,c\n1,2,3\n"):
+        with pytest.raises(feeds.FeedSchemaError):
+            feeds.parse_prices(spark, bad)
+
+
 def test_synthetic_panel_adds_up(spark):
     rows = synthetic.panel(spark, ["EUR", "GOLD"], "2020-01-07", "2020-12-29").cache()
     sums = rows.groupBy("market", "report_date").agg(F.sum("long").alias("l"), F.sum("short").alias("s"), F.max("open_interest").alias("oi")).collect()

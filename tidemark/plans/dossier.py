@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import reports
-from ..config import ANALOG_FEATURES, ANALOG_FEATURES_WITH_PRICE, BOOTSTRAP_DRAWS, HORIZONS, MARKETS, ROLES
+from ..config import ANALOG_FEATURES, ANALOG_FEATURES_WITH_PRICE, BOOTSTRAP_DRAWS, HORIZONS, MARKETS
 from ..functions import expressions as E
-from ..operators import analogs, events, quality, states, statistics
+from ..operators import analogs, events, panel, quality, states, statistics
 from ..sources import feeds, reports_source, synthetic
 from ..sources.store import Store
 
@@ -30,21 +30,12 @@ FIRST_DATE = "2015-01-06"
 MODES = {"positions": ANALOG_FEATURES, "positions_and_price": ANALOG_FEATURES_WITH_PRICE}
 
 
-def roles_of(positions: DataFrame) -> DataFrame:
-    """Participants as roles; of several sources of a week the first by name counts."""
-    known = {p: r for report in ROLES.values() for p, r in report.items()}
-    pairs = [F.lit(x) for pair in known.items() for x in pair]
-    rows = positions.withColumn("role", F.element_at(F.create_map(*pairs), F.col("participant")))
-    one = F.min_by(F.struct(*[F.col(c).cast("double").alias(c) for c in ("long", "short", "open_interest")]), "source")
-    return rows.groupBy("market", "role", "report_date").agg(one.alias("p")).select("market", "role", "report_date", "p.*")
-
-
 def build(store: Store, as_of, codes: list[str] | None = None) -> DataFrame:
     """States of the stored markets, or of some of them: only their partitions are read and written."""
     inverse = tuple(m.code for m in MARKETS.values() if m.inverse)
     read = lambda table: store.read(table) if codes is None else store.read(table).where(F.col("market").isin(codes))
     prices = read("price_raw").groupBy("market", "date").agg(F.min_by("close", "source").alias("close"))
-    rows = states.market_states(roles_of(read("positions_raw")), prices, as_of, inverse)
+    rows = states.market_states(panel.roles_of(read("positions_raw")), prices, as_of, inverse)
     if codes is None:
         store.replace("states", rows)
     else:

@@ -16,11 +16,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ANALOG_FEATURES, BOOTSTRAP_DRAWS, CONDITIONS, EVENTS, HORIZONS, MARKETS, MIN_SAMPLE, REGIMES
+from ..config import ANALOG_FEATURES, BOOTSTRAP_DRAWS, CONDITIONS, EVENTS, HORIZONS, MARKETS, MIN_SAMPLE, REGIMES, ROLES
 from ..functions import calendar, guard
 from ..functions import expressions as E
 from ..functions.conditions import condition
-from ..operators import analogs, asof, backtest, events, metrics, neighbours, outcomes, panel, quality, states, statistics
+from ..operators import analogs, asof, backtest, events, metrics, neighbours, outcomes, panel, quality, running, states, statistics
 from ..streaming import incremental, stateful
 from . import sql
 
@@ -208,11 +208,13 @@ def excursions(spark, sf_dir):
     "",
     f"""SELECT d AS report_date, {sql.availability("d")[0]} AS availability_date, CASE WHEN {sql.availability("d")[1]} THEN 'published_schedule' ELSE 'derived_rule' END AS availability_source,
     NOT {sql.availability("d")[1]} AND d {sql.LAPSE_TEST} AS availability_warning
-    FROM (SELECT CAST(unnest(generate_series(DATE '1995-01-03', DATE '2027-12-28', INTERVAL 1 DAY)) AS DATE) AS d)""",
+    FROM (SELECT DISTINCT unnest([d, CAST(d + INTERVAL 372 MONTH AS DATE)]) AS d FROM (SELECT CAST(o_orderdate AS DATE) AS d FROM orders))""",
 )
 def availability(spark, sf_dir):
-    days = F.sequence(F.lit("1995-01-03").cast("date"), F.lit("2027-12-28").cast("date"))
-    return calendar.with_availability(spark.range(1).select(F.explode(days).alias("report_date")))
+    """The days of the orders and the same days 31 years on, which meet the published schedule and the lapse."""
+    day = F.col("o_orderdate").cast("date")
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.explode(F.array(day, F.add_months(day, 372))).alias("report_date"))
+    return calendar.with_availability(days.distinct())
 
 
 @query(
@@ -819,12 +821,20 @@ def contract_resolution(spark, sf_dir):
     return quality.resolve_contracts(names, wanted)
 
 
-_registered = ", ".join(f"('{m.code}', '{m.sector}', '{m.report}', {m.inverse}, {m.pip})" for m in MARKETS.values())
+_registered = ", ".join(f"({i}, '{m.code}', '{m.sector}', '{m.report}', {m.inverse}, {m.pip})" for i, m in enumerate(MARKETS.values()))
 
 
-@query("code sector report inverse ~pip", "", f"SELECT * FROM (VALUES {_registered}) AS m(code, sector, report, inverse, pip)")
+@query(
+    "code sector report inverse ~pip #n_orders ~total",
+    "",
+    f"""SELECT code, sector, report, inverse, pip, count(o_orderkey) AS n_orders, sum(o_totalprice) AS total FROM (VALUES {_registered}) AS m(i, code, sector, report, inverse, pip)
+    LEFT JOIN orders ON o_custkey % {len(MARKETS)} = i GROUP BY 1, 2, 3, 4, 5""",
+)
 def market_registry(spark, sf_dir):
-    return spark.createDataFrame([(m.code, m.sector, m.report, m.inverse, m.pip) for m in MARKETS.values()], "code string, sector string, report string, inverse boolean, pip double")
+    """Orders dealt to the markets by customer, with each market's attributes."""
+    dims = spark.createDataFrame([(i, m.code, m.sector, m.report, m.inverse, m.pip) for i, m in enumerate(MARKETS.values())], "i int, code string, sector string, report string, inverse boolean, pip double")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy((F.col("o_custkey") % len(MARKETS)).alias("i")).agg(F.count("o_orderkey").alias("n_orders"), F.sum("o_totalprice").alias("total"))
+    return dims.join(orders, "i", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
 
 
 @query(
@@ -1098,6 +1108,99 @@ def stream_once_each(spark, sf_dir):
     return incremental.drained(incremental.append_once(once, f"{folder}/out", f"{folder}/state"), f"{folder}/out")
 
 
+_past = ", ".join(
+    f"CASE WHEN count(move_{k}) OVER {f} >= 50 THEN quantile_cont(move_{k}, {q}) OVER {f} END AS past_{k}"
+    for k, q, weeks, _ in EVENTS
+    for f in [f"(PARTITION BY market ORDER BY report_date ROWS BETWEEN UNBOUNDED PRECEDING AND {weeks} PRECEDING)"]
+)
+
+
+@query(
+    _weeks(*[f"~thr_{k}" for k, *_ in EVENTS], *[f"ev_{k}" for k, *_ in EVENTS]),
+    sql.moves(),
+    "SELECT market, report_date, " + ", ".join(f"past_{k} AS thr_{k}, move_{k} >= past_{k} AS ev_{k}" for k, *_ in EVENTS) + f" FROM (SELECT *, {_past} FROM mov)",
+)
+def event_thresholds_past(spark, sf_dir):
+    """Beside the thresholds over the whole sample, those that could be known each week."""
+    return running.event_thresholds(all_states(spark, sf_dir))
+
+
+_before = "OVER (PARTITION BY market ORDER BY report_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_tops = {"flow_spike_up": "spec_chg_1w", "flow_spike_down": "(-spec_chg_1w)", "oi_surge": "spec_oi_chg_1w"}
+
+
+@query(
+    _weeks(*[f"c_{k}" for k in _tops]),
+    sql.states(),
+    "SELECT market, report_date, " + ", ".join(f"CASE WHEN count({x}) {_before} >= 50 THEN {x} >= quantile_cont({x}, 0.85) {_before} END AS c_{k}" for k, x in _tops.items()) + " FROM st",
+)
+def conditions_past(spark, sf_dir):
+    return running.top_conditions(all_states(spark, sf_dir))
+
+
+@query(
+    "market start end #weeks",
+    sql.states(),
+    """SELECT market, min(report_date)::TIMESTAMP AS start, max(report_date)::TIMESTAMP + INTERVAL 8 DAY AS "end", count(*) AS weeks FROM (
+      SELECT *, sum(CASE WHEN gap IS NULL OR gap >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY market ORDER BY report_date) AS nth FROM (
+        SELECT *, report_date - lag(report_date) OVER (PARTITION BY market ORDER BY report_date) AS gap FROM st WHERE coalesce(spec_pct_52w >= 80, false))) GROUP BY market, nth""",
+)
+def extreme_sessions(spark, sf_dir):
+    """Episodes of high weeks as session windows, as a stream has them once its watermark has passed."""
+    rows = all_states(spark, sf_dir).select("market", F.col("report_date").cast("timestamp").alias("at"), F.coalesce(F.col("spec_pct_52w") >= 80, F.lit(False)).alias("flag"))
+    return incremental.flag_sessions(rows, "at")
+
+
+_no_asia = sql.states().replace("FROM li GROUP BY 1, 2)", "FROM li WHERE market <> 'ASIA' GROUP BY 1, 2)")
+assert _no_asia != sql.states()
+
+
+@query(_weeks("regime", "~price_close", "~fwd_return_8w", "#n_flags"), _no_asia, "SELECT *, div_slow::INT + div_price::INT AS n_flags FROM st")
+def states_without_prices(spark, sf_dir):
+    """A market that no price source has keeps its weeks and regimes; what rests on prices is NULL."""
+    some = prices(spark, sf_dir).where("market <> 'ASIA'")
+    return states.market_states(positions(spark, sf_dir), some, AS_OF, panel.INVERSE).withColumn("n_flags", F.size("divergence_flags"))
+
+
+@query("market role report_date ~long ~short ~open_interest", sql.PANEL, 'SELECT * FROM pos')
+def participant_roles(spark, sf_dir):
+    """Participants of both report families as roles; each week is there from two sources, of which the first counts."""
+    rows = positions(spark, sf_dir)
+    names = {report: {role: p for p, role in found.items()} for report, found in ROLES.items()}
+    named = lambda report: F.element_at(F.create_map(*[F.lit(x) for pair in names[report].items() for x in pair]), F.col("role"))
+    rows = rows.withColumn("participant", F.when(F.col("market").isin(*panel.INVERSE), named("disaggregated")).otherwise(named("financial")))
+    twice = rows.withColumn("source", F.lit("b")).withColumn("long", F.col("long") + 1).unionByName(rows.withColumn("source", F.lit("a")))
+    return panel.roles_of(twice.drop("role"))
+
+
+def _landed(rows: DataFrame, path: str, parts: int) -> None:
+    """Rows in files in order of ``landed`` (a date), so that a stream reads them one after the other."""
+    first, last = rows.agg(F.min("landed"), F.max("landed")).first()
+    step = ((last - first).days + 1) / parts
+    for part in range(parts):
+        rows.where(F.floor(F.datediff("landed", F.lit(first)) / step) == part).drop("landed").coalesce(1).write.mode("append").parquet(path)
+
+
+@query(
+    _weeks("availability_date", "date", "~close"),
+    sql.states(),
+    "SELECT a.market, a.report_date, a.availability_date, p.date, p.close FROM avl a JOIN pr p ON a.market = p.market AND p.date BETWEEN a.availability_date AND a.availability_date + 3",
+)
+def stream_priced_reports(spark, sf_dir):
+    """Reports and prices land in three files each, those of one quarter 70 days late; two streams are joined."""
+    folder = _scratch(spark)
+    weeks = calendar.with_availability(positions(spark, sf_dir).select("market", "report_date").distinct()).select("market", "report_date", "availability_date")
+    closes = prices(spark, sf_dir)
+    if weeks.isEmpty():
+        return weeks.join(closes, "market").select("market", "report_date", "availability_date", "date", "close")
+    held = (F.year("report_date") == 1998) & (F.quarter("report_date") == 2)
+    _landed(weeks.withColumn("landed", F.date_add("report_date", F.when(held, 70).otherwise(3))), f"{folder}/reports", 3)
+    _landed(closes.withColumn("landed", F.col("date")), f"{folder}/prices", 3)
+    read = lambda name, rows: incremental.read_landing(spark, f"{folder}/{name}", rows.schema, files_per_batch=1)
+    joined = incremental.priced_reports(read("reports", weeks), read("prices", closes))
+    return incremental.drained(incremental.append_once(joined, f"{folder}/out", f"{folder}/state"), f"{folder}/out")
+
+
 @query("market role report_date #streak_up_weeks #streak_down_weeks", sql.metrics(), "SELECT * FROM met")
 def stream_streaks(spark, sf_dir):
     """The panel's weeks land in four files, up to five weeks late each; a stateful stream counts them."""
@@ -1105,13 +1208,9 @@ def stream_streaks(spark, sf_dir):
     weeks = metrics.basic(positions(spark, sf_dir)).select("market", "role", "report_date", "net")
     late = 7 * F.pmod(F.xxhash64("market", "role", "report_date"), F.lit(6))
     weeks = weeks.withColumn("landed", F.date_add("report_date", late.cast("int")))
-    first, last = weeks.agg(F.min("landed"), F.max("landed")).first()
-    for part in range(4 if first else 0):
-        step = ((last - first).days + 1) / 4
-        landed = weeks.where(F.floor(F.datediff("landed", F.lit(first)) / step) == part).drop("landed")
-        landed.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    if not first:
+    if weeks.isEmpty():
         return metrics.streaks(metrics.basic(positions(spark, sf_dir)))
+    _landed(weeks, f"{folder}/in", 4)
     rows = incremental.read_landing(spark, f"{folder}/in", weeks.drop("landed").schema, files_per_batch=1)
     with stateful.rocksdb(spark):
         stateful.write_versions(stateful.streak_changes(rows), f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -7,6 +7,7 @@ need no network.
 
 from __future__ import annotations
 
+import csv
 import json
 import urllib.parse
 import urllib.request
@@ -126,20 +127,43 @@ def fetch_positions(spark: SparkSession, code: str, start: str, end: str, get: C
     return with_availability(both).drop("availability_warning")
 
 
-def parse_prices(spark: SparkSession, text: str) -> DataFrame:
-    """(date, close) of a CSV text: columns named date and close in any case, or two columns; rows without a number go."""
-    header, *lines = [[x.strip().strip('"') for x in line.split(",")] for line in text.strip().splitlines() if line.strip()] or [[]]
-    lines = [tuple(x for x in line) for line in lines if len(line) == len(header)]
-    rows = spark.createDataFrame(lines, ", ".join(f"`{c}` string" for c in header)) if header and header[0] else spark.createDataFrame([], "none string")
-    by_name = {c.strip().lower(): c for c in rows.columns}
+def price_lines(spark: SparkSession, text: str) -> DataFrame:
+    """(date, close, line, fault) of a CSV text, a row per line below the header.
+
+    Columns are named date and close in any case, or there are two.  Fields may be quoted and
+    hold commas; a byte-order mark and empty lines are skipped.  ``fault`` is ``malformed``
+    where a line has more or fewer fields than the header or an open quote, ``no number``
+    where date or close can't be read, else NULL.
+    """
+    lines = [x for x in text.removeprefix("\ufeff").splitlines() if x.strip()]
+    header = [c.strip() for c in next(csv.reader(lines[:1]), [])]
+    by_name = {c.lower(): i for i, c in enumerate(header)}
     if {"date", "close"} <= set(by_name):
         d, c = by_name["date"], by_name["close"]
-    elif len(rows.columns) == 2:
-        d, c = rows.columns
+    elif len(header) == 2:
+        d, c = 0, 1
     else:
-        raise FeedSchemaError(f"no date and close in {rows.columns}")
-    number = F.expr(f"try_cast(trim(`{c}`) as double)")
-    return rows.select(F.expr(f"try_to_date(trim(`{d}`))").alias("date"), number.alias("close")).dropna().orderBy("date")
+        raise FeedSchemaError(f"no date and close in {header}")
+    fields = ", ".join([*[f"c{i} string" for i in range(len(header))], "bad string"])
+    rows = spark.createDataFrame([(x,) for x in lines[1:]], "line string")
+    read = F.from_csv("line", fields, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+    rows = rows.select("line", read.alias("r"))
+    # an odd number of quotes is a quote that isn't closed
+    whole = F.col("r.bad").isNull() & (F.regexp_count("line", F.lit('"')) % 2 == 0)
+    day, number = F.expr(f"try_to_date(trim(r.c{d}))"), F.expr(f"try_cast(trim(r.c{c}) as double)")
+    number = F.when(~F.isnan(number), number)
+    fault = F.when(~whole, "malformed").when(day.isNull() | number.isNull(), "no number")
+    return rows.select(day.alias("date"), number.alias("close"), "line", fault.alias("fault"))
+
+
+def parse_prices(spark: SparkSession, text: str) -> DataFrame:
+    """(date, close) of the lines of a CSV text that have both, in order of date."""
+    return price_lines(spark, text).where("fault IS NULL").select("date", "close").orderBy("date")
+
+
+def faults(lines: DataFrame) -> dict[str, int]:
+    """How many lines of `price_lines` were rejected, by fault."""
+    return {r["fault"]: r["count"] for r in lines.where("fault IS NOT NULL").groupBy("fault").count().collect()}
 
 
 def price_urls(code: str) -> list[str]:
