@@ -1,13 +1,16 @@
 """Sources, stores and streams."""
 
+import csv
 import json
+import zipfile
 from datetime import date, timedelta
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tidemark.sources import feeds, store, synthetic
+from tidemark.sources import feeds, single_file, store, synthetic
 from tidemark.streaming import incremental
 
 
@@ -35,6 +38,38 @@ def test_exports(spark, tmp_path):
         store.export(rows, str(tmp_path / "x"), "doc")
 
 
+ONE = "a int, b string, c double, d date, e boolean"
+
+
+def test_one_file_out_of_many_tasks(spark, tmp_path):
+    values = [(k, None if k % 5 == 0 else f"<{k}>, \"q\"\n\x01é", k / 4, date(2024, 1, 1 + k % 9), k % 2 == 0) for k in range(50)]
+    rows = spark.createDataFrame(values, ONE).repartitionByRange(4, "a")
+    for kind in ("csv", "json", "xlsx"):
+        for _ in range(2):  # a file that is there is replaced
+            store.export(rows, str(tmp_path / kind), kind, single=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["csv", "json", "xlsx"]
+    with open(tmp_path / "csv", encoding="utf-8", newline="") as f:
+        read = list(csv.reader(f))
+    assert read[0] == ["a", "b", "c", "d", "e"] and [r[0] for r in read[1:]] == [str(k) for k in range(50)] and read[2][1] == values[1][1] and read[1][3] == "2024-01-01"
+    lines = [json.loads(x) for x in (tmp_path / "json").read_text(encoding="utf-8").splitlines()]
+    assert lines[7] == {"a": 7, "b": values[7][1], "c": 1.75, "d": "2024-01-08", "e": False}
+    with zipfile.ZipFile(tmp_path / "xlsx") as book:
+        assert book.testzip() is None and set(single_file.WORKBOOK) < set(book.namelist())
+        sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
+    cells = [["".join(c.itertext()) for c in row] for row in sheet[0]]
+    assert len(cells) == 51 and cells[0] == ["a", "b", "c", "d", "e"] and cells[2] == ["1", values[1][1].replace("\x01", ""), "0.25", "2024-01-02", "0"] and cells[1][1] == ""
+    store.export(rows.limit(0), str(tmp_path / "none"), "csv", single=True)
+    assert (tmp_path / "none").read_text() == "a,b,c,d,e\n"
+
+
+def test_failed_task_leaves_no_file(spark, tmp_path):
+    rows = spark.range(40).repartition(4).withColumn("x", F.when(F.col("id") == 33, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long"))
+    for kind in ("csv", "xlsx"):
+        with pytest.raises(Exception, match="lost"):
+            store.export(rows, str(tmp_path / "out"), kind, single=True)
+    assert list(tmp_path.iterdir()) == []
+
+
 def fake_get(url):
     if "data.cftc.gov" not in url:
         raise OSError("down")

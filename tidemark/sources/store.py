@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import single_file
+
 #: Schemas of the stored tables, and the keys that never repeat.
 SCHEMAS = {
     "positions_raw": "market string, participant string, report_date date, availability_date date, availability_source string, long bigint, short bigint, open_interest bigint, source string, ingested_at timestamp",
@@ -159,19 +161,15 @@ def migrate(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 # -- exports -----------------------------------------------------------------------
 
 
-def export(rows: DataFrame, path: str, kind: str) -> None:
-    """csv, json, parquet or xlsx; xlsx is one sheet and needs openpyxl."""
-    if kind == "csv":
+def export(rows: DataFrame, path: str, kind: str, single: bool = False) -> None:
+    """csv, json, parquet or xlsx; csv and json are folders unless ``single``, xlsx is one file with one sheet."""
+    if kind == "xlsx" or (single and kind in single_file.KINDS):
+        single_file.write(rows, path, kind)
+    elif kind == "csv":
         rows.write.mode("overwrite").csv(path, header=True)
     elif kind == "json":
         rows.write.mode("overwrite").json(path, ignoreNullFields=False)
     elif kind == "parquet":
         rows.write.mode("overwrite").parquet(path)
-    elif kind == "xlsx":
-        try:
-            import openpyxl  # noqa: F401
-        except ImportError as e:
-            raise RuntimeError("exporting xlsx needs openpyxl") from e
-        rows.toPandas().to_excel(path, index=False)
     else:
         raise ValueError(f"unknown export {kind!r}")
