@@ -285,6 +285,24 @@ def test_tokenizer_on_a_whole_table(spark):
     assert all(g.tolist() == whole.encode(t, add_special_tokens=False).ids for g, t in zip(got, texts))
 
 
+def test_tokenizer_memory_is_bounded(monkeypatch):
+    """Texts without spaces are pieces as a whole: they are encoded, but not remembered."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    reader = packing.PieceTokenizer(tokenizer_path())
+    for _ in range(10):
+        texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(300)) for _ in range(1000)]
+        got = reader.ids_of(pa.array(texts))
+        assert got[7].tolist() == reader.whole.encode(texts[7], add_special_tokens=False).ids
+    assert not reader.known and not reader.held
+    monkeypatch.setattr(packing.PieceTokenizer, "MOST_BYTES", 200_000)
+    for _ in range(5):
+        texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(20)) for _ in range(100)]
+        assert [g.tolist() for g in reader.ids_of(pa.array(texts))] == [reader.whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert 0 < reader.held <= 200_000 and reader.held == sum(reader.ENTRY + 4 * len(k) + len(v) for k, v in reader.known.items())
+
+
 def test_license_scan(docs, rows):
     got = Counter()
     for r in license_scan.scan(docs).collect():

@@ -57,8 +57,10 @@ class PieceTokenizer:
     is encoded as a whole.
     """
 
-    #: Pieces remembered from batch to batch; beyond that all are forgotten.
-    MOST = 500_000
+    #: Bytes of pieces and ids remembered from batch to batch; beyond that all are forgotten.
+    MOST_BYTES = 160 << 20
+    #: Characters of the longest piece that is remembered, and bytes that an entry takes besides its contents.
+    LONGEST, ENTRY = 64, 250
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,8 +69,8 @@ class PieceTokenizer:
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         kind = self.whole.to_str()
         self.by_piece = self._has_byte_level_words(json.loads(kind)) and not any(" " in s for s in self.special)
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # by pieces with the space before them
+        self.held = 0
 
     @staticmethod
     def _has_byte_level_words(spec: dict) -> bool:
@@ -79,31 +81,41 @@ class PieceTokenizer:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
+    def _remember(self, names: list[str], found: list[bytes]) -> None:
+        for name, ids in zip(names, found):
+            if len(name) <= self.LONGEST:
+                size = self.ENTRY + 4 * len(name) + len(ids)
+                if self.held + size > self.MOST_BYTES:
+                    self.known.clear()
+                    self.held = 0
+                self.held += size * (name not in self.known)
+                self.known[name] = ids
+
     def _head(self, piece: str) -> np.ndarray:
-        """Ids of a text's first piece, which has no space before it."""
-        if piece not in self.heads:
-            if len(self.heads) > self.MOST:
-                self.heads.clear()
-            self.heads[piece] = self._whole(piece)
-        return self.heads[piece]
-
-    def _learn(self, names: list[str]) -> None:
-        """Encodes pieces, each after a space, and remembers their ids."""
-        if len(self.known) > self.MOST:
-            self.known.clear()
+        """Ids of a text's first piece, which has no space before it; kept under a name that no other piece has."""
+        ids = self.known.get(f"  {piece}")
+        if ids is None:
+            ids = self._whole(piece).tobytes()
+            self._remember([f"  {piece}"], [ids])
+        return np.frombuffer(ids, dtype="<u4")
+
+    def _learn(self, names: list[str]) -> list[bytes]:
+        """Ids of pieces, each after a space; short ones are remembered."""
+        out: list[bytes] = []
         for at in range(0, len(names), 10_000):
             part = names[at : at + 10_000]
             done = self.whole.encode_batch_fast([f" {n}" for n in part], add_special_tokens=False)
-            self.known.update((n, np.array(e.ids, dtype="<u4").tobytes()) for n, e in zip(part, done))
+            out += [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+        self._remember(names, out)
+        return out
 
     def _pool(self, pieces: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces that aren't odd, where each one's begin and how many they are."""
         names = _strings(pieces)
         found = list(map(self.known.get, names))
-        new = [n for n, f, o in zip(names, found, odd.tolist()) if f is None and not o]
-        if new:
-            self._learn(new)
-            found = [self.known.get(n) if f is None else f for n, f in zip(names, found)]
+        new = [k for k, (f, o) in enumerate(zip(found, odd.tolist())) if f is None and not o]
+        for k, ids in zip(new, self._learn([names[k] for k in new])):
+            found[k] = ids
         found = [f or b"" for f in found]
         count = np.array(list(map(len, found)), dtype=np.int64) // 4
         return np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(count) - count, count
