@@ -413,9 +413,13 @@ def plain_mcd(x, share, trials=300, seed=0):
     rng = np.random.default_rng(seed)
     n, dims = x.shape
     h = math.ceil(share * n)
-    ridge = np.diag(np.square(quality_rules.FLOORS))
     factor = quality_rules.consistency(share, dims)
-    estimate = lambda rows: (rows.mean(0), factor * np.cov(rows.T, bias=True) + ridge)
+
+    def estimate(rows):
+        cov = factor * np.cov(rows.T, bias=True)
+        weight = max(np.trace(cov) / (quality_rules.CONDITION - 1 + np.trace(cov)), 1 / quality_rules.CONDITION)
+        return rows.mean(0), (1 - weight) * cov + weight * np.eye(dims)
+
     best = None
     for trial in range(trials):
         mean, cov = estimate(x if trial == 0 else x[rng.choice(n, dims + 1, replace=False)])
@@ -443,14 +447,58 @@ def test_estimates_against_exact_minimum(spark):
             x[:, 3:] = 0.0  # two statistics that never differ
         groups[f"g{g}"] = x
     rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "grp string, x0 double, x1 double, x2 double, x3 double, x4 double")
-    found = {r.grp: r for r in quality_rules._with_distance(rows.join(quality_rules.estimates(rows), "grp")).groupBy("grp").agg(F.sort_array(F.collect_list("d2")).alias("d2")).collect()}
+    units = quality_rules.scales(rows)
+    rows = quality_rules.scaled(rows, units)
+    estimates = quality_rules.estimates(rows)
+    far = {r.grp: r.far for r in quality_rules.limits(quality_rules._with_distance(rows.join(estimates, "grp"))).collect()}
+    shares = estimates.collect()
+    found = {r.grp: r for r in quality_rules._with_distance(rows.join(estimates, "grp")).groupBy("grp").agg(F.sort_array(F.collect_list("d2")).alias("d2")).collect()}
+    scale = {r.grp: r for r in units.collect()}
     for g, x in groups.items():
-        size, d2 = plain_mcd(x, quality_rules.SHARE)
-        limit = quality_rules.chi_square_limit(1e-12, 5)
-        mine = np.array(found[g].d2)
-        assert (mine > limit).sum() == (d2 > limit).sum()  # the same rows are far
+        median = np.median(x, axis=0)
+        spread = 1.4826 * np.median(np.abs(x - median), axis=0)
+        spread[spread == 0] = 1.0
+        mine = np.array([[scale[g][f"{c}{i}"] for i in range(5)] for c in "av"])
+        assert mine[0] == pytest.approx(median, abs=0.5) and mine[1] == pytest.approx(spread, rel=0.15)
+        size, d2 = plain_mcd((x - mine[0]) / mine[1], quality_rules.SHARE)
+        got = np.array(found[g].d2)
+        assert (got > far[g]).sum() == (d2 > far[g]).sum()  # the same rows are far
+        if g not in ("g3", "g4"):
+            assert (got > far[g]).sum() == [3, 12, 90][int(g[1])]
         # bins keep a few rows more than the exact share, so distances agree but for some percent
-        assert np.median(np.abs(mine / np.sort(d2) - 1)) < 0.12
+        assert np.median(np.abs(got / np.sort(d2) - 1)) < 0.12
+        logs = np.log(got)
+        width = max(1.4826 * np.median(np.abs(logs - np.median(logs))), 0.336)
+        assert math.log(far[g]) == pytest.approx(np.median(logs) + 4.265 * 2 * max(width / 2, 0.336), rel=0.05)
+    # what regularises is small beside the variances, but where statistics never differ
+    for r in shares:
+        for i in range(5):
+            if r.grp != "g4":
+                assert sum(r[f"l{i}{k}"] ** 2 for k in range(i + 1)) > 10 / quality_rules.CONDITION
+
+
+def test_copies_do_not_move_the_estimate(spark):
+    """More than half of a group are copies of one text: nothing else is rejected for that."""
+    rng = random.Random(6)
+    clean = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(80, 300))), "en", "a") for i in range(100)]
+    copies = [(1000 + i, clean[0][1], "en", "a") for i in range(300)]
+    junk = [(5000, " ".join(w + "%%%" for w in clean[1][1].split()), "en", "a")]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(make(spark, clean + copies + junk)).collect()}
+    assert sum(not kept for kept in got.values()) == 1 and not got[5000]
+    same = quality_rules.judge(make(spark, copies)).collect()
+    assert all(r.kept for r in same)
+
+
+def test_rejections_by_language(spark):
+    """The one target leaves labelled good rows alone in every language; bad ones that pass the base rules go."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = quality_rules.judge(docs).where("not base_failed").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    found = {(r.lang, r.quality): (r.n, r.gone) for r in rows.groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("kept")).alias("gone")).collect()}
+    for lang in ("de", "en", "es", "fr"):
+        good, bad = found[lang, 1], found[lang, 0]
+        assert good[1] <= 0.002 * good[0] + 1 and bad[1] >= 0.9 * bad[0], found
+    print(found)
 
 
 def test_groups_are_widened_until_they_are_enough(spark):

@@ -6,15 +6,24 @@ language and source a minimum-covariance-determinant estimate is made by
 concentration steps (keep the ``SHARE`` of rows with the smallest Mahalanobis
 distance, estimate again), from two deterministic starts, each until a step no
 longer lowers its determinant; the smaller determinant wins, and rows too far from
-the estimate are rejected.  Statistics that hardly differ would make the determinant
-zero, so a diagonal of least spreads is added to the covariance, as in the
-regularised form of the method (Boudt and others, 2020).
-
-The limit is one of a chi-square distribution, for groups of every size: the floors
-are much of the covariance, so that small samples don't make it too narrow.  Texts'
-statistics have heavier tails than normal ones, hence the small ``TAIL``.
-
-An estimate needs five rows for each statistic.  Groups with fewer are estimated
+the estimate are rejected.
+
+Counts (symbols, repeated lines, repeats measured in lines) are variance-stabilised, 2 sqrt(k + 3/8),
+and spread by a uniform number of variance one that a row's statistics fix.  That is
+the sampling noise of any count: none seen doesn't mean that none are usual.  So no
+statistic is constant and spreads come from the rows; all are then measured from their
+group's median in its median deviations.  What is left to regularise is the rare group whose statistics
+depend on each other: the covariance is mixed with the identity at the weight at which
+its trace keeps the condition number below ``CONDITION`` (as in the regularised form of the
+method, Boudt and others, 2020), half a percent of a statistic's variance as a rule.
+
+Limits are each group's own: the logarithms of its distances have a median and a median
+deviation, which bad rows hardly move, and a row is rejected where a normal variable
+with these exceeds it with probability ``TAIL``, the one target.  A spread narrower than normal rows'
+is not believed.
+
+Estimates and limits are of distinct statistics, so copies of a text count once in them.
+An estimate needs five of them for each statistic.  Groups with fewer are estimated
 together with those of their language, what is still too few with all such; if those
 are too few as well, no row of theirs is rejected.
 
@@ -33,6 +42,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,16 +52,17 @@ from .common import SPACE_CLASS, cut_lineage, text_of, word_array
 SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS = 50
 SHARE = 0.75
-#: Probability that a row of a normal group is farther than the limit.
-TAIL = 1e-12
-#: Least spread of each statistic: what differs by less is never odd.
-FLOORS = (0.6, 0.15, 0.5, 0.7, 0.7)
-#: Bins per unit, for medians, and per unit of a squared distance's logarithm.
-BINS = 32
+#: Share of normal rows that a limit would reject.
+TAIL = 1e-5
+#: Bound of a covariance's condition number, in units of median deviations.
+CONDITION = 1000.0
+#: Bins per unit for medians, per unit of a squared distance's logarithm in steps, and in limits.
+BINS = 1024
 LOG_BINS = 64
+LIMIT_BINS = 256
 #: A step that lowers a determinant's logarithm by less is the last.
 SETTLED = 1e-4
-DIMS = len(FLOORS)
+DIMS = 5
 #: Rows that an estimate needs.
 LEAST = 5 * DIMS
 
@@ -104,15 +115,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def vector() -> list[Column]:
     """The transformed statistics of a row that passed the base rules."""
     words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    fine = 1 << 20
+    even = lambda k: (F.pmod(F.xxhash64(*COUNTS, F.lit(k)), F.lit(fine)) + 0.5) / fine - 0.5
+    steady = lambda k, count: 2 * F.sqrt(count + 0.375) + math.sqrt(12) * even(k)
     return [
         F.log(words),
         F.log(chars / words),
-        F.log1p(1000 * F.col("n_symbols") / chars),
-        F.log1p(100 * F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.log1p(100 * F.col("n_repeat_words") / words),
+        steady(2, F.col("n_symbols")),
+        steady(3, F.col("n_dup_lines")),
+        steady(4, F.col("n_repeat_words") * F.greatest(F.col("n_lines"), F.lit(1)) / words),
     ]
 
 
@@ -150,15 +167,18 @@ PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
 
 def _moments(share_factor: float) -> list[Column]:
-    """Means and covariances from sums n, s*, p**."""
+    """Means and regularised covariances from sums n, s*, p**."""
     mean = {i: F.col(f"s{i}") / F.col("n") for i in range(DIMS)}
     cov = lambda i, j: (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) * share_factor
-    diag = lambda i, j: cov(i, j) + (FLOORS[i] ** 2 if i == j else 0.0)
-    return [*[mean[i].alias(f"m{i}") for i in range(DIMS)], *[diag(i, j).alias(f"c{i}{j}") for i, j in PAIRS]]
+    trace = reduce(lambda a, b: a + b, [F.greatest(cov(i, i), F.lit(0.0)) for i in range(DIMS)])
+    # eigenvalues lie between the weight and the weight plus the trace
+    weight = F.greatest(trace / (CONDITION - 1 + trace), F.lit(1 / CONDITION))
+    mixed = lambda i, j: (1 - weight) * cov(i, j) + (weight if i == j else 0.0)
+    return [*[mean[i].alias(f"m{i}") for i in range(DIMS)], *[mixed(i, j).alias(f"c{i}{j}") for i, j in PAIRS]]
 
 
 def _with_cholesky(estimates: DataFrame) -> DataFrame:
-    """Adds the lower factor l** column by column (the floors keep it positive) and the determinant's logarithm."""
+    """Adds the lower factor l** column by column (the mixture keeps it positive) and the determinant's logarithm."""
     for i, j in PAIRS:
         done = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}"))
         estimates = estimates.withColumn(f"l{i}{j}", F.sqrt(F.greatest(done, F.lit(1e-12))) if i == j else done / F.col(f"l{j}{j}"))
@@ -175,26 +195,48 @@ def _with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIMS)]))
 
 
-def _medians(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
-    """Per group the medians of ``values``, to 1/BINS, as columns name0, name1 and so on."""
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.floor(v * BINS).alias("bin")) for k, v in enumerate(values)]))
+def _medians(rows: DataFrame, values: list[Column], name: str, fine: int = BINS) -> DataFrame:
+    """Per group the medians of ``values``, to 1/fine, as columns name0, name1 and so on."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("dim"), F.floor(v * fine).alias("bin")) for k, v in enumerate(values)]))
     counts = rows.select("grp", cells.alias("cell")).groupBy("grp", "cell.dim", "cell.bin").agg(F.count(F.lit(1)).alias("n"))
     in_order = Window.partitionBy("grp", "dim").orderBy("bin")
     half = counts.withColumn("below", F.sum("n").over(in_order)).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "dim")))
-    middle = half.filter("2 * below >= all").groupBy("grp", "dim").agg(((F.min("bin") + 0.5) / BINS).alias("median"))
+    middle = half.filter("2 * below >= all").groupBy("grp", "dim").agg(((F.min("bin") + 0.5) / fine).alias("median"))
     return middle.groupBy("grp").agg(*[F.max(F.when(F.col("dim") == k, F.col("median"))).alias(f"{name}{k}") for k in range(len(values))])
 
 
+def scales(rows: DataFrame) -> DataFrame:
+    """Per group the median a* and the deviation v* of each statistic; one that doesn't differ keeps its unit."""
+    medians = cut_lineage(_medians(rows, [F.col(f"x{i}") for i in range(DIMS)], "a"))
+    spread = _medians(rows.join(medians, "grp"), [F.abs(F.col(f"x{i}") - F.col(f"a{i}")) for i in range(DIMS)], "v")
+    # a spread of less than a bin is none
+    wide = [F.when(F.col(f"v{i}") * BINS >= 1, 1.4826 * F.col(f"v{i}")).otherwise(F.lit(1.0)).alias(f"v{i}") for i in range(DIMS)]
+    return cut_lineage(medians.join(spread, "grp").select("grp", *[f"a{i}" for i in range(DIMS)], *wide))
+
+
+def scaled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with statistics in units of their group's scales; null without a group."""
+    joined = rows.join(found, "grp", "left")
+    return joined.withColumns({f"x{i}": (F.col(f"x{i}") - F.col(f"a{i}")) / F.col(f"v{i}") for i in range(DIMS)}).drop(*[f"{c}{i}" for c in "av" for i in range(DIMS)])
+
+
+def limits(rows: DataFrame, tail: float = TAIL) -> DataFrame:
+    """Per group ``far``, the squared distance beyond which a row is rejected, from columns grp and d2."""
+    size = F.log(F.col("d2") + 1e-12)
+    middle = cut_lineage(_medians(rows, [size], "o", LIMIT_BINS))
+    spread = _medians(rows.join(middle, "grp"), [F.abs(size - F.col("o0"))], "w", LIMIT_BINS)
+    quarter, three = chi_square_limit(0.75, DIMS), chi_square_limit(0.25, DIMS)
+    normal = math.log(three / quarter) / (2 * NormalDist().inv_cdf(0.75))
+    width = F.greatest(1.4826 * F.col("w0"), F.lit(normal))
+    return middle.join(spread, "grp").select("grp", F.exp(F.col("o0") + NormalDist().inv_cdf(1 - tail) * width).alias("far"))
+
+
 def _starts(rows: DataFrame) -> DataFrame:
-    """Two estimates for each group: from medians and median deviations, and from all rows."""
-    medians = cut_lineage(_medians(rows, [F.col(f"x{i}") for i in range(DIMS)], "m"))
-    spread = _medians(rows.join(medians, "grp"), [F.abs(F.col(f"x{i}") - F.col(f"m{i}")) for i in range(DIMS)], "v")
-    scale = lambda i: F.greatest(1.4826 * F.col(f"v{i}"), F.lit(FLOORS[i]))
-    robust = medians.join(spread, "grp").select(
-        "grp", F.lit(0).alias("start"), *[f"m{i}" for i in range(DIMS)], *[(scale(i) * scale(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS]
-    )
-    classical = rows.groupBy("grp").agg(*_sums()).select("grp", F.lit(1).alias("start"), *_moments(1.0))
-    return _with_cholesky(robust.union(classical))
+    """Two estimates for each group, of rows in units of its scales: medians and median deviations, and all rows."""
+    classical = rows.groupBy("grp").agg(*_sums())
+    unit = [*[F.lit(0.0).alias(f"m{i}") for i in range(DIMS)], *[F.lit(float(i == j)).alias(f"c{i}{j}") for i, j in PAIRS]]
+    robust = classical.select("grp", F.lit(0).alias("start"), *unit)
+    return _with_cholesky(robust.union(classical.select("grp", F.lit(1).alias("start"), *_moments(1.0))))
 
 
 def _sums() -> list[Column]:
@@ -242,14 +284,16 @@ def estimates(rows: DataFrame, share: float = SHARE) -> DataFrame:
     return done.withColumn("__place", F.row_number().over(best)).filter("__place = 1").drop("__place", "start", "size")
 
 
-def pooled(rows: DataFrame, groups: list[str]) -> DataFrame:
+def pooled(rows: DataFrame, groups: list[str], counted: list[str] | None = None) -> DataFrame:
     """``rows`` with ``grp``: their own group, or what is left of ever wider ones, until it has ``LEAST`` rows
-    that passed; null if none has.
+    that passed (distinct ones in the columns ``counted``); null if none has.
 
     Only sizes by group are counted, so a row learns its group by a join with a few.
     """
     name = lambda k: F.to_json(F.struct(F.lit(k).alias("n"), *[F.coalesce(g, F.lit("\0")).alias(g) for g in groups[:k]]))
-    sizes = rows.filter("not base_failed").groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).withColumn("grp", F.lit(None).cast("string"))
+    passed = rows.filter("not base_failed")
+    passed = passed.select(*groups, *counted).distinct() if counted else passed
+    sizes = passed.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).withColumn("grp", F.lit(None).cast("string"))
     for k in range(len(groups), -1, -1):
         open_size = F.sum(F.when(F.col("grp").isNull(), F.col("n"))).over(Window.partitionBy(*groups[:k]) if k else Window.partitionBy(F.lit(1)))
         sizes = sizes.withColumn("grp", F.coalesce("grp", F.when(open_size >= LEAST, name(k))))
@@ -269,11 +313,16 @@ def judge(
     """One row per document: doc_id, the statistics, base_failed, distance (null: not judged), kept."""
     groups = [f"by{k}" for k in range(len(by))]
     rows = cut_lineage(row_statistics(docs, id_col, text_col, by).withColumn("base_failed", base_failed()))
-    named = pooled(rows, groups).select("*", *[v.alias(f"x{i}") for i, v in enumerate(vector())])
-    judged = cut_lineage(named.filter("not base_failed and grp is not null").select("grp", *[f"x{i}" for i in range(DIMS)]))
-    measured = _with_distance(named.join(estimates(judged, share), "grp", "left"))
+    named = pooled(rows, groups, list(COUNTS)).select("*", *[v.alias(f"x{i}") for i, v in enumerate(vector())])
+    columns = ["grp", *[f"x{i}" for i in range(DIMS)]]
+    distinct = cut_lineage(named.filter("not base_failed and grp is not null").select(*columns).distinct())
+    units = scales(distinct)
+    judged = cut_lineage(scaled(distinct, units).select(*columns))
+    found = cut_lineage(estimates(judged, share))
+    far = limits(_with_distance(judged.join(found, "grp")), tail)
+    measured = _with_distance(scaled(named, units).join(found.join(far, "grp"), "grp", "left"))
     passed = ~F.col("base_failed")
-    odd = F.coalesce(passed & (F.col("d2") > chi_square_limit(tail, DIMS)), F.lit(False))
+    odd = F.coalesce(passed & (F.col("d2") > F.col("far")), F.lit(False))
     return measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (passed & ~odd).alias("kept"), F.when(passed, F.sqrt("d2")).alias("distance"),
