@@ -296,11 +296,14 @@ def test_tokenizer_memory_is_bounded(monkeypatch):
         got = reader.ids_of(pa.array(texts))
         assert got[7].tolist() == reader.whole.encode(texts[7], add_special_tokens=False).ids
     assert not reader.known and not reader.held
-    monkeypatch.setattr(packing.PieceTokenizer, "MOST_BYTES", 200_000)
+    monkeypatch.setattr(packing.PieceTokenizer, "MOST_BYTES", 400_000)
+    monkeypatch.setattr(packing.PieceTokenizer, "PART", 100)
+    size = lambda d: sum(reader.ENTRY + 4 * len(k) + len(v) for k, v in d.items())
     for _ in range(5):
         texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(20)) for _ in range(100)]
         assert [g.tolist() for g in reader.ids_of(pa.array(texts))] == [reader.whole.encode(t, add_special_tokens=False).ids for t in texts]
-        assert 0 < reader.held <= 200_000 and reader.held == sum(reader.ENTRY + 4 * len(k) + len(v) for k, v in reader.known.items())
+        assert 0 < size(reader.known) <= reader.held <= 200_000 and size(reader.old) <= 200_000
+    assert reader.old
 
 
 def test_license_scan(docs, rows):

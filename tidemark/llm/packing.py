@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +58,11 @@ class PieceTokenizer:
     is encoded as a whole.
     """
 
-    #: Bytes of pieces and ids remembered from batch to batch; beyond that all are forgotten.
-    MOST_BYTES = 160 << 20
-    #: Characters of the longest piece that is remembered, and bytes that an entry takes besides its contents.
-    LONGEST, ENTRY = 64, 250
+    #: Bytes of pieces and ids remembered from batch to batch, in two generations: once the
+    #: young one has half of them, the old one is forgotten and the young one is old.
+    MOST_BYTES = 192 << 20
+    #: Characters of the longest piece that is remembered, bytes that an entry takes besides its contents, pieces encoded at once.
+    LONGEST, ENTRY, PART = 64, 250, 5_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,8 +71,9 @@ class PieceTokenizer:
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         kind = self.whole.to_str()
         self.by_piece = self._has_byte_level_words(json.loads(kind)) and not any(" " in s for s in self.special)
-        self.known: dict[str, bytes] = {}  # by pieces with the space before them
-        self.held = 0
+        self.known: dict[str, bytes] = {}  # the young generation
+        self.old: dict[str, bytes] = {}
+        self.held = 0  # by the young one
 
     @staticmethod
     def _has_byte_level_words(spec: dict) -> bool:
@@ -82,18 +85,30 @@ class PieceTokenizer:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _remember(self, names: list[str], found: list[bytes]) -> None:
-        for name, ids in zip(names, found):
-            if len(name) <= self.LONGEST:
-                size = self.ENTRY + 4 * len(name) + len(ids)
-                if self.held + size > self.MOST_BYTES:
-                    self.known.clear()
-                    self.held = 0
-                self.held += size * (name not in self.known)
-                self.known[name] = ids
+        if max(map(len, names), default=0) > self.LONGEST:
+            short = [k for k, name in enumerate(names) if len(name) <= self.LONGEST]
+            names, found = [names[k] for k in short], [found[k] for k in short]
+        size = self.ENTRY * len(names) + 4 * sum(map(len, names)) + sum(map(len, found))
+        if self.held + size > self.MOST_BYTES // 2:
+            self.old, self.known, self.held = self.known, {}, 0
+        self.held += size
+        self.known.update(zip(names, found))
+
+    def _recalled(self, names: list[str]) -> list[bytes | None]:
+        """Ids of the pieces that are remembered; what only the old generation has is young again."""
+        found = list(map(self.known.get, names))
+        if self.old:
+            old = [(k, ids) for k, f in enumerate(found) if f is None and (ids := self.old.get(names[k])) is not None]
+            for k, ids in old:
+                found[k] = ids
+            for at in range(0, len(old), self.PART):
+                part = old[at : at + self.PART]
+                self._remember([names[k] for k, _ in part], [ids for _, ids in part])
+        return found
 
     def _head(self, piece: str) -> np.ndarray:
         """Ids of a text's first piece, which has no space before it; kept under a name that no other piece has."""
-        ids = self.known.get(f"  {piece}")
+        [ids] = self._recalled([f"  {piece}"])
         if ids is None:
             ids = self._whole(piece).tobytes()
             self._remember([f"  {piece}"], [ids])
@@ -102,17 +117,18 @@ class PieceTokenizer:
     def _learn(self, names: list[str]) -> list[bytes]:
         """Ids of pieces, each after a space; short ones are remembered."""
         out: list[bytes] = []
-        for at in range(0, len(names), 10_000):
-            part = names[at : at + 10_000]
+        for at in range(0, len(names), self.PART):
+            part = names[at : at + self.PART]
             done = self.whole.encode_batch_fast([f" {n}" for n in part], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in done]
-        self._remember(names, out)
+            ids = [array("I", e.ids).tobytes() for e in done]
+            self._remember(part, ids)
+            out += ids
         return out
 
     def _pool(self, pieces: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all pieces that aren't odd, where each one's begin and how many they are."""
         names = _strings(pieces)
-        found = list(map(self.known.get, names))
+        found = self._recalled(names)
         new = [k for k, (f, o) in enumerate(zip(found, odd.tolist())) if f is None and not o]
         for k, ids in zip(new, self._learn([names[k] for k in new])):
             found[k] = ids
