@@ -166,8 +166,33 @@ def test_runs_spell_the_transform():
     index = repeats.RunLengthIndex(texts)
     # a terminator sorts below all bytes, earlier texts' before later ones'
     rows = sorted((tuple([*(b + 1 for b in t[k:]), i - len(texts)]), t[k - 1] + 1 if k else 0) for i, t in enumerate(texts) for k in range(len(t) + 1))
-    assert np.repeat(index.run_symbols, index.run_lengths).tolist() == [x for _, x in rows]
-    assert len(index.run_lengths) < 40 < sum(map(len, texts))
+    lengths = np.diff(np.append(index.run_starts, index.rows))
+    assert np.repeat(index.run_symbols, lengths).tolist() == [x for _, x in rows]
+    assert len(lengths) < 40 < sum(map(len, texts))
+    # copies lengthen runs, but add none
+    many = repeats.RunLengthIndex(texts, [3, 1, 2])
+    assert (many.run_symbols == index.run_symbols).all() and many.run_counts.sum() == 3 * 56 + 64 + 2 and (index.run_counts == lengths).all()
+    assert not hasattr(index, "words") and not hasattr(index, "symbols")
+
+
+def test_copies_of_texts_count_as_texts():
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = list({bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 40))) for _ in range(rng.randint(1, 6))})
+        copies = [rng.choice([1, 1, 2, 5]) for _ in texts]
+        whole = plain_spans([t for t, n in zip(texts, copies, strict=True) for _ in range(n)], 9)
+        at = np.cumsum([0, *copies[:-1]])
+        assert repeats.repeated_spans(texts, 9, copies) == [whole[k] for k in at]
+
+
+def test_most_bytes_go_by_the_index(spark):
+    """Of what is removed only third copies of a region within one task go by digest alone."""
+    docs = repeats._keyed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    met = repeats._meet(repeats._document_regions(docs, 400, 160)).cache()
+    size = lambda rows: rows.agg(F.sum(F.col("n") + 399)).first()[0] or 0
+    direct, indexed = size(met.where("covered")), size(met.where("not covered and copies = 2"))
+    assert indexed > 0 and met.where("not covered and lead and copies = 2").count() > 0
+    print("bytes of regions by digest", direct, "through the index", indexed)
 
 
 def test_ids_that_are_no_numbers(spark):

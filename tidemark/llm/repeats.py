@@ -4,16 +4,22 @@ Sharding.  Every window of ``length`` bytes picks an anchor: the smallest of the
 hashes of its ``gram``-byte strings.  Equal windows pick equal anchors, so all
 occurrences of a window meet under one key, whatever documents they are in.
 Runs of window starts with one key are shipped as one region by its digest
-(``DIGEST`` bits of BLAKE2b, so that equal digests are equal bytes) alone; regions
-that occur twice as a whole are repeated all over, keys with one region have no
-match, and only for the rest the bytes are fetched.
-
-Index.  The regions of some keys form one text.  Its suffixes are sorted, the
-Burrows-Wheeler transform is kept as its runs, and suffixes are sampled at both ends
-of each run, with the longest match to the neighbour across the end.  Streaming
-to the right from a sample, the matching statistic falls by one a byte: that is
-the whole of what the index has to tell, for between two samples nothing else can
-change it.  A sampled match of at least ``length`` marks its bytes.
+(``DIGEST`` bits of BLAKE2b, so that equal digests are equal bytes) alone.  A map task ships
+two of each kind; what equals these two in its own rows is repeated all over
+and goes no further.  Keys with one region have no match, and only for the rest the
+bytes of each kind are fetched, once.
+
+Index.  The kinds of some keys form one text.  Its suffixes are sorted once, to get the
+Burrows-Wheeler transform as runs, each with its symbol, its first row, where its rows
+lead one step to the left, and how often it stands in the whole collection, copies
+included: copies lengthen runs and add none.  At both ends of a run a sample tells how
+far the suffix there agrees with its neighbour in the other run.  Then the sorted
+suffixes are dropped.  Matching statistics are streamed from the runs: every kind is
+followed from its end by backward steps, all at once, until its start; where a step
+meets an end of a run, the sample gives the statistic there, and to the right of
+it the statistic falls by one a byte, for between two samples nothing else can change
+it.  The start of a kind that stands twice agrees with its copy to the end.
+A statistic of at least ``length`` marks its bytes, in all regions of the kind.
 
 Hot keys.  A key whose different regions have many bytes is anchored again with
 longer strings, which splits it; with strings as long as the window all regions of a key
@@ -50,6 +56,8 @@ SLICE = 1 << 20
 BATCH = 1 << 20
 #: Bytes of regions that a task indexes.
 TASK = 1 << 25
+#: Kinds of regions that a map task remembers; beyond that it forgets them and ships more.
+KINDS = 300_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -132,7 +140,8 @@ def _regions(batch: list[tuple[int, int, memoryview]], length: int, gram: int) -
 
 
 #: d, sig: the document's row; p: first start; n: starts; several: more than one
-#: anchor; copies: 1, or 2 if it is known to occur elsewhere as a whole.
+#: anchor; copies: 1, or 2 if it is known to occur elsewhere as a whole, or 0 if two
+#: equal ones of the same map task are shipped.
 _REGION = "key long, hash binary, d long, sig long, p long, n long, several boolean, copies int"
 _FIELDS = [f.split()[0] for f in _REGION.split(", ")]
 
@@ -150,13 +159,20 @@ def _digest(part: bytes | memoryview) -> bytes:
 
 def _document_regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
+        seen: dict[tuple[int, bytes], int] = {}
         for batch in batches:
             d, sig = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = [t.as_py() for t in batch.column(2)]
             views = [memoryview(t) for t in texts]
             rows = []
             for i, key, p, n, several in regions(texts, length, gram):
-                rows.append((key, _digest(views[i][p : p + n + length - 1]), d[i], sig[i], p, n, several, 1))
+                kind = key, _digest(views[i][p : p + n + length - 1])
+                before = seen.get(kind, 0)
+                if before < 2:
+                    if len(seen) >= KINDS:
+                        seen.clear()
+                    seen[kind] = before + 1
+                rows.append((*kind, d[i], sig[i], p, n, several, int(before < 2)))
                 if len(rows) >= 20_000:
                     yield _batch(rows, _FIELDS, _TYPES)
                     rows = []
@@ -166,11 +182,69 @@ def _document_regions(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("d", "sig", F.encode("text", "UTF-8").alias("bytes")).mapInArrow(run, _REGION)
 
 
-def _meet(found: DataFrame, with_bytes: bool) -> DataFrame:
-    """Regions that met under a key: ``covered`` ones, which occur twice as a whole, and
-    those to index: one of each kind, for keys where something is left to compare."""
-    names = [*_FIELDS, *(["bytes"] if with_bytes else [])]
-    types = [*_TYPES, *([pa.binary()] if with_bytes else [])]
+def _meet(found: DataFrame) -> DataFrame:
+    """Regions that met under a key: ``covered`` ones, which equal two that are shipped, and those
+    to index, for keys where there is something to compare: the first of each kind is its ``lead``."""
+
+    def run(batches):
+        out: list[tuple] = []
+        now: tuple | None = None
+        waiting: tuple | None = None  # the kind's first region, while it is the only one
+        held: tuple | None = None  # the key's only kind, which has one region and one anchor
+        kinds = 0
+
+        def end_kind() -> None:
+            """The kind had one region: it is worth indexing if the key has others, or it several anchors."""
+            nonlocal waiting, held, kinds
+            kinds += 1
+            if waiting is not None:
+                if kinds == 1 and not waiting[6]:
+                    held = waiting
+                else:
+                    release()
+                    out.append((*waiting, False, True))
+                waiting = None
+
+        def release() -> None:
+            nonlocal held
+            if held is not None:
+                out.append((*held, False, True))
+                held = None
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[7] == 0:
+                    out.append((*row, True, False))
+                    continue
+                if row[:2] != now:
+                    if now is not None:
+                        end_kind()
+                        if row[0] != now[0]:
+                            held, kinds = None, 0
+                    now, waiting = row[:2], row
+                else:
+                    if waiting is not None:
+                        release()
+                        out.append((*waiting[:7], 2, False, True))
+                        waiting = None
+                    out.append((*row[:7], 2, False, False))
+                if len(out) >= 20_000:
+                    yield _batch(out, names, types)
+                    out.clear()
+        if now is not None:
+            end_kind()
+        if out:
+            yield _batch(out, names, types)
+
+    names, types = [*_FIELDS, "covered", "lead"], [*_TYPES, pa.bool_(), pa.bool_()]
+    by = F.when(F.col("copies") == 0, F.xxhash64("d", "sig", "p")).otherwise(F.col("key"))
+    return found.repartition(by).sortWithinPartitions("key", "hash", "d", "sig", "p").mapInArrow(run, _REGION + ", covered boolean, lead boolean")
+
+
+def _meet_again(found: DataFrame) -> DataFrame:
+    """Regions with bytes that met under a longer anchor: ``covered`` ones, which occur twice as a
+    whole, and those to index: one of each kind, for keys where something is left to compare."""
+    names, types = [*_FIELDS, "bytes"], [*_TYPES, pa.binary()]
 
     def run(batches):
         out: list[tuple] = []
@@ -217,15 +291,17 @@ def _meet(found: DataFrame, with_bytes: bool) -> DataFrame:
         if out:
             yield send()
 
-    schema = _REGION + (", bytes binary" if with_bytes else "") + ", covered boolean"
+    schema = _REGION + ", bytes binary, covered boolean"
     return found.repartition("key").sortWithinPartitions("key", "hash", "d", "sig", "p").mapInArrow(run, schema)
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of some byte strings, with suffixes
-    sampled at both ends of every run and their matches across the ends."""
+    """Run-compressed Burrows-Wheeler transform of some different byte strings, each with
+    the number of its copies, and samples at both ends of every run."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], copies: list[int] | None = None):
+        self.copies = np.array(copies if copies is not None else [1] * len(texts), dtype=np.int64)
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.ends = np.cumsum([len(t) + 1 for t in texts])  # one past each terminator
         self.begins = self.ends - np.array([len(t) + 1 for t in texts])
         # UTF-8 has no byte 255, so bytes plus one fit and 0 ends a text
@@ -235,10 +311,10 @@ class RunLengthIndex:
         self.left = self.ends[self.owner] - np.arange(len(self.symbols))  # symbols to the end, with the terminator
         self.words = self._words()
         order = self._suffixes()
-        self.run_symbols, self.run_lengths, edge = self._runs(order)
-        # suffixes at heads and tails of runs, each with its neighbour in the other run
-        self.samples = np.concatenate([order[edge], order[edge - 1]])
-        self.neighbours = np.concatenate([order[edge - 1], order[edge]])
+        self._runs(order)
+        self.agree = self._agreements(order[self.run_starts[1:] - 1], order[self.run_starts[1:]])
+        # the runs and their samples are all that statistics need
+        del self.symbols, self.words, self.left, self.owner, order
 
     def _words(self) -> np.ndarray:
         """The eight symbols from each place on as a number, nothing beyond the terminator."""
@@ -279,20 +355,25 @@ class RunLengthIndex:
             width *= 2
         return order
 
-    def _runs(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Symbols and lengths of the transform's runs, and where all but the first begin.
+    def _runs(self, order: np.ndarray) -> None:
+        """Symbols, first rows and numbers of occurrences of the runs, and where their first rows lead.
 
         Terminators are told apart, so each of them is a run of its own.
         """
         transform = self.symbols[order - 1]  # a text's first suffix has a terminator there
         edge = np.flatnonzero((transform[1:] != transform[:-1]) | (transform[1:] == 0)) + 1
-        bounds = np.concatenate([[0], edge, [len(transform)]])
-        return transform[bounds[:-1]], np.diff(bounds), edge
-
-    def matches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled places with a match of at least ``length`` elsewhere, and the matches' lengths."""
-        far = (self.left[self.samples] > length) & (self.left[self.neighbours] > length)
-        a, b = self.samples[far], self.neighbours[far]
+        self.run_starts = np.concatenate([[0], edge])
+        self.rows = len(transform)
+        self.run_symbols = transform[self.run_starts]
+        self.run_counts = np.add.reduceat(self.copies[self.owner[order]], self.run_starts)
+        # rows that end with a symbol lead, in order, to the rows that begin with it
+        lengths = np.diff(np.append(self.run_starts, self.rows))
+        by = np.argsort(self.run_symbols, kind="stable")
+        self.leads = np.empty(len(by), dtype=np.int64)
+        self.leads[by] = np.cumsum(lengths[by]) - lengths[by]
+
+    def _agreements(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes the suffixes at ``a`` and ``b`` have in common, before a text's end."""
         reach = np.zeros(len(a), dtype=np.int64)
         going = np.arange(len(a))
         while len(going):
@@ -308,21 +389,49 @@ class RunLengthIndex:
                 reach[ended] += same
             going = going[whole]
             reach[going] += 8
-        long = reach >= length
-        return a[long], reach[long]
+        return reach
 
+    def statistics(self, length: int) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """Texts, a distance from their ends, and statistics of at least ``length`` that samples give there.
 
-def repeated_spans(texts: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """For each text the merged spans covered by strings of ``length`` bytes that start elsewhere too."""
+        All texts take their backward steps at once, from the rows of their terminators,
+        which come first and in order.
+        """
+        if not ((self.agree >= length).any() or (self.copies > 1).any()):
+            return
+        before, after = np.append(0, self.agree), np.append(self.agree, 0)  # at a run's first row, and at its last
+        last = np.append(self.run_starts[1:], self.rows) - 1
+        text = rows = np.arange(len(self.copies))
+        step = 0
+        while len(rows):
+            run = np.searchsorted(self.run_starts, rows, "right") - 1
+            first = self.run_starts[run]
+            found = np.maximum(np.where(rows == first, before[run], 0), np.where(rows == last[run], after[run], 0))
+            ended = self.run_symbols[run] == 0
+            found = np.where(ended & (self.copies[text] > 1), self.sizes[text], found)
+            far = found >= length
+            if far.any():
+                yield text[far], step, found[far]
+            going = ~ended
+            text, rows = text[going], (self.leads[run] + rows - first)[going]
+            step += 1
+
+
+def repeated_spans(texts: list[bytes], length: int = LENGTH, copies: list[int] | None = None) -> list[list[tuple[int, int]]]:
+    """For each text the merged spans covered by strings of ``length`` bytes that start elsewhere too.
+
+    Texts are different; ``copies`` tells how often each stands.
+    """
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
     if not texts:
         return spans
-    index = RunLengthIndex(texts)
-    at, reach = index.matches(length)
-    by = np.argsort(at, kind="stable")
-    owner = index.owner[at[by]]
-    start = at[by] - index.begins[owner]
-    for o, s, e in zip(owner.tolist(), start.tolist(), (start + reach[by]).tolist()):
+    index = RunLengthIndex(texts, copies)
+    found = [(t, index.sizes[t] - step, reach) for t, step, reach in index.statistics(length)]
+    if not found:
+        return spans
+    owner, start, reach = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort([start, owner])
+    for o, s, e in zip(owner[by].tolist(), start[by].tolist(), (start + reach)[by].tolist()):
         if spans[o] and s <= spans[o][-1][1]:
             spans[o][-1] = (spans[o][-1][0], max(e, spans[o][-1][1]))
         else:
@@ -337,35 +446,41 @@ def _parts(left: DataFrame) -> int:
     return max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK))
 
 
-def _indexed(found: DataFrame, length: int, parts: int) -> DataFrame:
-    """Spans (d, sig, start, stop) of the regions with bytes in ``found``; keys are indexed in batches."""
+def _indexed(found: DataFrame, length: int, parts: int, every: bool) -> DataFrame:
+    """Spans (d, sig, start, stop) of regions; keys are indexed in batches.
+
+    A kind's first row has its bytes; its other rows, without bytes, get the same spans.
+    Unless ``every``, rows of kinds with copies are there for others only.
+    """
 
     def run(batches):
-        waiting: list[tuple] = []
+        kinds: list[tuple[bytes, int, list[tuple]]] = []  # bytes, copies, regions
         size = 0
 
         def flush():
             rows = []
-            for row, spans in zip(waiting, repeated_spans([r[5] for r in waiting], length)):
-                if row[4] == 1:
-                    rows += [(row[1], row[2], row[3] + s, row[3] + e) for s, e in spans]
+            for (_, _, regions_), spans in zip(kinds, repeated_spans([k[0] for k in kinds], length, [k[1] for k in kinds])):
+                rows += [(d, sig, p + s, p + e) for d, sig, p in regions_ for s, e in spans]
             return _batch(rows, ["d", "sig", "start", "stop"], [pa.int64()] * 4) if rows else None
 
         last = None
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[0] != last and size >= BATCH:
+            for key, hash_, d, sig, p, copies, text in zip(*[c.to_pylist() for c in batch.columns]):
+                if last is not None and key != last[0] and size >= BATCH:
                     if done := flush():
                         yield done
-                    waiting, size = [], 0
-                last = row[0]
-                waiting.append(row)
-                size += len(row[5])
-        if waiting and (done := flush()):
+                    kinds, size = [], 0
+                if (key, hash_) != last or text is not None:
+                    kinds.append((text, copies if every else 1, []))
+                    size += len(text)
+                last = key, hash_
+                if every or copies == 1:
+                    kinds[-1][2].append((d, sig, p))
+        if kinds and (done := flush()):
             yield done
 
-    rows = found.select("key", "d", "sig", "p", "copies", "bytes").repartition(parts, "key").sortWithinPartitions("key")
-    return rows.mapInArrow(run, "d long, sig long, start long, stop long")
+    rows = found.select("key", "hash", "d", "sig", "p", "copies", "bytes").repartition(parts, "key")
+    return rows.sortWithinPartitions("key", "hash", F.col("bytes").isNull()).mapInArrow(run, "d long, sig long, start long, stop long")
 
 
 def _with_bytes(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
@@ -412,19 +527,25 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def find_repeats(docs: DataFrame, length: int = LENGTH, levels=LEVELS, hot: int = HOT) -> DataFrame:
     """Spans (d, sig, start, stop) of repeated bytes, overlapping, of rows made by ``_keyed``."""
     grams = [max(1, min(length, round(length * share))) for share in levels]
-    met = cut_lineage(_meet(_document_regions(docs, length, grams[0]), False))
+    met = cut_lineage(_meet(_document_regions(docs, length, grams[0])))
     spans = _spans_of(met.filter("covered"), length)
-    left = cut_lineage(_with_bytes(docs, met.filter("not covered").drop("covered"), length))
-    parts = _parts(left)
+    met = met.filter("not covered").drop("covered")
+    others = met.filter("not lead").drop("lead").withColumn("bytes", F.lit(None).cast("binary"))
+    left = cut_lineage(_with_bytes(docs, met.filter("lead").drop("lead"), length).unionByName(others))
+    parts, every = _parts(left), True
     for gram in grams[1:]:
         crowded = cut_lineage(left.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size")).filter(F.col("size") > hot).select("key"))
         if crowded.isEmpty():
             break
-        spans = spans.union(_indexed(left.join(crowded, "key", "left_anti"), length, parts))
-        met = cut_lineage(_meet(_anchored_again(left.join(crowded, "key", "left_semi"), length, gram), True))
+        spans = spans.union(_indexed(left.join(crowded, "key", "left_anti"), length, parts, every))
+        split = left.join(crowded, "key", "left_semi")
+        if every:  # regions of kinds with copies are repeated all over, and are split for the sake of others
+            spans = spans.union(_spans_of(split.filter("copies = 2"), length))
+            split = split.filter("bytes is not null")
+        met = cut_lineage(_meet_again(_anchored_again(split, length, gram)))
         spans = spans.union(_spans_of(met.filter("covered"), length))
-        left = met.filter("not covered").drop("covered")
-    return spans.union(_indexed(left, length, parts))
+        left, every = met.filter("not covered").drop("covered"), False
+    return spans.union(_indexed(left, length, parts, every))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, levels=LEVELS, hot: int = HOT) -> DataFrame:
