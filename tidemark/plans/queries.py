@@ -1,8 +1,9 @@
 """Registered queries: each a plan over the driver's tables with, where SQL can say it, the same in SQL.
 
 A query's output is a list of columns: ``~x`` is a double rounded to six places
-(after a nudge, as the two engines round exact halves differently), ``#x`` a whole
-number, others are taken as they are.
+(after a nudge, as the two engines round exact halves differently), ``^x`` the same of
+sign(x) ln(1 + |x|), for values of many digits whose last ones depend on the order of
+sums, ``#x`` a whole number, others are taken as they are.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +33,19 @@ NUDGE = 3e-8
 
 
 def _name(c: str) -> str:
-    return c.lstrip("~#")
+    return c.lstrip("~#^")
 
 
 def _shown(df: DataFrame, columns: list[str]) -> DataFrame:
-    show = {"~": lambda n: F.round(F.col(n).cast("double") + NUDGE, 6) + F.lit(0.0), "#": lambda n: F.col(n).cast("long")}
+    rounded = lambda x: F.round(x + NUDGE, 6) + F.lit(0.0)
+    flat = lambda x: F.signum(x) * F.log(1 + F.abs(x))
+    show = {"~": lambda n: rounded(F.col(n).cast("double")), "^": lambda n: rounded(flat(F.col(n).cast("double"))), "#": lambda n: F.col(n).cast("long")}
     return df.select(*[show[c[0]](_name(c)).alias(_name(c)) if c[0] in show else F.col(c) for c in columns])
 
 
 def _shown_sql(columns: list[str]) -> str:
-    show = {"~": 'round(CAST("{0}" AS DOUBLE) + 3e-8::DOUBLE, 6) + 0.0::DOUBLE AS "{0}"', "#": 'CAST("{0}" AS BIGINT) AS "{0}"'}
+    flat = 'sign(CAST("{0}" AS DOUBLE)) * ln(1 + abs(CAST("{0}" AS DOUBLE)))'
+    show = {"~": 'round(CAST("{0}" AS DOUBLE) + 3e-8::DOUBLE, 6) + 0.0::DOUBLE AS "{0}"', "^": f'round({flat} + 3e-8::DOUBLE, 6) + 0.0::DOUBLE AS "{{0}}"', "#": 'CAST("{0}" AS BIGINT) AS "{0}"'}
     return ", ".join(show.get(c[0], '"{0}"').format(_name(c)) for c in columns)
 
 
@@ -62,19 +65,42 @@ def query(columns: str, ctes: str = "", body: str | None = None):
 # -- shared parts ----------------------------------------------------------------
 
 
-_stored: dict[tuple, DataFrame] = {}
+def _scratch(spark) -> str:
+    """A new folder beside the checkpoints, which goes when the session's JVM ends; a local
+    session without such a place gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.gettempdir() + "/tidemark-streams"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _version(spark, path: str) -> tuple:
+    """Names, sizes and times of a table's files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)))
+
+
+#: By session, table and folder: what the line items were, and where the table is.
+_stored: dict[tuple, tuple[tuple, str]] = {}
 
 
 def _once(spark, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Tables that most queries start from are built once a session and kept by Spark.
+    """Tables that most queries start from are written once a session and read by the others.
 
     They are small beside the line items they are made of: a row per market, role and
-    day, and one per market and week.  What a lost executor held is built again.
+    day, and one per market and week.  As they are files, plans on them stay short and a
+    lost executor takes nothing along.  They are written anew if the line items change.
     """
-    key = (spark.sparkContext.applicationId, name, sf_dir)
-    if key not in _stored:
-        _stored[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
-    return _stored[key]
+    key, now = (spark.sparkContext.applicationId, name, sf_dir), _version(spark, f"{sf_dir}/lineitem.parquet")
+    if _stored.get(key, (None,))[0] != now:
+        folder = _scratch(spark)
+        build().write.parquet(folder)
+        _stored[key] = now, folder
+    return spark.read.parquet(_stored[key][1])
 
 
 def days(spark, sf_dir) -> DataFrame:
@@ -698,13 +724,13 @@ def backtest_counts(spark, sf_dir):
     return backtest.counts(_trades(spark, sf_dir))
 
 
-@query(_weeks("~trade_return", "~equity", "~drawdown"), TRADES, "SELECT *, r AS trade_return FROM ddn")
+@query(_weeks("~trade_return", "^equity", "~drawdown"), TRADES, "SELECT *, r AS trade_return FROM ddn")
 def backtest_equity(spark, sf_dir):
     return backtest.equity(_trades(spark, sf_dir))
 
 
 @query(
-    "market #n_trades ~win_rate ~avg_win ~avg_loss ~expectancy ~profit_factor no_losses ~sharpe ~sortino ~max_drawdown ~calmar ~holding_weeks",
+    "market #n_trades ~win_rate ~avg_win ~avg_loss ~expectancy ~profit_factor no_losses ~sharpe ~sortino ~max_drawdown ^calmar ~holding_weeks",
     TRADES,
     """SELECT *, CASE WHEN loss > 0 THEN profit / loss END AS profit_factor, loss <= 0 AND profit > 0 AS no_losses, CASE WHEN max_drawdown < 0 THEN total / abs(max_drawdown) END AS calmar, 4.0 AS holding_weeks FROM (
       SELECT market, count(*) AS n_trades, avg((r > 0)::INT) AS win_rate, coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, coalesce(avg(r) FILTER (r <= 0), 0) AS avg_loss, avg(r) AS expectancy,
@@ -1087,18 +1113,6 @@ def chart_modes(spark, sf_dir):
 # -- streams -------------------------------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    """A new folder beside the checkpoints; a local session without such a place gets one of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.gettempdir() + "/tidemark-streams"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return path.toString()
-
-
 @query("#user_id event_type", "", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_once_each(spark, sf_dir):
     source, folder = f"{sf_dir}/events.parquet", _scratch(spark)
