@@ -275,7 +275,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smaller doc_id.  Rows alike in all keep one; texts
     without words are equal.
     """
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), text_of(text_col))
+    known = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    # 128 bits, so that different rows aren't taken for one however many there are
+    key = F.unhex(F.md5(F.concat(F.octet_length(known).cast("string"), known, text_of(text_col)).cast("binary")))
     rows = docs.withColumn("__node", key)
     none = F.lit("0").cast(docs.schema[id_col].dataType)
     row = F.struct(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col), none).alias("id"), F.col("__node").alias("node"))
