@@ -99,12 +99,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int
     Thresholds are a first one and log-gaps, so they stay ordered.  Grades are
     weighed inversely to the square root of their frequency.
     """
-    cols = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    cols = np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int32)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     n = max(1, len(rows))
     common = np.bincount(cols, minlength=buckets) >= min(n / 4, LEAST_ROWS)
     owner, cols = owner[common[cols]], cols[common[cols]]
     used, cols = np.unique(cols, return_inverse=True)
+    cols = cols.astype(np.int32)
     # entries lie by row; sorted by bucket, sums over either are sums over neighbours
     by_row, by_bucket = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (owner, np.sort(cols)))
     filled, sorted_owner = owner[by_row], owner[np.argsort(cols, kind="stable")]
@@ -161,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grades = got.column("grade").to_numpy().astype(np.int64)
     if len(np.unique(grades)) < 2:
         return None
-    found = [np.array(f.as_py(), dtype=np.int64) if len(f) else np.zeros(0, dtype=np.int64) for f in got.column("found")]
+    found = [np.array(f.as_py(), dtype=np.int32) if len(f) else np.zeros(0, dtype=np.int32) for f in got.column("found")]
     return fit(found, grades, 3)
 
 
