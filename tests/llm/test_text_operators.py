@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, license_scan, mixing, ordinal_quality, packing, quality_rules, repeats, simhash
+from tidemark.llm.common import cut_lineage
 from tidemark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, digest string, row long, fp long, key string, bytes string, spans int, grp string, epochs long, part long, range string, source_size int, target int, taken int, level string, place int"
@@ -152,6 +153,28 @@ def test_repeats(docs, rows, hot):
     assert Counter((r.doc_id, r.n_bytes, tuple((s.start, s.stop) for s in r.spans), bytes(r.kept)) for r in got) == expected
 
 
+def test_hot_keys_beside_others(spark):
+    """Kinds of the keys that stay when others go a level further meet their rows without bytes, wherever the join leaves them."""
+    both = bytes(range(32, 127)) * 3
+    fields = f"{repeats._REGION}, bytes binary"
+    lead = [(k, b"k", k, 0, 0, 86, False, 2, both) for k in range(400)]
+    other = [(k, b"k", 1000 + k, 0, 7, 86, False, 2, None) for k in range(400)]
+    found = cut_lineage(spark.createDataFrame(lead + other, fields).repartition(8))
+    crowded = cut_lineage(spark.createDataFrame([(-1,)], "key long"))
+    # a join that is planned by a shuffle and then runs by broadcast, on small tables
+    at_size = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in at_size.items():
+        spark.conf.set(name, value)
+    try:
+        left = found.join(crowded, "key", "left_anti")
+        got = {tuple(r) for r in repeats._indexed(left, 200, int(spark.conf.get("spark.sql.shuffle.partitions")), True).collect()}
+    finally:
+        for name in at_size:
+            spark.conf.unset(name)
+    ends = {d: max(e for x, _, _, e in got if x == d) for d in {x for x, *_ in got}}
+    assert ends == {**{k: len(both) for k in range(400)}, **{1000 + k: 7 + len(both) for k in range(400)}}
+
+
 def test_run_length_index_on_small_alphabets():
     rng = random.Random(1)
     for trial in range(150):
