@@ -38,6 +38,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that share 0.8 of their five-word shingles one stays; each pair is verified (see README).
 
+    Candidates are the components of SimHash fingerprints within three bits, and bands of minima for what these miss.
     Of two such rows the one that meets more others stays, of equals the one with the
     smaller doc_id, null last.  Texts without words are equal to each other; texts of fewer
     than five words have one shingle.

@@ -70,6 +70,19 @@ def test_recall_of_near_copies_just_above_the_limit(spark):
     print("pairs", pairs, "found", found)
 
 
+def test_fingerprints_find_near_copies(spark):
+    """Texts with one fingerprint that share 0.34 of their shingles, at a limit of 0.3: bands of minima meet few of them."""
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(n)]
+    rows = []
+    for k in range(40):
+        common = some(3) * 70 + some(30)
+        rows += [(2 * k, " ".join(common + some(28))), (2 * k + 1, " ".join(common + some(28)))]
+    assert all(simhash.fingerprint(a) == simhash.fingerprint(b) and 0.3 < jaccard(a.split(), b.split()) < 0.4 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    left = {r.doc_id for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"), share=0.3).collect()}
+    assert all((2 * k in left) != (2 * k + 1 in left) for k in range(40))
+
+
 def jaccard(a, b):
     x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a, b))
     return len(x & y) / len(x | y)

@@ -10,8 +10,9 @@ exactly one finds the other that way, and every link is found all the same.
 Distinct fingerprints are linked, not documents, so copies cost nothing here.
 Components come from alternating large-star and small-star steps.
 
-``drop_similar`` decides by the shingles themselves; bands of minima find its
-candidates, as fingerprints within three bits miss most pairs of edited texts.
+``drop_similar`` decides by the shingles themselves.  Its candidates are the components
+of fingerprints within three bits and, as these miss most pairs of edited texts, rows that
+share a band of minima besides.
 
 Defined results: null and empty texts have fingerprint zero and are linked like
 any other; a null doc_id is never a component's name unless all of them are
@@ -221,8 +222,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: float, size: int) -> Da
 def similar_rows(rows: DataFrame, share: float = NEAR_SHARE, size: int = NEAR_SHINGLE) -> DataFrame:
     """The rows (``row``) that go: each shares at least ``share`` of its shingles with a row that stays.
 
-    Rows of a band are candidates, in the order of how many others they meet and
-    then of ``row``.  A row that is the first in all its bands stays, and only it is compared with the rest of them: that settles large
+    Rows of a component of fingerprints and rows of a band are candidates, in the order of
+    how many others they meet and then of ``row``; a component counts as one more band.  A row that is the first in all its bands stays, and only it is compared with the rest of them: that settles large
     groups in linear work.  Rows left over are compared in pairs within their
     bands, and settled in order along the pairs that are alike.
     """
@@ -237,7 +238,8 @@ def similar_rows(rows: DataFrame, share: float = NEAR_SHARE, size: int = NEAR_SH
 
     kind = rows.schema["row"].dataType.simpleString()
     sketched = cut_lineage(rows.select("row", "text").mapInArrow(run, f"row {kind}, keys array<long>, planes array<long>"))
-    keyed = sketched.select("row", F.explode("keys").alias("key"))
+    linked = near_groups(rows, "row", "text").select(F.col("doc_id").alias("row"), F.xxhash64("component_id").alias("key"))
+    keyed = sketched.select("row", F.explode("keys").alias("key")).unionByName(linked)
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     meets = cut_lineage(keyed.join(shared, "key"))
     # rows that meet many others come first: the text that a group was edited from settles the group
