@@ -528,6 +528,13 @@ def test_estimates_against_exact_minimum(spark):
                 assert sum(r[f"l{i}{k}"] ** 2 for k in range(i + 1)) > 10 / quality_rules.CONDITION
 
 
+def test_steps_leave_no_joins_behind(spark):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("g", *[rng.gauss(0, 1) for _ in range(5)]) for _ in range(60)], "grp string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    found = quality_rules.estimates(rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1
+
+
 def test_copies_do_not_move_the_estimate(spark):
     """More than half of a group are copies of one text: nothing else is rejected for that."""
     rng = random.Random(6)

@@ -271,15 +271,16 @@ def estimates(rows: DataFrame, share: float = SHARE) -> DataFrame:
     the others by more than ``SETTLED``, so it comes to an end.
     """
     now = cut_lineage(_concentrate(rows, cut_lineage(_starts(rows)), share))
-    done = now.limit(0)
+    columns, done = now.columns, []
     while True:
-        then = now.select("grp", "start", F.col("size").alias("before"))
-        after = cut_lineage(_concentrate(rows, now, share).join(then, ["grp", "start"]))
-        lower = F.col("size") < F.col("before") - SETTLED
-        done = done.unionByName(now.join(after.filter(~lower), ["grp", "start"], "left_semi"))
-        now = after.filter(lower).drop("before")
+        # a step's rows hold what they came from, so what is done is read from them without joins that add up
+        then = now.select("grp", "start", F.struct(*columns).alias("then"))
+        after = cut_lineage(_concentrate(rows, now, share).join(then, ["grp", "start"]).withColumn("lower", F.col("size") < F.col("then.size") - SETTLED))
+        done.append(after.filter("not lower").select("then.*"))
+        now = after.filter("lower").select(*columns)
         if now.isEmpty():
             break
+    done = reduce(DataFrame.unionByName, done)
     best = Window.partitionBy("grp").orderBy("size", "start")
     return done.withColumn("__place", F.row_number().over(best)).filter("__place = 1").drop("__place", "start", "size")
 
